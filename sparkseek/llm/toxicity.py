@@ -1,0 +1,293 @@
+"""Toxicity by two class-conditional Kneser-Ney models over the characters of words.
+
+Counts of all five-byte runs (words lower-cased, padded at both ends) are taken
+from every labelled training text, by class, in one map-side combined aggregate.
+The highest order is estimated per class with absolute discounting; all lower
+orders come from continuation counts that both classes share, so a rare expression
+falls back to the same distribution in both models and says little either way.
+
+A word's evidence is the difference of its length-normalised log-likelihoods; a
+text's is the mean of that over its words and the strongest of its expressions.
+Logistic calibration turns these into a score; it is fitted on a bounded sample
+(`calibration_rows`) of a training fold whose counts the models never saw.
+
+Null or empty texts have no words and get the calibrated score of no evidence.
+Ties and repeated rows get equal scores; other columns pass through. Without
+labelled rows of both classes every text gets the share of label 1, or 0.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import LOWER, batches, checked_broadcast, chunks, held_out, mix, span_hashes, string_bytes, table, word_spans
+
+ORDER = 5
+DISCOUNT = 0.75
+#: Most runs in the model that executors receive (about 100 MB); where more are
+#: found, those with the lowest counts fall back to the shared lower orders.
+MAX_GRAMS = 2_000_000
+CALIBRATION_ROWS = 3000
+EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def grams(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Packed runs of 1 to ORDER bytes ending at each place of the padded words,
+    the places to score, and the word of each place."""
+    n = e - s
+    width = n + ORDER  # ORDER - 1 blanks before, one after
+    at = np.cumsum(width) - width
+    total = int(width.sum())
+    word = np.repeat(np.arange(len(s)), width)
+    k = np.arange(total) - at[word] - (ORDER - 1)
+    inside = (k >= 0) & (k < n[word])
+    flat = np.full(total, 32, np.uint64)
+    flat[inside] = LOWER[buf[(s[word] + k)[inside]]]
+    out, g = [], flat
+    out.append(flat)
+    for j in range(1, ORDER):
+        g = g.copy()
+        g[j:] |= flat[:-j] << np.uint64(8 * j)
+        out.append(g)
+    return out, k >= 0, word
+
+
+class Lookup:
+    """Open-addressing table from 64-bit keys to rows, probed for whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys, self.rows = np.full(1 << bits, EMPTY), np.full(1 << bits, len(keys), np.int32)
+        left, at = np.arange(len(keys)), mix(keys) & self.mask
+        while len(left):
+            free = self.keys[at] == EMPTY
+            _, first = np.unique(at[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.keys[at[put]], self.rows[at[put]] = keys[left[put]], left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + np.uint64(1)) & self.mask
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key; a key that isn't there gets the row after the last."""
+        at = mix(keys) & self.mask
+        found = self.keys[at]
+        out = self.rows[at].copy()
+        left = np.flatnonzero((found != keys) & (found != EMPTY))
+        while len(left):
+            at[left] = (at[left] + np.uint64(1)) & self.mask
+            found = self.keys[at[left]]
+            out[left] = self.rows[at[left]]
+            left = left[(found != keys[left]) & (found != EMPTY)]
+        return out
+
+
+@dataclass
+class Model:
+    """disc[k]: discounted share of a run of k + 1 bytes; gam[k]: weight of the
+    lower order after it; the last order has a column for each class."""
+
+    lookups: list = field(default_factory=list)
+    disc: list = field(default_factory=list)
+    gam: list = field(default_factory=list)
+    weights: np.ndarray | None = None  # calibration: bias and the weight of each figure
+    prior: float = 0.0
+
+    @classmethod
+    def fit(cls, gram: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+        m = cls()
+        order = np.argsort(gram)
+        keys, count = gram[order], np.stack([toxic[order], ordinary[order]], 1).astype(float)
+        tables = [(keys, count)]
+        for k in range(ORDER - 1, 0, -1):  # the different left neighbours of each shorter run, both classes together
+            low, n = np.unique(tables[0][0] & np.uint64((1 << (8 * k)) - 1), return_counts=True)
+            tables.insert(0, (low, n.astype(float)[:, None]))
+        for k, (keys, n) in enumerate(tables):
+            own = n.shape[1]
+            m.lookups.append(Lookup(keys))
+            if k == 0:
+                m.disc.append(np.append((n[:, 0] + 0.5) / (n.sum() + 128), 0.5 / (n.sum() + 128)).astype(np.float32)[:, None])
+                continue
+            ctx, inv = np.unique(keys >> np.uint64(8), return_inverse=True)
+            total = np.stack([np.bincount(inv, n[:, c], len(ctx)) for c in range(own)], 1)
+            kinds = np.stack([np.bincount(inv, n[:, c] > 0, len(ctx)) for c in range(own)], 1)
+            disc = np.maximum(n - DISCOUNT, 0) / np.maximum(total[inv], 1)
+            gam = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
+            m.disc.append(np.vstack([disc, np.zeros((1, own))]).astype(np.float32))
+            low = np.ones((len(tables[k - 1][0]) + 1, own), np.float32)
+            low[m.lookups[k - 1](ctx)] = gam
+            low[-1] = 1
+            m.gam.append(low)
+        return m
+
+    def words(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Toxic minus ordinary log-likelihood of each word, over its length."""
+        if not len(s):
+            return np.zeros(0)
+        g, keep, word = grams(buf, s, e)
+        rows = [look(x) for look, x in zip(self.lookups, g, strict=True)]
+        p = self.disc[0][rows[0]]
+        for k in range(1, ORDER):
+            before = np.roll(rows[k - 1], 1)
+            p = self.disc[k][rows[k]] + self.gam[k - 1][before] * p
+        llr = (np.log(p[:, 0] + 1e-12) - np.log(p[:, 1] + 1e-12)) * keep
+        return np.bincount(word, llr, len(s)) / (e - s + 1)
+
+
+class Scorer:
+    """Figures of whole texts; remembers the evidence of words it has met."""
+
+    def __init__(self, model: Model, bits: int = 19):
+        self.m, self.mask = model, np.uint64((1 << bits) - 1)
+        self.keys, self.vals = np.full(1 << bits, EMPTY), np.zeros(1 << bits, np.float32)
+
+    def figures(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """For each text: mean evidence of its words, its strongest word, and the
+        sum of what strong words say when one in two hundred is an expression."""
+        n = len(off) - 1
+        out = np.zeros((n, 3))
+        s, e, row = word_spans(buf, off, plain=True)
+        if not len(s):
+            return out
+        h = span_hashes(LOWER[buf], s, e)
+        slot = h & self.mask
+        val = self.vals[slot]
+        miss = np.flatnonzero(self.keys[slot] != h)
+        if len(miss):
+            _, first, inv = np.unique(h[miss], return_index=True, return_inverse=True)
+            at = miss[first]
+            new = np.concatenate([self.m.words(buf, s[x], e[x]) for x in np.array_split(at, max(1, len(at) // 20000))])
+            val[miss] = new[inv]
+            self.keys[slot[at]], self.vals[slot[at]] = h[at], new
+        v = val.astype(float)
+        many = np.bincount(row, minlength=n)
+        out[:, 0] = np.bincount(row, v, n) / np.maximum(many, 1)
+        has = np.flatnonzero(many)
+        out[has, 1] = np.maximum.reduceat(v, np.searchsorted(row, has))
+        strong = np.log1p((np.exp(np.minimum(v * (e - s + 1), 30)) - 1) / 200)
+        out[:, 2] = np.log1p(np.maximum(np.bincount(row, np.maximum(strong, 0), n), 0))
+        return out
+
+    def __call__(self, col: pa.Array) -> np.ndarray:
+        buf, off = string_bytes(col)
+        parts = [self.figures(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in chunks(off)]
+        return np.concatenate(parts) if parts else np.zeros((0, 3))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Weights (bias first, on the raw figures) by Newton steps."""
+    mean, sd = x.mean(0), x.std(0) + 1e-9
+    z = np.c_[np.ones(len(x)), (x - mean) / sd]
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return np.r_[w[0] - (w[1:] * mean / sd).sum(), w[1:] / sd]
+
+
+def count_grams(df: DataFrame, text: str, label: str) -> DataFrame:
+    """gram, toxic, ordinary: the runs of all texts by class."""
+
+    def run(it):
+        for b in it:
+            buf, off = string_bytes(b.column(0))
+            y = b.column(1).to_numpy(zero_copy_only=False)
+            for i, j in chunks(off):
+                part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+                s, e, row = word_spans(part, o, plain=True)
+                if not len(s):
+                    continue
+                _, first, inv = np.unique(span_hashes(LOWER[part], s, e), return_index=True, return_inverse=True)
+                bad = y[i:j][row] > 0
+                w1, w0 = np.bincount(inv, bad, len(first)), np.bincount(inv, ~bad, len(first))
+                g, keep, word = grams(part, s[first], e[first])
+                key, inv = np.unique(g[-1][keep], return_inverse=True)
+                word = word[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.bincount(inv, w1[word]).astype(np.int64)), pa.array(np.bincount(inv, w0[word]).astype(np.int64))], names=["gram", "toxic", "ordinary"])
+
+    parts = df.select(F.col(text).alias("t"), F.col(label).alias("y")).mapInArrow(run, "gram long, toxic long, ordinary long")
+    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def with_figures(df: DataFrame, text: str, model: Model, finish=None, names=("f0", "f1", "f2")) -> DataFrame:
+    df = df.drop(*names)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(it):
+        scorer = Scorer(sent.value)
+        for b in it:
+            f = scorer(b.column(at))
+            cols = [finish(sent.value, f)] if finish else list(f.T)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=[*b.schema.names, *names])
+
+    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in names]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, max_grams: int = MAX_GRAMS) -> Model:
+    """docs: doc_id, text; labels: doc_id, y (0 or 1), training rows only. One
+    fold in four of the labelled rows is kept from the counts, for calibration."""
+    labels = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y")).where("y IS NOT NULL")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(4)) == 0
+    n, n1 = labels.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    known = checked_broadcast(labels, n)
+    docs = docs.select("doc_id", "text")
+    rows = count_grams(docs.join(known.where(~fold), "doc_id"), "text", "y")
+    rows.persist()
+    try:
+        bins = rows.groupBy(F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000)).alias("c")).count().orderBy(F.desc("c")).collect()
+        least, total = 1, 0
+        for c, k in bins:
+            total += k
+            if total > max_grams:
+                least = c + 1
+                break
+        pdf = rows.where(F.col("toxic") + F.col("ordinary") >= least).toPandas()
+    finally:
+        rows.unpersist()
+    prior = float(n1) / n if n else 0.0
+    if not len(pdf) or n1 == 0 or n1 == n:
+        return Model(prior=prior)
+    m = Model.fit(pdf.gram.to_numpy().astype(np.uint64), pdf.toxic.to_numpy(), pdf.ordinary.to_numpy())
+    m.prior = prior
+    ids = labels.where(fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
+    x: pd.DataFrame = with_figures(docs.join(F.broadcast(ids), "doc_id"), "text", m).select("f0", "f1", "f2", "y").toPandas()
+    if x.y.nunique() == 2:
+        m.weights = logistic(x[["f0", "f1", "f2"]].to_numpy(), x.y.to_numpy(float))
+    return m
+
+
+def probability(m: Model, f: np.ndarray) -> np.ndarray:
+    if m.weights is None:
+        return np.full(len(f), m.prior)
+    return 1 / (1 + np.exp(-np.clip(m.weights[0] + f @ m.weights[1:], -30, 30)))
+
+
+def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """df plus score, the chance that a text is toxic (a column of that name is replaced)."""
+    if not model.lookups:
+        return df.withColumn("score", F.lit(model.prior))
+    return with_figures(df, text, model, probability, ("score",))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", F.col("toxic").alias("y"))
+    out = score(docs, fit(docs, labels))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity}
+ORACLES: dict = {}
