@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rules",)
+MODULES = ("toxicity", "rules")
 
 
 def _gather(name: str) -> dict:

@@ -6,8 +6,9 @@ The highest order is estimated per class with absolute discounting; all lower
 orders come from continuation counts that both classes share, so a rare expression
 falls back to the same distribution in both models and says little either way.
 
-A word's evidence is the difference of its length-normalised log-likelihoods; a
-text's is the mean of that over its words and the strongest of its expressions.
+A word's evidence is the difference of its log-likelihoods under the two models; a
+text's is the length-normalised likelihood ratio of toxic text, in which some words
+are drawn from the toxic model, to ordinary text, beside its strongest expression.
 Logistic calibration turns these into a score; it is fitted on a bounded sample
 (`calibration_rows`) of a training fold whose counts the models never saw.
 
@@ -35,6 +36,9 @@ DISCOUNT = 0.75
 #: found, those with the lowest counts fall back to the shared lower orders.
 MAX_GRAMS = 2_000_000
 CALIBRATION_ROWS = 3000
+#: Supposed share of expressions among the words of a toxic text.
+RATE = 0.01
+FIGURES = ("rate", "ratio", "length", "strong", "most")
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -150,10 +154,11 @@ class Scorer:
         self.keys, self.vals = np.full(1 << bits, EMPTY), np.zeros(1 << bits, np.float32)
 
     def figures(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """For each text: mean evidence of its words, its strongest word, and the
-        sum of what strong words say when one in two hundred is an expression."""
+        """For each text: the likelihood ratio of "one word in a hundred is an
+        expression" to "none is", over its length and whole; the log of its
+        length; the share of strong words; its strongest word."""
         n = len(off) - 1
-        out = np.zeros((n, 3))
+        out = np.zeros((n, len(FIGURES)))
         s, e, row = word_spans(buf, off, plain=True)
         if not len(s):
             return out
@@ -167,19 +172,20 @@ class Scorer:
             new = np.concatenate([self.m.words(buf, s[x], e[x]) for x in np.array_split(at, max(1, len(at) // 20000))])
             val[miss] = new[inv]
             self.keys[slot[at]], self.vals[slot[at]] = h[at], new
-        v = val.astype(float)
+        whole = val.astype(float) * (e - s + 1)
         many = np.bincount(row, minlength=n)
-        out[:, 0] = np.bincount(row, v, n) / np.maximum(many, 1)
         has = np.flatnonzero(many)
-        out[has, 1] = np.maximum.reduceat(v, np.searchsorted(row, has))
-        strong = np.log1p((np.exp(np.minimum(v * (e - s + 1), 30)) - 1) / 200)
-        out[:, 2] = np.log1p(np.maximum(np.bincount(row, np.maximum(strong, 0), n), 0))
+        out[:, 1] = np.bincount(row, np.log1p(np.expm1(np.minimum(whole, 30)) * RATE), n)
+        out[:, 0] = out[:, 1] / np.maximum(many, 1)
+        out[:, 2] = np.log(np.maximum(many, 1))
+        out[:, 3] = np.bincount(row, whole > 3, n) / np.maximum(many, 1)
+        out[has, 4] = np.maximum.reduceat(whole, np.searchsorted(row, has))
         return out
 
     def __call__(self, col: pa.Array) -> np.ndarray:
         buf, off = string_bytes(col)
         parts = [self.figures(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in chunks(off)]
-        return np.concatenate(parts) if parts else np.zeros((0, 3))
+        return np.concatenate(parts) if parts else np.zeros((0, len(FIGURES)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -220,7 +226,7 @@ def count_grams(df: DataFrame, text: str, label: str) -> DataFrame:
     return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def with_figures(df: DataFrame, text: str, model: Model, finish=None, names=("f0", "f1", "f2")) -> DataFrame:
+def with_figures(df: DataFrame, text: str, model: Model, finish=None, names=FIGURES) -> DataFrame:
     df = df.drop(*names)
     sent = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
@@ -262,9 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     m = Model.fit(pdf.gram.to_numpy().astype(np.uint64), pdf.toxic.to_numpy(), pdf.ordinary.to_numpy())
     m.prior = prior
     ids = labels.where(fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
-    x: pd.DataFrame = with_figures(docs.join(F.broadcast(ids), "doc_id"), "text", m).select("f0", "f1", "f2", "y").toPandas()
+    x: pd.DataFrame = with_figures(docs.join(F.broadcast(ids), "doc_id"), "text", m).select(*FIGURES, "y").toPandas()
     if x.y.nunique() == 2:
-        m.weights = logistic(x[["f0", "f1", "f2"]].to_numpy(), x.y.to_numpy(float))
+        m.weights = logistic(x[list(FIGURES)].to_numpy(), x.y.to_numpy(float))
     return m
 
 
