@@ -177,6 +177,7 @@ class Scorer:
         has = np.flatnonzero(many)
         out[:, 1] = np.bincount(row, np.log1p(np.expm1(np.minimum(whole, 30)) * RATE), n)
         out[:, 0] = out[:, 1] / np.maximum(many, 1)
+        out[:, 0], out[:, 1] = np.arcsinh(100 * out[:, 0]), np.arcsinh(out[:, 1])
         out[:, 2] = np.log(np.maximum(many, 1))
         out[:, 3] = np.bincount(row, whole > 3, n) / np.maximum(many, 1)
         out[has, 4] = np.maximum.reduceat(whole, np.searchsorted(row, has))
@@ -188,16 +189,20 @@ class Scorer:
         return np.concatenate(parts) if parts else np.zeros((0, len(FIGURES)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.1) -> np.ndarray:
     """Weights (bias first, on the raw figures) by Newton steps."""
     mean, sd = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / sd]
     w = np.zeros(z.shape[1])
+    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).sum() + ridge * (w @ w) / 2
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+        now, size = loss(w), 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return np.r_[w[0] - (w[1:] * mean / sd).sum(), w[1:] / sd]
 
