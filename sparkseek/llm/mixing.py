@@ -1,0 +1,149 @@
+"""Mixing sources to target weights by the cube method.
+
+Every document has an expected number of copies, its source's target over its
+source's size. The whole part is taken for sure; the fraction is an inclusion
+probability that the cube method rounds to 0 or 1 while it holds the number of
+documents and of words of every source: within a block of documents of one source
+the probabilities walk along the null space of the two balance constraints until
+at most two of a block are left between 0 and 1. What is left of all blocks is
+dealt into blocks again, and the last few of a source are landed by dropping the
+word balance first, then the document balance.
+
+Blocks hold BLOCK documents or so, whatever the size of a source, so a hot source
+is many blocks. Random draws come from a generator seeded by the block, and blocks
+from hashes of the ids, so reruns agree. A document of no words takes nothing. A
+null source is a source of its own. Repeated ids are rows of their own, told apart
+by an occurrence number of equal rows. An empty table gives an empty mix.
+"""
+
+from __future__ import annotations
+
+import math
+import random
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import Scratch, batches, checked_broadcast, n_words, table
+
+BLOCK = 256
+CAP = 3.0
+#: Sources of which the driver may hold one row each.
+MOST_SOURCES = 1_000_000
+
+
+def targets(sizes: dict, weights=(1, 2, 3), cap: float = CAP) -> dict:
+    """Share out 100 % of all sizes by weight; what exceeds cap times a source's
+    size goes to the others by weight, again and again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, left, rest = {}, order, float(sum(sizes.values()))
+    while left:
+        whole = sum(weight[s] for s in left)
+        full = [s for s in left if rest * weight[s] / whole > cap * sizes[s]]
+        if not full:
+            return out | {s: rest * weight[s] / whole for s in left}
+        out |= {s: cap * sizes[s] for s in full}
+        rest -= sum(out[s] for s in full)
+        left = [s for s in left if s not in out]
+    return out
+
+
+def flight(p: list[float], size: list[float], rng: random.Random, land: bool) -> list[float]:
+    """Walk the probabilities of one block: three open units at a time span a line
+    on which both balances hold; land: then two with the count only, then one."""
+    tiny = 1e-9
+    p = [0.0 if x < tiny else 1.0 if x > 1 - tiny else x for x in p]
+    open_ = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: size[i])  # the largest go first, so small ones are left to land
+    active: list[int] = []
+    while True:
+        while len(active) < 3 and open_:
+            active.append(open_.pop())
+        if len(active) == 3:
+            a, b, c = (size[i] for i in active)
+            u = [c - b, a - c, b - a]
+            if not any(u):
+                u = [1.0, -1.0, 0.0]
+        elif len(active) == 2 and (land or size[active[0]] == size[active[1]]):
+            u = [1.0, -1.0]
+        elif len(active) == 1 and land:
+            u = [1.0]
+        else:
+            return p
+        up = min((1 - p[i]) / v if v > 0 else -p[i] / v for i, v in zip(active, u, strict=True) if v)
+        down = min(p[i] / v if v > 0 else (p[i] - 1) / v for i, v in zip(active, u, strict=True) if v)
+        step = up if rng.random() * (up + down) < down else -down
+        for i, v in zip(active, u, strict=True):
+            x = p[i] + step * v
+            p[i] = 0.0 if x < tiny else 1.0 if x > 1 - tiny else x
+        active = [i for i in active if 0 < p[i] < 1]
+
+
+def _walk(df: DataFrame, land: bool, seed: int) -> DataFrame:
+    """df: key, source, block, n, p -> the same with p moved; one group a block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("h", kind="stable").reset_index(drop=True)
+        rng = random.Random(f"{seed}|{pdf.source.iat[0]!r}|{pdf.block.iat[0]}|{pdf.h.iat[0]}")
+        pdf["p"] = flight(pdf.p.tolist(), pdf.n.astype(float).tolist(), rng, land)
+        return pdf
+
+    return df.groupBy("source", "block").applyInPandas(run, df.schema)
+
+
+def cube(df: DataFrame, scratch: Scratch, seed: int = 11, block: int = BLOCK) -> DataFrame:
+    """df: h (unique name of a row), source, n (size), p (0 to 1) -> h, chosen (0 or 1)."""
+    done, rest, turn = [], df.select("h", "source", "n", "p"), 0
+    while True:
+        many = rest.groupBy("source").count()
+        most = many.agg(F.max("count")).first()[0] or 0
+        if not most:
+            break
+        last = most <= 4 * block
+        blocks = F.lit(0) if last else F.pmod(F.xxhash64(F.lit(turn), "h"), F.ceil(F.col("count") / block).cast("long"))
+        n = many.count()
+        keyed = rest.join(checked_broadcast(many, n), rest.source.eqNullSafe(many.source)).drop(many.source).withColumn("block", blocks.cast("long")).drop("count")
+        walked = scratch.write(_walk(keyed.select("h", "source", "block", "n", "p"), last, seed + turn), f"cube{turn}")
+        done.append(walked.where("p <= 0 OR p >= 1").select("h", F.col("p").cast("int").alias("chosen")))
+        if last:
+            break
+        rest, turn = walked.where("p > 0 AND p < 1").select("h", "source", "n", "p"), turn + 1
+    if not done:
+        return rest.select("h", F.lit(0).alias("chosen"))
+    out = done[0]
+    for x in done[1:]:
+        out = out.union(x)
+    return out
+
+
+def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=(1, 2, 3)) -> DataFrame:
+    """Per document: key, size, source_size, target of its source, copies, taken."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), n_words(text).alias("n"))
+    # equal rows are told apart by their number among the rows of that id and size, which are alike
+    rows = rows.groupBy("_key", "source", "n").agg(F.count("*").alias("_times"))
+    rows = rows.select("_key", "source", "n", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again"))
+    name = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in ("_key", "source", "n", "_again")))
+    rows = scratch.write(rows.withColumn("h", name), "sizes")
+    found = rows.groupBy("source").agg(F.sum("n").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r["source"]: r["size"] for r in found}
+    goal = targets(sizes, weights)
+    plan = spark.createDataFrame([(s, sizes[s], goal[s], goal[s] / sizes[s] if sizes[s] else 0.0) for s in sizes], "source string, source_size long, target double, rate double")
+    plan = plan.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
+    x = rows.join(checked_broadcast(plan, len(sizes)), rows.source.eqNullSafe(plan.source)).drop(plan.source)
+    chosen = cube(x.where("p > 1e-9 AND n > 0").select("h", "source", "n", "p"), scratch)
+    x = x.join(chosen, "h", "left").withColumn("copies", F.col("whole") + F.coalesce("chosen", F.lit(0)))
+    return x.select(F.col("_key").alias(key), F.col("n").alias("size"), "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("n") * F.col("copies")).alias("taken"), F.col("source").alias("_source"), F.col("_again"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark)
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op4_mixing": op4_mixing}
+ORACLES: dict = {}

@@ -1,0 +1,160 @@
+"""Quality classifier of supervised subword embeddings.
+
+A text is the average of learned vectors of its hashed words, its hashed runs of
+three and four bytes, and a mark for every word that repeats the one before. A
+softmax over two classes reads the average. Vectors and softmax are trained
+together by numpy stochastic gradient descent on a bounded sample of labelled rows
+(`sample_rows` of each class, chosen by hash of the id); the class shares of all
+labelled rows correct the bias. Scoring is one table lookup a feature, as the
+softmax of an average of vectors is linear in them.
+
+Null and empty texts have no features and get the score of the bias. Repeated rows
+get equal scores; a column named score is replaced, others pass through. With rows
+of one class only, every text gets the share of label 1 (0.5 without any label).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import batches, chunks, held_out, span_hashes, string_bytes, table, word_spans
+
+BITS = 18
+DIM = 8
+SAMPLE_ROWS = 2000
+EPOCHS = 6
+
+
+def features(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, row) pairs of every feature of the texts."""
+    out = []
+    s, e, row = word_spans(buf, off)
+    if len(s):
+        h = span_hashes(buf, s, e)
+        out.append(((h & np.uint64((1 << BITS) - 1)).astype(np.int32), row))
+        again = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
+        out.append((np.full(len(again), 7, np.int32), row[again]))
+    rows = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+    b = buf.astype(np.uint32)
+    for n in (3, 4):
+        if len(b) < n:
+            continue
+        x = b[: len(b) - n + 1].copy()
+        for k in range(1, n):
+            x |= b[k : len(b) - n + 1 + k] << np.uint32(8 * k)
+        x = ((x ^ np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        inside = rows[: len(x)] == rows[n - 1 :]
+        out.append((x[inside].astype(np.int32), rows[: len(x)][inside]))
+    return out
+
+
+@dataclass
+class Model:
+    logit: np.ndarray  # of each bucket: its vector times the difference of the softmax weights
+    bias: float
+
+    def __call__(self, col: pa.Array) -> np.ndarray:
+        buf, off = string_bytes(col)
+        parts = [self.logits(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in chunks(off)]
+        x = np.concatenate(parts) if parts else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    def logits(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        n = len(off) - 1
+        total, many = np.zeros(n), np.zeros(n)
+        for bucket, row in features(buf, off):
+            total += np.bincount(row, self.logit[bucket], n)
+            many += np.bincount(row, minlength=n)
+        return self.bias + total / np.maximum(many, 1)
+
+
+def bags(df: DataFrame, text: str, label: str) -> DataFrame:
+    """y and the feature counts of each text."""
+
+    def run(it):
+        for b in it:
+            buf, off = string_bytes(b.column(0))
+            y = b.column(1).to_numpy(zero_copy_only=False)
+            idx, cnt = [], []
+            for i in range(len(y)):
+                part = buf[off[i] : off[i + 1]]
+                f = [x for x, _ in features(part, np.array([0, len(part)]))]
+                k, c = np.unique(np.concatenate(f) if f else np.zeros(0, np.int32), return_counts=True)
+                idx.append(k)
+                cnt.append(c.astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.float32()))], names=["y", "idx", "cnt"])
+
+    return df.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).mapInArrow(run, "y int, idx array<int>, cnt array<float>")
+
+
+def train(bag: list, shares: tuple[float, float], seed: int = 7, epochs: int = EPOCHS, rate: float = 0.5) -> Model:
+    """bag: (y, buckets, counts) of each text; shares of the two classes among all labels."""
+    rng = np.random.default_rng(seed)
+    vec = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    w, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
+    w[:] = rng.uniform(-1, 1, w.shape)
+    steps, done = epochs * len(bag), 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(bag)):
+            y, idx, cnt = bag[i]
+            lr, done = rate * (1 - done / steps), done + 1
+            if not len(idx):
+                continue
+            share = cnt / cnt.sum()
+            x = share @ vec[idx]
+            z = x @ w + bias
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[y] -= 1
+            grad = w @ p
+            w -= lr * np.outer(x, p)
+            bias -= 0.1 * lr * p
+            # a feature's step is its share of the text, scaled up to the text's number of features
+            vec[idx] -= (lr * np.minimum(share * len(idx), 10.0))[:, None] * grad
+    n = np.bincount([b[0] for b in bag], minlength=2)
+    prior = np.log(shares[1] / shares[0]) - np.log(n[1] / n[0])
+    return Model((vec @ (w[:, 1] - w[:, 0])).astype(np.float32), float(bias[1] - bias[0] + prior))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """docs: doc_id, text; labels: doc_id, y (0 or 1), training rows only."""
+    labels = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
+    n0, n1 = labels.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    if not n0 or not n1:
+        share = n1 / (n0 + n1) if n0 + n1 else 0.5
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    ids = [labels.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
+    rows = bags(docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id"), "text", "y").toArrow()
+    y = rows.column("y").to_pylist()
+    bag = list(zip(y, (x.values.to_numpy() for x in rows.column("idx")), (x.values.to_numpy() for x in rows.column("cnt")), strict=True))
+    bag.sort(key=lambda b: (b[0], len(b[1]), int(b[1].sum()), float(b[2].sum())))  # the same order however the rows arrive
+    return train(bag, (n0 / (n0 + n1), n1 / (n0 + n1)))
+
+
+def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    df = df.drop("score")
+    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+
+    def run(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value(b.column(at)))], names=[*b.schema.names, "score"])
+
+    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField("score", T.DoubleType())]))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("y"))
+    out = score(docs, fit(docs, labels))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_quality": op1_quality}
+ORACLES: dict = {}

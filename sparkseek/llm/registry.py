@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("toxicity", "rules")
+MODULES = ("quality", "toxicity", "rules", "mixing")
 
 
 def _gather(name: str) -> dict:
