@@ -6,8 +6,8 @@ probability that the cube method rounds to 0 or 1 while it holds the number of
 documents and of words of every source: within a block of documents of one source
 the probabilities walk along the null space of the two balance constraints until
 at most two of a block are left between 0 and 1. What is left of all blocks is
-dealt into blocks again, and the last few of a source are landed by dropping the
-word balance first, then the document balance.
+dealt into blocks again; the last few of a source, with a dozen set aside for it,
+are landed by the one of all their outcomes that is nearest to both totals.
 
 Blocks hold BLOCK documents or so, whatever the size of a source, so a hot source
 is many blocks. Random draws come from a generator seeded by the block, and blocks
@@ -18,9 +18,9 @@ by an occurrence number of equal rows. An empty table gives an empty mix.
 
 from __future__ import annotations
 
-import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, batches, checked_broadcast, n_words, table
 
 BLOCK = 256
+LANDING = 12
+TINY = 1e-9
 CAP = 3.0
 #: Sources of which the driver may hold one row each.
 MOST_SOURCES = 1_000_000
@@ -50,12 +52,11 @@ def targets(sizes: dict, weights=(1, 2, 3), cap: float = CAP) -> dict:
     return out
 
 
-def flight(p: list[float], size: list[float], rng: random.Random, land: bool) -> list[float]:
-    """Walk the probabilities of one block: three open units at a time span a line
-    on which both balances hold; land: then two with the count only, then one."""
-    tiny = 1e-9
-    p = [0.0 if x < tiny else 1.0 if x > 1 - tiny else x for x in p]
-    open_ = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: size[i])  # the largest go first, so small ones are left to land
+def flight(p: list[float], size: list[float], rng: random.Random, units: list[int] | None = None) -> list[int]:
+    """Walk the probabilities of the units (all by default) in place, three open
+    ones at a time: they span a line on which both balances hold. Returns the one
+    or two units that stay open."""
+    open_ = [i for i in (range(len(p)) if units is None else units) if 0 < p[i] < 1]
     active: list[int] = []
     while True:
         while len(active) < 3 and open_:
@@ -65,28 +66,48 @@ def flight(p: list[float], size: list[float], rng: random.Random, land: bool) ->
             u = [c - b, a - c, b - a]
             if not any(u):
                 u = [1.0, -1.0, 0.0]
-        elif len(active) == 2 and (land or size[active[0]] == size[active[1]]):
+        elif len(active) == 2 and size[active[0]] == size[active[1]]:
             u = [1.0, -1.0]
-        elif len(active) == 1 and land:
-            u = [1.0]
         else:
-            return p
+            return active
         up = min((1 - p[i]) / v if v > 0 else -p[i] / v for i, v in zip(active, u, strict=True) if v)
         down = min(p[i] / v if v > 0 else (p[i] - 1) / v for i, v in zip(active, u, strict=True) if v)
         step = up if rng.random() * (up + down) < down else -down
         for i, v in zip(active, u, strict=True):
             x = p[i] + step * v
-            p[i] = 0.0 if x < tiny else 1.0 if x > 1 - tiny else x
+            p[i] = 0.0 if x < TINY else 1.0 if x > 1 - TINY else x
         active = [i for i in active if 0 < p[i] < 1]
 
 
-def _walk(df: DataFrame, land: bool, seed: int) -> DataFrame:
+def land(p: list[float], size: list[float], rng: random.Random) -> None:
+    """Round all of p: LANDING units of ordinary size are set aside, the others
+    fly, and of all outcomes of those set aside and those still open the one
+    nearest to both totals is taken (ties by lot)."""
+    open_ = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: (size[i], i))
+    low = open_[: max(LANDING, 3 * len(open_) // 4)]
+    aside = {low[k * len(low) // LANDING] for k in range(LANDING)} if len(low) > LANDING else set(low)
+    fly = [i for i in open_ if i not in aside]
+    rng.shuffle(fly)
+    rest = sorted(aside) + flight(p, size, rng, fly)
+    if not rest:
+        return
+    s, q = np.array([size[i] for i in rest]), np.array([p[i] for i in rest])
+    bits = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
+    off = np.abs(bits @ s - q @ s) / max(s.mean(), 1) + 0.02 * np.abs(bits.sum(1) - q.sum())
+    best = np.flatnonzero(off <= off.min() + 1e-12)
+    for i, x in zip(rest, bits[best[rng.randrange(len(best))]], strict=True):
+        p[i] = float(x)
+
+
+def _walk(df: DataFrame, last: bool, seed: int) -> DataFrame:
     """df: key, source, block, n, p -> the same with p moved; one group a block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h", kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed}|{pdf.source.iat[0]!r}|{pdf.block.iat[0]}|{pdf.h.iat[0]}")
-        pdf["p"] = flight(pdf.p.tolist(), pdf.n.astype(float).tolist(), rng, land)
+        p, size = [0.0 if x < TINY else 1.0 if x > 1 - TINY else x for x in pdf.p], pdf.n.astype(float).tolist()
+        land(p, size, rng) if last else flight(p, size, rng)
+        pdf["p"] = p
         return pdf
 
     return df.groupBy("source", "block").applyInPandas(run, df.schema)
