@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, batches, checked_broadcast, n_words, table
 
 BLOCK = 256
+#: A document of more than this share of its source's target is settled by lot
+#: before the others, whose probabilities then make up for it.
+OUTSIZE = 0.05
 LANDING = 12
 TINY = 1e-9
 CAP = 3.0
@@ -156,7 +159,15 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     plan = spark.createDataFrame([(s, sizes[s], goal[s], goal[s] / sizes[s] if sizes[s] else 0.0) for s in sizes], "source string, source_size long, target double, rate double")
     plan = plan.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     x = rows.join(checked_broadcast(plan, len(sizes)), rows.source.eqNullSafe(plan.source)).drop(plan.source)
-    chosen = cube(x.where("p > 1e-9 AND n > 0").select("h", "source", "n", "p"), scratch)
+    open_ = x.where("p > 1e-9 AND n > 0").select("h", "source", "n", "p", (F.col("n") > OUTSIZE * F.col("target")).alias("big"))
+    lot = (F.xxhash64(F.lit("lot"), "h").cast("double") / 2.0**64 + 0.5) < F.col("p")
+    open_ = open_.withColumn("lot", F.col("big") & lot)
+    # by source: the words that are left for the others, over what they would take
+    rest = open_.groupBy("source").agg(F.sum(F.col("p") * F.col("n")).alias("all"), F.sum(F.when(F.col("lot"), F.col("n")).otherwise(0)).alias("had"), F.sum(F.when(~F.col("big"), F.col("p") * F.col("n"))).alias("small"))
+    rest = rest.select("source", F.when(F.col("small") > 0, F.greatest(F.lit(0.0), F.col("all") - F.col("had")) / F.col("small")).otherwise(1.0).alias("scale"))
+    fly = open_.where("NOT big").join(checked_broadcast(rest, len(sizes)), open_.source.eqNullSafe(rest.source)).drop(rest.source)
+    fly = fly.select("h", "source", "n", F.least(F.lit(1.0), F.col("p") * F.col("scale")).alias("p"))
+    chosen = cube(fly, scratch).union(open_.where("lot").select("h", F.lit(1)))
     x = x.join(chosen, "h", "left").withColumn("copies", F.col("whole") + F.coalesce("chosen", F.lit(0)))
     return x.select(F.col("_key").alias(key), F.col("n").alias("size"), "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("n") * F.col("copies")).alias("taken"), F.col("source").alias("_source"), F.col("_again"))
 
