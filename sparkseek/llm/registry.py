@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "toxicity", "rules", "mixing")
+MODULES = ("quality", "toxicity", "rules", "mixing", "sharding")
 
 
 def _gather(name: str) -> dict:
