@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "toxicity", "rules", "mixing", "sharding")
+MODULES = ("quality", "toxicity", "rules", "mixing", "sharding", "simhash")
 
 
 def _gather(name: str) -> dict:

@@ -1,0 +1,227 @@
+"""SimHash near-duplicates by covering locality-sensitive hashing.
+
+Fingerprint: texts are lower-cased (A-Z only) and cut into words; every run of three
+words, repeats included, is hashed by XXH64; a bit is set if more than half of the
+hashes have it. A text of fewer words is one run; a text without words has the
+fingerprint zero and is linked like any other.
+
+Search: each of the 64 bit places gets a random non-zero vector of RADIUS + 1 bits.
+Every non-zero vector v of that length makes a mask of the places whose vector has
+odd inner product with v. At most RADIUS differing places span too little to meet
+all v, so some mask covers none of them: every pair within the radius agrees on a
+mask and meets in that table. Pairs that meet are verified exactly.
+
+Equal fingerprints are one node, named by their smallest id. A bucket of one mask
+yields a spanning forest of its verified links, not all of its pairs; a bucket of
+more than BUCKET nodes is dealt in blocks, and tasks compare pairs of blocks.
+Components come from alternating star contractions over written tables.
+
+Null texts count as empty; ties and repeated rows fall into one component; an empty
+table gives none. Rows with a null id are kept, with a null component.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import LOWER, Scratch, batches, chunks, string_bytes, table, word_spans
+
+RADIUS = 3
+SHINGLE = 3
+BUCKET = 1024
+
+
+def masks(radius: int = RADIUS, seed: int = 2024) -> np.ndarray:
+    """2^(radius+1) - 1 masks of 64 bits that cover every difference of `radius` places."""
+    rng = np.random.default_rng(seed)
+    own = rng.integers(1, 1 << (radius + 1), 64)
+    out = []
+    for v in range(1, 1 << (radius + 1)):
+        out.append(sum(1 << i for i in range(64) if bin(int(own[i]) & v).count("1") & 1))
+    return np.array(out, np.uint64)
+
+
+def fingerprints(buf: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """One uint64 a text."""
+    n = len(off) - 1
+    out = np.zeros(n, np.uint64)
+    low = LOWER[buf]
+    s, e, row = word_spans(low, off)
+    if not len(s):
+        return out
+    # words of a text joined by single spaces: move every word to its new place
+    width = e - s + 1
+    at = np.cumsum(width) - width
+    flat = np.full(int(width.sum()), 32, np.uint8)
+    inside = np.arange(len(flat)) - np.repeat(at, width)
+    word = inside < np.repeat(e - s, width)
+    flat[word] = low[(np.repeat(s, width) + inside)[word]]
+    many = np.bincount(row, minlength=n)
+    first = np.cumsum(many) - many
+    runs = np.maximum(many - shingle + 1, (many > 0).astype(int))
+    owner = np.repeat(np.arange(n), runs)
+    k = first[owner] + np.arange(len(owner)) - (np.cumsum(runs) - runs)[owner]
+    last = np.minimum(k + shingle, first[owner] + many[owner]) - 1
+    a, b = at[k].tolist(), (at[last] + e[last] - s[last]).tolist()
+    data, digest = flat.tobytes(), xxhash.xxh64_intdigest
+    h = np.fromiter((digest(data[i:j], 42) for i, j in zip(a, b, strict=True)), np.uint64, len(a))
+    has = np.flatnonzero(runs)
+    edge = (np.cumsum(runs) - runs)[has]
+    half = runs[has] // 2
+    for lo in range(0, 64, 8):  # eight places at a time keep the bit matrix small
+        bits = np.unpackbits(((h >> np.uint64(lo)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+        total = np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+        for i in range(8):
+            out[has] |= np.where(total[:, i] > half, np.uint64(1 << (lo + i)), np.uint64(0))
+    return out
+
+
+def with_fingerprint(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key and fp (the 64 bits as a signed long)."""
+
+    def run(it):
+        for b in it:
+            buf, off = string_bytes(b.column(1))
+            fp = [fingerprints(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in chunks(off)]
+            fp = np.concatenate(fp) if fp else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+
+
+def _forest(fp: np.ndarray, node: np.ndarray, left: int, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links among fp; left > 0: only links between the
+    first `left` and the rest count."""
+    n = len(fp)
+    root = np.arange(n)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in range(left or n):
+        j = left if left else i + 1
+        near = np.flatnonzero(np.bitwise_count(fp[j:] ^ fp[i]) <= radius) + j
+        for k in near[root[near] != root[i]].tolist():
+            a, b = find(i), find(k)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((node[i], node[k]))
+    return out
+
+
+def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """nodes: fp, node (distinct fingerprints) -> a, b: links that connect what is
+    within the radius."""
+    spark = nodes.sparkSession
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(int(m) - (1 << 64) if m >= 1 << 63 else int(m)).cast("long").alias("m")) for i, m in enumerate(masks(radius).tolist()))))
+    rows = nodes.select("fp", "node", each.alias("t")).select("fp", "node", F.xxhash64(F.col("t.i"), F.col("fp").bitwiseAND(F.col("t.m"))).alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {BUCKET}")
+    hot = scratch.write(counts, "hot")
+    n_hot = hot.count()
+    plain = rows.select("fp", "node", "key", F.lit(0).alias("side"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    if n_hot:
+        side = hot if n_hot > 1_000_000 else F.broadcast(hot)
+        plain = plain.join(side.select("key"), "key", "left_anti").select(plain.columns)
+        parts = F.ceil(F.col("n") / (BUCKET // 2)).cast("int")
+        dealt = rows.join(side, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("fp", "node", "key", (F.col("own") > F.col("other")).cast("int").alias("side"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        plain = plain.union(dealt)
+
+    def run(it):
+        """Rows come sorted by bucket; a bucket that may go on is carried over."""
+        carry = None
+        for b in _ended(it):
+            if b is not None:
+                t = pa.Table.from_batches([b])
+                carry = t if carry is None else pa.concat_tables([carry, t])
+                if carry.num_rows < 4096:
+                    continue
+            if carry is None or not carry.num_rows:
+                return
+            key, i, j = (carry.column(c).to_numpy() for c in ("key", "i", "j"))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges = np.r_[0, new, len(key)]
+            stop = len(edges) - 1 if b is None else len(edges) - 2
+            fp, node, side = (carry.column(c).to_numpy() for c in ("fp", "node", "side"))
+            fp = fp.view(np.uint64)
+            size = np.diff(edges)[:stop]
+            a, z = [], []
+            two = edges[:stop][size == 2]
+            if len(two):
+                ok = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & ((i[two] == j[two]) | (side[two] != side[two + 1]))
+                a.append(node[two[ok]])
+                z.append(node[two[ok] + 1])
+            for g in np.flatnonzero(size > 2).tolist():
+                lo, hi = edges[g], edges[g + 1]
+                left = int((side[lo:hi] == 0).sum()) if i[lo] != j[lo] else 0
+                if i[lo] != j[lo] and left in (0, hi - lo):
+                    continue
+                if found := _forest(fp[lo:hi], node[lo:hi], left, radius):
+                    x = np.array(found)
+                    a.append(x[:, 0])
+                    z.append(x[:, 1])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(z))], names=["a", "b"])
+            carry = carry.slice(edges[stop]) if b is not None else None
+
+    out = plain.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "fp").mapInArrow(run, "a long, b long")
+    return out.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def _ended(it):
+    yield from it
+    yield None
+
+
+def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+    """edges: u > v -> u, v: v is the smallest node that u reaches (roots are left
+    out). Large and small star contractions until nothing moves."""
+    e, before = scratch.write(edges, "edges"), None
+    for turn in range(most):
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.write(least, "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = scratch.write(large, "large")
+        least2 = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least2, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = scratch.write(small.union(least2.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(30,0)"))).first())
+        scratch.drop(e, least, large, least2)
+        e = new
+        if now == before:
+            return e
+        before = now
+    raise RuntimeError(f"components didn't settle in {most} rounds")
+
+
+def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """key, fp (signed long) and component (smallest key reachable) of every row."""
+    spark = df.sparkSession
+    scratch = Scratch(spark)
+    fps = scratch.write(with_fingerprint(df, text, key), "fp")
+    nodes = scratch.write(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
+    found = components(links(nodes.select("fp", F.col("node").cast("long").alias("node")), scratch, radius), scratch)
+    roots = scratch.write(nodes.join(found, nodes.node == found.u, "left").select("fp", F.coalesce("v", "node").alias("component")), "roots")
+    out = fps.join(roots, "fp", "left")
+    return out.select(F.col("id").alias(key), "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark)
+    out = near_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES = {"op10_simhash": op10_simhash}
+ORACLES: dict = {}
