@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, batches, checked_broadcast, chunks, held_out, mix, span_hashes, string_bytes, table, word_spans
+from .common import EMPTY, LOWER, Lookup, batches, checked_broadcast, chunks, held_out, span_hashes, string_bytes, table, word_spans
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -39,7 +39,6 @@ CALIBRATION_ROWS = 3000
 #: Supposed share of expressions among the words of a toxic text.
 RATE = 0.01
 FIGURES = ("rate", "ratio", "length", "strong", "most")
-EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def grams(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -63,37 +62,6 @@ def grams(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[list[np.ndarra
     return out, k >= 0, word
 
 
-class Lookup:
-    """Open-addressing table from 64-bit keys to rows, probed for whole arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
-        self.mask = np.uint64((1 << bits) - 1)
-        self.keys, self.rows = np.full(1 << bits, EMPTY), np.full(1 << bits, len(keys), np.int32)
-        left, at = np.arange(len(keys)), mix(keys) & self.mask
-        while len(left):
-            free = self.keys[at] == EMPTY
-            _, first = np.unique(at[free], return_index=True)
-            put = np.flatnonzero(free)[first]
-            self.keys[at[put]], self.rows[at[put]] = keys[left[put]], left[put]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, at = left[rest], (at[rest] + np.uint64(1)) & self.mask
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key; a key that isn't there gets the row after the last."""
-        at = mix(keys) & self.mask
-        found = self.keys[at]
-        out = self.rows[at].copy()
-        left = np.flatnonzero((found != keys) & (found != EMPTY))
-        while len(left):
-            at[left] = (at[left] + np.uint64(1)) & self.mask
-            found = self.keys[at[left]]
-            out[left] = self.rows[at[left]]
-            left = left[(found != keys[left]) & (found != EMPTY)]
-        return out
-
-
 @dataclass
 class Model:
     """disc[k]: discounted share of a run of k + 1 bytes; gam[k]: weight of the
