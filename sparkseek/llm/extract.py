@@ -1,0 +1,417 @@
+"""HTML extraction by a recurrent block labeller.
+
+A page is cut into leaf blocks: runs of text between block-level tags, each with its
+path of open tags (names, classes, ids and roles). A bidirectional LSTM in numpy
+reads the blocks of a page in order, each as a vector of hashed path parts, hashed
+words and a few figures, and labels every block as main text or not, with both
+directions' view of the page. It is trained here, on pages made by `synthetic`:
+random mixtures of articles with menus, headers, footers, sidebars, notices,
+adverts, forms, scripts and reader comments under many kinds of markup and with
+invented words.
+
+Main blocks are joined by one line end in page order; white space inside a block is
+one space; character references are decoded once. Scripts, styles and comments are
+no text. Null and empty pages, and pages without main text, give an empty text.
+Broken or unclosed markup is read to its end. Ties and repeated rows get equal
+results; other columns pass through `extract`, clashing ones are replaced.
+"""
+
+from __future__ import annotations
+
+import html
+import random
+import re
+import zlib
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import batches, table
+
+# ---- blocks ------------------------------------------------------------------
+
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+PART = re.compile(r"[A-Za-z]+")
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br acronym button".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: A tag that closes an open one of the same group first.
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HEAD = frozenset("head title".split())
+
+
+def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
+    """(text, path, characters inside links) of every leaf block with text."""
+    page = page or ""
+    out: list = []
+    stack: list[tuple[str, tuple]] = []  # open block-level tags and their path parts
+    text: list[str] = []
+    linked, link = 0, 0
+    at = 0
+
+    def flush() -> None:
+        nonlocal linked
+        if text:
+            t = " ".join(html.unescape("".join(text)).split())
+            if t:
+                out.append((t, tuple(x for _, parts in stack for x in parts), linked))
+            text.clear()
+        linked = 0
+
+    for m in TOKEN.finditer(page):
+        if m.start() > at:
+            piece = page[at : m.start()]
+            text.append(piece)
+            if link:
+                linked += len(piece)
+        at = m.end()
+        tag = m[3]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if tag in INLINE:
+            if tag == "br":
+                text.append(" ")
+            elif tag == "a":
+                link = 0 if m[2] else 1
+            continue
+        flush()
+        link = 0
+        if m[2]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    del stack[k:]
+                    break
+            continue
+        if tag in BLOCKS_CLOSE_P and stack and stack[-1][0] == "p":
+            stack.pop()
+        group = CLOSES.get(tag)
+        if group and stack and stack[-1][0] in group:
+            stack.pop()
+        if tag not in VOID and not (m[4] or "").endswith("/"):
+            parts = [tag]
+            for a in ATTR.finditer(m[4] or ""):
+                parts += (w.lower() for w in PART.findall(a[2] or a[3] or a[4] or ""))
+            stack.append((tag, tuple(parts)))
+    if at < len(page):
+        text.append(page[at:])
+    flush()
+    return out
+
+
+# ---- features ----------------------------------------------------------------
+
+PATH_DIM, WORD_DIM, FIGURES = 96, 32, 8
+DIM = PATH_DIM + WORD_DIM + FIGURES
+
+
+@lru_cache(maxsize=1 << 16)
+def _path_slots(path: tuple[str, ...]) -> tuple[tuple[int, float], ...]:
+    out = []
+    for x in path[-12:]:
+        h = zlib.crc32(x.encode())
+        out.append((h % PATH_DIM, 1.0 if h & (1 << 20) else -1.0))
+    return tuple(out)
+
+
+@lru_cache(maxsize=1 << 17)
+def _word_slot(word: str) -> tuple[int, float]:
+    h = zlib.crc32(word.encode())
+    return PATH_DIM + h % WORD_DIM, 1.0 if h & (1 << 20) else -1.0
+
+
+def vectors(page: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+    out = np.zeros((len(page), DIM), np.float32)
+    for k, (text, path, linked) in enumerate(page):
+        row = out[k]
+        for at, sign in _path_slots(path):
+            row[at] += sign
+        words = text.split()
+        weight = 0.5 / len(words) ** 0.5
+        for w in set(words):
+            at, sign = _word_slot(w)
+            row[at] += sign * weight
+        n = len(text)
+        row[-8:] = (np.log1p(len(words)) / 5, min(1.0, linked / n), text.count(".") / len(words), text.count(",") / len(words), len(path) / 10, (k + 1) / len(page), 1.0 if path and path[-1] in ("p", "h1", "h2", "h3", "li", "blockquote", "pre") else 0.0, 1.0)
+    return out
+
+
+# ---- recurrent labeller --------------------------------------------------------
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Lstm:
+    """One direction over padded batches (time, page, feature)."""
+
+    def __init__(self, rng, dim: int, hidden: int):
+        self.h = hidden
+        self.w = (rng.standard_normal((dim + hidden, 4 * hidden)) / np.sqrt(dim / 4 + hidden)).astype(np.float32)
+        self.b = np.zeros(4 * hidden, np.float32)
+        self.b[hidden : 2 * hidden] = 1
+
+    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+        t, n, d = x.shape
+        h = c = np.zeros((n, self.h), np.float32)
+        pre = x.reshape(t * n, d) @ self.w[:d] + self.b
+        pre = pre.reshape(t, n, -1)
+        out, tape = np.zeros((t, n, self.h), np.float32), []
+        for k in range(t):
+            z = pre[k] + h @ self.w[d:]
+            i, f, o = (_sigmoid(z[:, a * self.h : (a + 1) * self.h]) for a in range(3))
+            g = np.tanh(z[:, 3 * self.h :])
+            c2 = f * c + i * g
+            th = np.tanh(c2)
+            h2 = o * th
+            m = mask[k][:, None]
+            if keep:
+                tape.append((h, c, i, f, o, g, th, m))
+            h, c = np.where(m, h2, h), np.where(m, c2, c)
+            out[k] = h
+        return out, tape
+
+    def back(self, x: np.ndarray, tape, dout: np.ndarray):
+        t, n, d = x.shape
+        dw, db = np.zeros_like(self.w), np.zeros_like(self.b)
+        dh, dc = np.zeros((n, self.h), np.float32), np.zeros((n, self.h), np.float32)
+        for k in range(t - 1, -1, -1):
+            h, c, i, f, o, g, th, m = tape[k]
+            dh = dh + dout[k]
+            dhm, dcm = dh * m, dc * m
+            do = dhm * th
+            dct = dcm + dhm * o * (1 - th * th)
+            dz = np.concatenate([dct * g * i * (1 - i), dct * c * f * (1 - f), do * o * (1 - o), dct * i * (1 - g * g)], 1)
+            dw[:d] += x[k].T @ dz
+            dw[d:] += h.T @ dz
+            db += dz.sum(0)
+            dh = dz @ self.w[d:].T + dh * (1 - m)
+            dc = dct * f + dc * (1 - m)
+        return dw, db
+
+
+@dataclass
+class Labeller:
+    ahead: Lstm
+    behind: Lstm
+    w: np.ndarray
+    b: float
+
+    def scores(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """Chance of each block to be main text; pages of like length share a batch."""
+        out: list = [None] * len(pages)
+        order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
+        at = 0
+        while at < len(order):
+            longest = len(pages[order[min(at + 63, len(order) - 1)]])
+            some = order[at : at + max(1, min(64, 200_000 // max(1, longest)))]
+            at += len(some)
+            x, mask, lengths = pad([pages[k] for k in some])
+            if not x.shape[0]:
+                for k in some:
+                    out[k] = np.zeros(0)
+                continue
+            y = _sigmoid(self.hidden(x, mask)[0] @ self.w + self.b)
+            for col, k in enumerate(some):
+                out[k] = y[: lengths[col], col]
+        return out
+
+    def hidden(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+        a, tape_a = self.ahead.run(x, mask, keep)
+        z, tape_z = self.behind.run(x[::-1], mask[::-1], keep)
+        return np.concatenate([a, z[::-1]], 2), tape_a, tape_z
+
+
+def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    lengths = [len(p) for p in pages]
+    x = np.zeros((max(lengths, default=0), len(pages), DIM), np.float32)
+    mask = np.zeros(x.shape[:2], bool)
+    for k, p in enumerate(pages):
+        x[: len(p), k], mask[: len(p), k] = p, True
+    return x, mask, lengths
+
+
+def train(pages: list[tuple[np.ndarray, np.ndarray]], hidden: int = 12, epochs: int = 8, batch: int = 16, rate: float = 8e-3, seed: int = 5) -> Labeller:
+    """Stochastic gradient descent (Adam) by back-propagation through time."""
+    rng = np.random.default_rng(seed)
+    m = Labeller(Lstm(rng, DIM, hidden), Lstm(rng, DIM, hidden), (rng.standard_normal(2 * hidden) / np.sqrt(2 * hidden)).astype(np.float32), 0.0)
+    bias = np.zeros(1, np.float32)
+    params = [m.ahead.w, m.ahead.b, m.behind.w, m.behind.b, m.w, bias]
+    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    for epoch in range(epochs):
+        order = rng.permutation(len(pages))
+        for at in range(0, len(order), batch):
+            some = [pages[k] for k in order[at : at + batch]]
+            x, mask, lengths = pad([p for p, _ in some])
+            y = np.zeros(x.shape[:2], np.float32)
+            for k, (_, label) in enumerate(some):
+                y[: lengths[k], k] = label
+            h, ta, tz = m.hidden(x, mask, True)
+            d = (_sigmoid(h @ m.w + bias[0]) - y) * mask / mask.sum()
+            dh = d[..., None] * m.w
+            ga = m.ahead.back(x, ta, dh[..., :hidden])
+            gz = m.behind.back(x[::-1], tz, dh[::-1, :, hidden:])
+            grads = [*ga, *gz, (h * d[..., None]).sum((0, 1)), np.array([d.sum()])]
+            step += 1
+            lr = rate * (1 - epoch / epochs * 0.8)
+            for p, g, a, b in zip(params, grads, first, second, strict=True):
+                a += 0.1 * (g - a)
+                b += 0.01 * (g * g - b)
+                p -= lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+    m.b = float(bias[0])
+    return m
+
+
+# ---- made-up training pages ------------------------------------------------------
+
+_SYLLABLES = "an be ch de en er fi ga ha is ko la mi na or pa qu re st th ur vo wi xe yo zu é ö ñ ß tion ment lich ado".split()
+
+
+class _Writer:
+    def __init__(self, rng: random.Random):
+        self.r = rng
+
+    def words(self, a: int, b: int) -> str:
+        return " ".join("".join(self.r.choices(_SYLLABLES, k=self.r.choice((1, 1, 2, 2, 3)))) for _ in range(self.r.randint(a, b)))
+
+    def sentence(self, a: int = 3, b: int = 18) -> str:
+        s = self.words(a, b).capitalize()
+        return s + self.r.choice((".", ".", ".", "!", "?", ""))
+
+    def prose(self) -> str:
+        return " ".join(self.sentence() for _ in range(self.r.choice((1, 1, 2, 3, 5, 8))))
+
+    def links(self, n: int, wrap: str = "li") -> str:
+        return "".join(f'<{wrap}><a href="/{self.words(1, 1)}">{self.words(1, 3)}</a></{wrap}>' for _ in range(n))
+
+    def junk(self) -> str:
+        r, c = self.r, lambda *x: self.r.choice(x)
+        kind = r.randrange(11)
+        cls = lambda *x: c(f' class="{c(*x)}"', f' id="{c(*x)}"')
+        if kind == 0:
+            return f"<nav{c('', cls('menu', 'navbar', 'main-nav', 'breadcrumb'))}><ul>{self.links(r.randint(1, 9))}</ul></nav>"
+        if kind == 1:
+            return f"<header{c('', cls('site-header', 'masthead', 'top'))}>{c('<h1>', '<p>', '<div>', '<a href=/>')}{self.words(1, 4)}</header>"
+        if kind == 2:
+            return f"<footer{c('', cls('site-footer', 'bottom'))}>{c('', '<p>', '<div>')}&copy; {self.words(1, 3)} &middot; {self.sentence()}</footer>"
+        if kind == 3:
+            return f"<aside{c('', cls('sidebar', 'related', 'widget'))}><h3>{self.words(1, 3)}</h3>{c('<ul>' + self.links(r.randint(1, 6)) + '</ul>', '<p>' + self.prose() + '</p>')}</aside>"
+        if kind == 4:
+            return f"<div{cls('sidebar', 'side-bar', 'widget', 'related-posts', 'recommended', 'right-column', 'tags', 'share', 'social')}>{c('<ul>' + self.links(r.randint(1, 6)) + '</ul>', '<p>' + self.prose() + '</p>', self.sentence())}</div>"
+        if kind == 5:
+            return f"<div{cls('cookie', 'cookie-banner', 'notice', 'consent', 'alert', 'banner', 'gdpr', 'popup', 'modal')}>{c('', '<p>')}{self.prose()}{c('', ' <button>' + self.words(1, 2) + '</button>')}</div>"
+        if kind == 6:
+            return f"<div{cls('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'ad-slot')}>{c('', '<p>')}{self.prose()}</div>"
+        if kind == 7:
+            return f"<form{c('', cls('search', 'newsletter', 'subscribe', 'login'))}><label>{self.words(1, 3)}</label><input name=q>{c('', '<p>' + self.sentence() + '</p>')}<button>{self.words(1, 2)}</button></form>"
+        if kind == 8:
+            each = lambda: f"<{c('div', 'li', 'article', 'p')}{c('', cls('comment', 'comment-body', 'reply'))}>{c('', '<p>')}{self.prose()}"
+            close = c("div", "section", "ul", "ol")
+            return f"<{close}{cls('comments', 'comment-list', 'discussion', 'replies', 'disqus', 'responses', 'reader-comments')}>{c('', '<h3>' + self.words(1, 3) + '</h3>')}{''.join(each() for _ in range(r.randint(1, 5)))}</{close}>"
+        if kind == 9:
+            return f"<script>var t='</p>';track({r.randint(0, 9)});</script><style>p{{margin:0}}</style><!-- {self.words(1, 4)} -->"
+        return f"<ul{c('', cls('menu', 'nav', 'links', 'pagination', 'breadcrumbs', 'topbar'))}>{self.links(r.randint(2, 9))}</ul>"
+
+    def main(self) -> str:
+        r, c = self.r, lambda *x: self.r.choice(x)
+        out = [] if r.random() < 0.1 else [f"<h1>{self.sentence(2, 10)}</h1>"]
+        for _ in range(r.choice((1, 1, 2, 3, 5, 8, 13))):
+            kind = r.random()
+            if kind < 0.6:
+                out.append(f"<p>{c('', '', '<b>')}{self.prose()}{c('</p>', '</p>', '</p>', '')}")
+            elif kind < 0.7:
+                out.append(f"<p><b>{self.prose()}<br><p>{self.prose()}</p>")
+            elif kind < 0.77:
+                out.append(f"<h{c(2, 3)}>{self.words(1, 6)}</h{c(2, 3)}>")
+            elif kind < 0.84:
+                out.append("<ul>" + "".join(f"<li>{self.sentence()}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
+            elif kind < 0.89:
+                out.append(f"<blockquote>{c('', '<p>')}{self.prose()}</blockquote>")
+            elif kind < 0.93:
+                out.append(f"<pre>{self.words(2, 12)}</pre>")
+            elif kind < 0.96:
+                out.append("<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
+            else:
+                out.append(f"<div>{self.prose()}</div>")
+        return "".join(out)
+
+    def page(self) -> str:
+        r, c = self.r, lambda *x: self.r.choice(x)
+        tag = c("article", "article", "article", "main", "div", "section")
+        cls = c("", "", ' class="post"', ' class="entry-content"', ' class="article-body"', ' id="content"', ' class="content"') if tag in ("article", "main") else c(' class="post-content"', ' class="entry"', ' id="content"', ' class="article"', ' id="main"', ' class="story-body"', ' class="text"')
+        body, close = f"<{tag}{cls}>\x01{self.main()}\x02", f"</{tag}>"
+        if r.random() < 0.25:  # junk inside the article
+            body += self.junk()
+            if r.random() < 0.3:
+                body += f"\x01<p>{self.prose()}</p>\x02"
+        body += close
+        if r.random() < 0.25:
+            body = f"<{c('main', 'div class=container', 'div id=page', 'div class=wrapper', 'section')}>{body}{self.junk() if r.random() < 0.3 else ''}"
+            body += f"</{re.match('<([a-z]+)', body)[1]}>"
+        before, after = (r.choice((0, 1, 2, 2, 3, 4)) for _ in range(2))
+        head = f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body>"
+        return head + "".join(self.junk() for _ in range(before)) + body + "".join(self.junk() for _ in range(after)) + c("</body></html>", "")
+
+
+def synthetic(n: int, seed: int = 3) -> list[tuple[list, np.ndarray]]:
+    """Pages cut into blocks, with labels: a block is main if it lies between the
+    marks that the writer leaves around main text."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        page = blocks(_Writer(rng).page().replace("\x01", "<mark-a></mark-a>\x01").replace("\x02", "\x02<mark-b></mark-b>"))
+        inside, labels, kept = False, [], []
+        for text, path, linked in page:
+            begins, ends = "\x01" in text, "\x02" in text
+            inside = inside or begins
+            text = " ".join(text.replace("\x01", " ").replace("\x02", " ").split())
+            if text:
+                kept.append((text, path, linked))
+                labels.append(float(inside))
+            inside = inside and not ends
+        out.append((kept, np.array(labels, np.float32)))
+    return out
+
+
+@lru_cache(maxsize=2)
+def model(pages: int = 1500, seed: int = 3) -> Labeller:
+    return train([(vectors(p), y) for p, y in synthetic(pages, seed) if p])
+
+
+# ---- operator --------------------------------------------------------------------
+
+
+def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
+    cut = [[b for b in blocks(p) if not (b[1] and (b[1][-1] in HEAD or "head" in b[1]))] for p in pages]
+    scores = labeller.scores([vectors(p) for p in cut])
+    return ["\n".join(b[0] for b, s in zip(p, y, strict=True) if s >= 0.5) for p, y in zip(cut, scores, strict=True)]
+
+
+def extract(df: DataFrame, page: str = "html", labeller: Labeller | None = None) -> DataFrame:
+    """df with its html replaced by text and n_chars."""
+    df = df.drop("text", "n_chars")
+    sent, at = df.sparkSession.sparkContext.broadcast(labeller or model()), df.columns.index(page)
+    fields = [f for f in df.schema.fields if f.name != page] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+
+    def run(it):
+        for b in it:
+            texts = main_texts(b.column(at).to_pylist(), sent.value)
+            rest = [k for k in range(b.num_columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in fields])
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark, 512)
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.col("n_chars"))
+
+
+QUERIES = {"op7_extract": op7_extract}
+ORACLES: dict = {}
