@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "toxicity", "rules", "mixing", "decontam", "sharding", "extract", "chat", "simhash")
+MODULES = ("quality", "toxicity", "rules", "mixing", "decontam", "sharding", "extract", "substrings", "chat", "simhash")
 
 
 def _gather(name: str) -> dict:

@@ -1,0 +1,421 @@
+"""Suffix-array deduplication: repeated byte strings of a length, across documents.
+
+Documents are packed into batches. In every WINDOW-byte string the run of ANCHOR
+bytes with the least hash is its anchor, so equal strings have equal anchors
+wherever they stand. Neighbouring strings with one anchor make a segment of less
+than two windows. Anchors that only one document has are out of the question;
+segments of the others are dealt by anchor, equal ones of a batch once, with the
+smallest id that has them. An anchor of more than HOT documents is cut into its
+single strings, dealt by their own hash, so no task gets a whole common passage.
+
+Each task builds the multi-document transform of its segments column by column:
+it starts with the empty suffix of each, and every round puts one more symbol in
+front of each segment's last suffix. A round reads the suffixes in order, one after
+the other, sends each on to the file of the symbol before it (the transform's
+column), and the files, in symbol order, are the next round's order. Files stay in
+memory while small and spill to disk. In the final order common prefixes of
+neighbours tell which strings are equal, and the smallest id of a class is the
+first document that holds it.
+
+A byte goes if a WINDOW-byte string that covers it also starts in a document of a
+smaller id; strings are judged on the input. Null texts are empty; texts shorter
+than WINDOW lose nothing; rows of one id don't remove each other; a null id comes
+after all others. Empty tables give no rows.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import tempfile
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import Scratch, batches, mix, span_hashes, string_bytes, table
+
+WINDOW = 50
+ANCHOR = 20
+MOST_WINDOWS = 48
+HOT = 1024
+NOWHERE, MULTI = 100, 128
+BATCH_BYTES = 4 << 20
+#: Suffixes that a round holds in memory (about 16 bytes each).
+CHUNK = 8 << 20
+NO_ID = np.int64(2**63 - 1)
+
+_pack = lambda x: zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+_unpack = lambda b, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+def packed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Batches of documents: batch, ids, sizes, data (compressed bytes)."""
+
+    def run(it):
+        part, seq, ids, bufs, sizes, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+        def flush():
+            nonlocal seq, ids, bufs, sizes, held
+            row = [pa.array([(part << 32) | seq]), pa.array([_pack(np.concatenate(ids))]), pa.array([_pack(np.concatenate(sizes))]), pa.array([_pack(np.concatenate(bufs))])]
+            seq, ids, bufs, sizes, held = seq + 1, [], [], [], 0
+            return pa.RecordBatch.from_arrays(row, names=["batch", "ids", "sizes", "data"])
+
+        for b in it:
+            own = b.column(0).cast(pa.int64()).fill_null(NO_ID.item()).to_numpy()
+            buf, off = string_bytes(b.column(1))
+            i = 0
+            while i < len(own):
+                j = max(i + 1, int(np.searchsorted(off, off[i] + BATCH_BYTES - held, "right")) - 1)
+                ids.append(own[i:j])
+                bufs.append(buf[off[i] : off[j]])
+                sizes.append(np.diff(off[i : j + 1]))
+                held, i = held + int(off[j] - off[i]), j
+                if held >= BATCH_BYTES * 7 // 8:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "batch long, ids binary, sizes binary, data binary")
+
+
+class Batch:
+    """Documents of one batch and the segments of their strings."""
+
+    def __init__(self, ids: bytes, sizes: bytes, data: bytes):
+        self.ids = _unpack(ids, np.int64)
+        self.off = np.r_[0, np.cumsum(_unpack(sizes, np.int64))]
+        self.buf = _unpack(data, np.uint8)
+        self.segments()
+
+    def segments(self) -> None:
+        """start, windows, row and anchor of each segment; the distinct anchors."""
+        n, w = len(self.buf), WINDOW - ANCHOR + 1
+        self.start = np.zeros(0, np.int64)
+        self.windows, self.row, self.anchor = self.start, self.start, np.zeros(0, np.uint64)
+        self.distinct, self.inv = self.anchor, self.start
+        if n < WINDOW:
+            return
+        raw = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        word = np.ndarray((n,), "<u8", raw, strides=(1,))
+        h = word[: n - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += word[8 : n - ANCHOR + 9]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h += word[12 : n - ANCHOR + 13]
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        self.hash, low, span = h, h, 1
+        while span * 2 <= w:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < w:
+            low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
+        sizes = np.diff(self.off)
+        rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[: n - WINDOW + 1]
+        whole = rows == np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[WINDOW - 1 :]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (rows[1:] != rows[:-1])
+        new[1:] |= whole[1:] != whole[:-1]
+        edge = np.flatnonzero(new)
+        length = np.diff(np.r_[edge, len(low)])
+        keep = whole[edge]
+        edge, length = edge[keep], length[keep]
+        pieces = -(-length // MOST_WINDOWS)  # runs of one repeated anchor may be long
+        k = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.start = np.repeat(edge, pieces) + k * MOST_WINDOWS
+        self.windows = np.minimum(MOST_WINDOWS, np.repeat(length, pieces) - k * MOST_WINDOWS)
+        self.row, self.anchor = rows[self.start], low[self.start]
+        self.distinct, self.inv = np.unique(self.anchor, return_inverse=True)
+
+    def entries(self, parts: int):
+        """(part, anchors, documents that have them) of the batch's distinct anchors."""
+        pairs = np.unique(self.inv * np.int64(len(self.ids)) + self.row) // len(self.ids)
+        docs = np.minimum(np.bincount(pairs, minlength=len(self.distinct)), 65535).astype(np.uint16)
+        part = (self.distinct % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.flatnonzero(np.diff(part[order])) + 1
+        for some in np.split(order, cut):
+            if len(some):
+                yield int(part[some[0]]), self.distinct[some], docs[some]
+
+    def flagged(self, flags: list, parts: int) -> np.ndarray:
+        """0, 1 (shared) or 2 (shared by many) of each distinct anchor."""
+        out = np.zeros(len(self.distinct), np.uint8)
+        part = (self.distinct % np.uint64(parts)).astype(np.int64)
+        for f in flags:
+            out[part == f["p"]] = np.frombuffer(f["flag"], np.uint8)
+        return out
+
+    def strings(self, flag: np.ndarray, parts: int) -> None:
+        """The shared segments: start, length in windows, row, and for each its
+        distinct string; for each distinct string a place, length, least id and part."""
+        f = flag[self.inv] if len(self.inv) else np.zeros(0, np.uint8)
+        one, many = np.flatnonzero(f == 1), np.flatnonzero(f == 2)
+        n = self.windows[many]
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.s = np.r_[self.start[one], np.repeat(self.start[many], n) + k]
+        self.n = np.r_[self.windows[one], np.ones(len(k), np.int64)]
+        self.r = np.r_[self.row[one], np.repeat(self.row[many], n)]
+        h = span_hashes(self.buf, self.s, self.s + self.n + WINDOW - 1) if len(self.s) else np.zeros(0, np.uint64)
+        name = np.r_[mix(self.anchor[one] + np.uint64(1)), mix(h[len(one) :])]
+        _, first, self.of = np.unique(h, return_index=True, return_inverse=True)
+        self.at, self.len = self.s[first], self.n[first]
+        self.least = np.full(len(first), NO_ID)
+        np.minimum.at(self.least, self.of, self.ids[self.r])
+        self.part = (name[first] % np.uint64(parts)).astype(np.int64)
+        # where the anchor lies in each distinct string (NOWHERE for single windows), and whether two rows hold it
+        place = np.full(len(self.s), NOWHERE, np.uint8)
+        at, left = self.start[one] + self.windows[one] - 1, np.arange(len(one))
+        while len(left):
+            left = left[self.hash[at[left]] != self.anchor[one[left]]]
+            at[left] += 1
+        place[: len(one)] = at - self.start[one]
+        rows = np.bincount(self.of, minlength=len(first))
+        self.mark = place[first] + np.where(rows > 1, np.uint8(MULTI), np.uint8(0))
+
+    def by_part(self):
+        """(part, indices of distinct strings)."""
+        order = np.argsort(self.part, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(self.part[order])) + 1):
+            if len(some):
+                yield int(self.part[some[0]]), some
+
+
+def spans_of(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of all bytes of the spans, one span after the other."""
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def suffix_order(text: np.ndarray, off: np.ndarray, chunk: int = CHUNK):
+    """Column-wise construction: yields arrays of places of suffixes, in order.
+    text: the segments, each behind a zero byte that ends its rounds; off: the
+    places of the zero bytes, and the end. More than `chunk` suffixes go through
+    one file for each symbol, written and read from front to end."""
+    ends = off[1:].astype(np.int32)  # place after the last byte: the empty suffix
+
+    def moved(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next suffixes, by the symbol put in front, and those symbols."""
+        before = text[places - 1]
+        order = np.argsort(before, kind="stable")
+        before = before[order]
+        begin = int(np.searchsorted(before, 1))
+        return places[order[begin:]] - 1, before[begin:]
+
+    files: list = [ends]
+    for _ in range(int(np.diff(off).max(initial=1)) - 1):
+        if len(files) == 1 and len(files[0]) + len(ends) <= chunk:
+            files = [np.concatenate([ends, moved(files[0])[0]])]
+            continue
+        columns: dict = {}
+        for places in _read(files, chunk):
+            new, symbols = moved(places)
+            cut = np.flatnonzero(np.diff(symbols)) + 1
+            for x, c in zip(np.split(new, cut), symbols[np.r_[0, cut]].tolist() if len(symbols) else (), strict=False):
+                if c not in columns:
+                    columns[c] = tempfile.TemporaryFile()
+                columns[c].write(x.tobytes())
+        files = [ends, *(columns[c] for c in sorted(columns))]
+    yield from _read(files, chunk)
+
+
+def _read(files: list, chunk: int):
+    for f in files:
+        if isinstance(f, np.ndarray):
+            yield from (f[k : k + chunk] for k in range(0, len(f), chunk))
+        else:
+            with f:
+                f.seek(0)
+                while data := f.read(4 * chunk):
+                    yield np.frombuffer(data, np.int32)
+
+
+def first_holders(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments (bytes in a row, sizes, smallest ids) -> by place, the smallest id that
+    holds the window there; segment k begins at place off[k] + 1."""
+    # a zero byte in front of each; bytes move up by one (valid UTF-8 has no byte 255)
+    off = np.r_[0, np.cumsum(size + 1)]
+    text = np.zeros(int(off[-1]) + 8, np.uint8)
+    text[spans_of(off[:-1] + 1, size)] = data + np.uint8(1)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    room = off[1:][owner] - np.arange(len(owner))  # bytes from a place to its segment's end
+    first = np.full(len(owner), NO_ID)
+    kept = []
+    for p in suffix_order(text, off):
+        p = p[text[p] > 0]
+        kept.append(p[room[p] >= WINDOW])
+    p = np.concatenate(kept)
+    # common prefixes of neighbours, as far as a window reaches
+    word = np.ndarray((len(owner),), "<u8", text, strides=(1,))
+    same = np.ones(len(p) - 1, bool)
+    for k in (*range(0, WINDOW - 7, 8), WINDOW - 8):
+        x = word[p + k]
+        same &= x[1:] == x[:-1]
+    group = np.r_[0, np.cumsum(~same)]
+    least_of = np.full(int(group[-1]) + 1, NO_ID)
+    np.minimum.at(least_of, group, least[owner[p]])
+    first[p] = least_of[group]
+    return first, off
+
+
+def partners(data: np.ndarray, off: np.ndarray, mark: np.ndarray, least: np.ndarray):
+    """The first of each distinct segment, the distinct one of each, its smallest
+    id, and the distinct ones to insert: those found twice, and those that share
+    their anchor with half of the rest of a window on one side of it with another.
+    A window that two segments share covers that much on one side."""
+    _, one, inv, many = np.unique(span_hashes(data, off[:-1], off[1:]), return_index=True, return_inverse=True, return_counts=True)
+    own = np.full(len(one), NO_ID)
+    np.minimum.at(own, inv, least)
+    again = many > 1
+    again |= np.bincount(inv, mark >= MULTI, len(one)) > 0
+    place, side = mark[one].astype(np.int64) % MULTI, (WINDOW - ANCHOR) // 2
+    at = off[one] + place
+    for lo, hi in ((at - side, at + ANCHOR), (at, at + ANCHOR + side)):
+        can = np.flatnonzero((place != NOWHERE) & (lo >= off[one]) & (hi <= off[one + 1]))
+        if len(can):
+            _, key, count = np.unique(span_hashes(data, lo[can], hi[can]), return_inverse=True, return_counts=True)
+            again[can] |= count[key] > 1
+    return one, inv, own, np.flatnonzero(again)
+
+
+def shared_anchors(packs: DataFrame, parts: int) -> DataFrame:
+    """batch, p, flag: for the batch's anchors of part p, in order, whether other
+    documents have them."""
+
+    def emit(it):
+        for b in it:
+            for r in b.to_pylist():
+                rows = list(Batch(r["ids"], r["sizes"], r["data"]).entries(parts))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([r["batch"]] * len(rows), pa.int64()), pa.array([x[1].tobytes() for x in rows], pa.binary()), pa.array([x[2].tobytes() for x in rows], pa.binary())], names=["p", "batch", "anchors", "docs"])
+
+    def judge(t: pa.Table) -> pa.Table:
+        anchors = [np.frombuffer(x, np.uint64) for x in t.column("anchors").to_pylist()]
+        docs = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("docs").to_pylist()])
+        keys, inv = np.unique(np.concatenate(anchors), return_inverse=True)
+        total = np.bincount(inv, docs, len(keys))
+        flag = ((total > 1).astype(np.uint8) + (total > HOT))[inv]
+        cut = np.cumsum([len(a) for a in anchors])[:-1]
+        return pa.table({"batch": t.column("batch"), "p": t.column("p"), "flag": pa.array([x.tobytes() for x in np.split(flag, cut)], pa.binary())})
+
+    rows = packs.mapInArrow(emit, "p int, batch long, anchors binary, docs binary")
+    return rows.groupBy("p").applyInArrow(judge, "batch long, p int, flag binary")
+
+
+def answers(asked: DataFrame, parts: int) -> DataFrame:
+    """batch, p, hit: for each of the batch's strings of part p a word of bits, one
+    for each window that a smaller id than the batch's holds."""
+
+    def emit(it):
+        for b in it:
+            for r in b.to_pylist():
+                x = Batch(r["ids"], r["sizes"], r["data"])
+                x.strings(x.flagged(r["flags"], parts), parts)
+                rows = [(p, _pack(x.buf[spans_of(x.at[i], x.len[i] + WINDOW - 1)]), x.len[i].astype(np.uint8).tobytes() + x.mark[i].tobytes(), _pack(x.least[i])) for p, i in x.by_part()]
+                yield pa.RecordBatch.from_arrays([pa.array([y[0] for y in rows], pa.int32()), pa.array([r["batch"]] * len(rows), pa.int64()), *(pa.array([y[k] for y in rows], pa.binary()) for k in (1, 2, 3))], names=["p", "batch", "data", "windows", "least"])
+
+    def solve(t: pa.Table) -> pa.Table:
+        both = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in t.column("windows").to_pylist()]
+        windows, mark = [x[0].astype(np.int64) for x in both], np.concatenate([x[1] for x in both])
+        data = np.concatenate([_unpack(x, np.uint8) for x in t.column("data").to_pylist()])
+        least = np.concatenate([_unpack(x, np.int64) for x in t.column("least").to_pylist()])
+        n = np.concatenate(windows)
+        size = n + WINDOW - 1
+        off = np.r_[0, np.cumsum(size)]
+        one, inv, own, some = partners(data, off, mark, least)
+        # equal segments of all batches are inserted once, with the smallest id
+        first, place = np.repeat(own, n[one]), np.cumsum(n[one]) - n[one]
+        if len(some):
+            found, at = first_holders(data[spans_of(off[one[some]], size[one[some]])], size[one[some]], own[some])
+            first[spans_of(place[some], n[one[some]])] = found[spans_of(at[:-1] + 1, n[one[some]])]
+        hit = np.zeros(len(n), np.uint64)
+        seg = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+        smaller = first[place[inv[seg]] + k] < least[seg]
+        np.bitwise_or.at(hit, seg[smaller], np.uint64(1) << k[smaller].astype(np.uint64))
+        cut = np.cumsum([len(w) for w in windows])[:-1]
+        return pa.table({"batch": t.column("batch"), "p": t.column("p"), "hit": pa.array([_pack(x) for x in np.split(hit, cut)], pa.binary())})
+
+    rows = asked.mapInArrow(emit, "p int, batch long, data binary, windows binary, least binary")
+    return rows.groupBy("p").applyInArrow(solve, "batch long, p int, hit binary")
+
+
+def removed(x: Batch, flags: list, hits: list, parts: int) -> np.ndarray:
+    """For every byte of the batch whether it goes."""
+    x.strings(x.flagged(flags, parts), parts)
+    of_part = {h["p"]: h["hit"] for h in hits}
+    bits = np.zeros(len(x.at), np.uint64)
+    for p, i in x.by_part():
+        bits[i] = _unpack(of_part[p], np.uint64)
+    later = x.ids[x.r] > x.least[x.of]
+    seg = np.repeat(np.arange(len(x.s)), x.n)
+    k = np.arange(len(seg)) - np.repeat(np.cumsum(x.n) - x.n, x.n)
+    gone = later[seg] | ((bits[x.of[seg]] >> k.astype(np.uint64)) & np.uint64(1)).astype(bool)
+    begins = np.zeros(len(x.buf) + 1, np.int32)
+    begins[x.s[seg[gone]] + k[gone] + 1] = 1
+    total = np.cumsum(begins)
+    out = total[1:].copy()
+    out[WINDOW:] -= total[1 : len(total) - WINDOW]
+    return out > 0
+
+
+def _with(packs: DataFrame, name: str, rows: DataFrame, *cols: str) -> DataFrame:
+    lists = rows.groupBy("batch").agg(F.collect_list(F.struct(*cols)).alias(name))
+    return packs.join(lists, "batch", "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+
+
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; spans: also the
+    removed runs as (start, end) bytes."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark)
+    packs = scratch.write(packed(df, key, text), "packs")
+    flags = scratch.write(shared_anchors(packs, parts), "flags")
+    asked = _with(packs, "flags", flags, "p", "flag")
+    hits = scratch.write(answers(asked, parts), "hits")
+    whole = _with(asked, "hits", hits, "p", "hit")
+
+    def finish(it):
+        for b in it:
+            for r in b.to_pylist():
+                x = Batch(r["ids"], r["sizes"], r["data"])
+                gone = removed(x, r["flags"], r["hits"], parts)
+                size = np.diff(x.off)
+                total = np.r_[0, np.cumsum(gone)]
+                starts = gone.copy()
+                starts[1:] &= ~gone[:-1]
+                inner = x.off[1:-1]
+                inner = inner[(inner > 0) & (inner < len(gone))]
+                starts[inner] = gone[inner]
+                runs = np.r_[0, np.cumsum(starts)]
+                kept = x.buf[~gone].tobytes()
+                at = x.off - total[x.off]
+                digest = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                ids = pa.array(x.ids, mask=x.ids == NO_ID)
+                cols = [ids, pa.array(size), pa.array(np.diff(total[x.off])), pa.array(np.diff(runs[x.off])), pa.array(digest)]
+                names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if spans:
+                    stops = gone.copy()
+                    stops[:-1] &= ~gone[1:]
+                    stops[inner - 1] = gone[inner - 1]
+                    s, e = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+                    row = np.searchsorted(x.off, s, "right") - 1
+                    each = [[{"start": int(a - x.off[k]), "end": int(z - x.off[k])} for a, z in zip(s[row == k], e[row == k], strict=True)] for k in range(len(size))]
+                    cols.append(pa.array(each, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+                    names.append("spans")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<start:long,end:long>>" if spans else "")
+    return whole.mapInArrow(finish, schema)
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark, 1024)
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_substrings": op8_substrings}
+ORACLES: dict = {}
