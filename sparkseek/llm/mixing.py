@@ -172,6 +172,21 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     return x.select(F.col("_key").alias(key), F.col("n").alias("size"), "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("n") * F.col("copies")).alias("taken"), F.col("source").alias("_source"), F.col("_again"))
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=(1, 2, 3)) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Rows that agree in id,
+    source and size share what the mix takes of them."""
+    taken = mix_sources(docs, key, source, text, weights).groupBy(F.col(key).alias("_k"), "_source", F.col("size").alias("_n")).agg(F.collect_list("copies").alias("_copies"))
+    taken = Scratch(docs.sparkSession).write(taken, "taken")
+    rows = docs.withColumn("_n", n_words(text))
+    same = rows[key].eqNullSafe(taken["_k"]) & rows[source].cast("string").eqNullSafe(taken["_source"]) & (rows["_n"] == taken["_n"])
+    x = rows.join(checked_broadcast(taken, taken.count()), same).drop(taken["_n"])
+    # several rows of one id and size: each takes the share of its place among them, the odd rest by lot
+    total, times = F.aggregate("_copies", F.lit(0), lambda a, c: a + c), F.size("_copies")
+    copies = F.floor((total + F.pmod(F.xxhash64(text), times)) / times).cast("int")
+    x = x.withColumn("_copies", F.when(times == 1, total).otherwise(copies))
+    return x.where("_copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches(spark)
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

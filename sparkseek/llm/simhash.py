@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, batches, chunks, string_bytes, table, word_spans
+from .common import LOWER, Scratch, batches, checked_broadcast, chunks, string_bytes, table, word_spans
 
 RADIUS = 3
 SHINGLE = 3
@@ -217,6 +217,15 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", radius:
     return out.select(F.col("id").alias(key), "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The rows of df that are the smallest id of their component. Rows of a null id
+    stay; of rows that share that id, each stays."""
+    found = near_groups(df.select(key, text), text, key, radius)
+    gone = found.where(F.col("component") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
+    gone = Scratch(df.sparkSession).write(gone, "gone")
+    return df.join(checked_broadcast(gone, gone.count()), F.col(key) == F.col("_gone"), "left_anti")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches(spark)
     out = near_groups(table(spark, sf_dir, "documents"))
