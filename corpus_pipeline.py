@@ -18,8 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm import decontam, mixing, sharding, simhash, toxicity
-from sparkseek.llm.common import Scratch, batches, held_out, table, text_of
+from gleaner.llm import decontam, mixing, sharding, simhash, toxicity
+from gleaner.llm.common import Scratch, batches, held_out, table, text_of
 
 TOXIC_FROM = 0.5
 
