@@ -8,14 +8,15 @@ segments of the others are dealt by anchor, equal ones of a batch once, with the
 smallest id that has them. An anchor of more than HOT documents is cut into its
 single strings, dealt by their own hash, so no task gets a whole common passage.
 
-Each task builds the multi-document transform of its segments column by column:
-it starts with the empty suffix of each, and every round puts one more symbol in
-front of each segment's last suffix. A round reads the suffixes in order, one after
-the other, sends each on to the file of the symbol before it (the transform's
-column), and the files, in symbol order, are the next round's order. Files stay in
-memory while small and spill to disk. In the final order common prefixes of
-neighbours tell which strings are equal, and the smallest id of a class is the
-first document that holds it.
+Each task builds the multi-document transform of the windows of its segments column
+by column: every round puts one more symbol in front of each window's suffix. A
+round reads the suffixes in order, one after the other, and sends each on to the
+file of its new symbol; the files, in symbol order, are the next round's order. As
+all windows have one length, the suffixes of a round are ranked by those of the
+round before alone, and only the newest layer is kept. Small layers stay in memory,
+larger ones go through files on disk. In the final order common prefixes of
+neighbours tell which windows are equal, and the smallest id of a class is the first
+document that holds it.
 
 A byte goes if a WINDOW-byte string that covers it also starts in a document of a
 smaller id; strings are judged on the input. Null texts are empty; texts shorter
@@ -42,8 +43,8 @@ ANCHOR = 20
 MOST_WINDOWS = 48
 HOT = 1024
 NOWHERE, MULTI = 100, 128
-BATCH_BYTES = 4 << 20
-#: Suffixes that a round holds in memory (about 16 bytes each).
+BATCH_BYTES = 2 << 20
+#: Documents that a round holds in memory (about 16 bytes each).
 CHUNK = 8 << 20
 NO_ID = np.int64(2**63 - 1)
 
@@ -134,13 +135,15 @@ class Batch:
     def entries(self, parts: int):
         """(part, anchors, documents that have them) of the batch's distinct anchors."""
         pairs = np.unique(self.inv * np.int64(len(self.ids)) + self.row) // len(self.ids)
-        docs = np.minimum(np.bincount(pairs, minlength=len(self.distinct)), 65535).astype(np.uint16)
+        docs = np.minimum(np.bincount(pairs, minlength=len(self.distinct)), 255).astype(np.uint8)
+        # the upper 40 bits name an anchor within its part; a clash only asks for more than needed
+        names = (self.distinct >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
         part = (self.distinct % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cut = np.flatnonzero(np.diff(part[order])) + 1
         for some in np.split(order, cut):
             if len(some):
-                yield int(part[some[0]]), self.distinct[some], docs[some]
+                yield int(part[some[0]]), names[some], docs[some]
 
     def flagged(self, flags: list, parts: int) -> np.ndarray:
         """0, 1 (shared) or 2 (shared by many) of each distinct anchor."""
@@ -190,36 +193,30 @@ def spans_of(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def suffix_order(text: np.ndarray, off: np.ndarray, chunk: int = CHUNK):
-    """Column-wise construction: yields arrays of places of suffixes, in order.
-    text: the segments, each behind a zero byte that ends its rounds; off: the
-    places of the zero bytes, and the end. More than `chunk` suffixes go through
-    one file for each symbol, written and read from front to end."""
-    ends = off[1:].astype(np.int32)  # place after the last byte: the empty suffix
-
-    def moved(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next suffixes, by the symbol put in front, and those symbols."""
-        before = text[places - 1]
-        order = np.argsort(before, kind="stable")
-        before = before[order]
-        begin = int(np.searchsorted(before, 1))
-        return places[order[begin:]] - 1, before[begin:]
-
-    files: list = [ends]
-    for _ in range(int(np.diff(off).max(initial=1)) - 1):
-        if len(files) == 1 and len(files[0]) + len(ends) <= chunk:
-            files = [np.concatenate([ends, moved(files[0])[0]])]
+def column_order(text: np.ndarray, places: np.ndarray, chunk: int = CHUNK) -> list:
+    """Column-wise construction over the windows at `places`, documents of WINDOW
+    bytes each. Round by round every document gets one more symbol in front of its
+    suffix: its new rank is by that symbol, then by the rank it had. The symbols of a
+    round in rank order are that round's column of the transform. More than `chunk`
+    documents go through one file for each symbol, written and read from front to
+    end. Returns arrays or files of places, in order."""
+    files: list = [places.astype(np.int32)]
+    for depth in range(WINDOW - 1, -1, -1):
+        if len(files) == 1 and len(files[0]) <= chunk:
+            files = [files[0][np.argsort(text[files[0] + depth], kind="stable")]]
             continue
         columns: dict = {}
-        for places in _read(files, chunk):
-            new, symbols = moved(places)
+        for some in _read(files, chunk):
+            symbols = text[some + depth]
+            order = np.argsort(symbols, kind="stable")
+            symbols = symbols[order]
             cut = np.flatnonzero(np.diff(symbols)) + 1
-            for x, c in zip(np.split(new, cut), symbols[np.r_[0, cut]].tolist() if len(symbols) else (), strict=False):
+            for x, c in zip(np.split(some[order], cut), symbols[np.r_[0, cut]].tolist(), strict=True):
                 if c not in columns:
                     columns[c] = tempfile.TemporaryFile()
                 columns[c].write(x.tobytes())
-        files = [ends, *(columns[c] for c in sorted(columns))]
-    yield from _read(files, chunk)
+        files = [columns[c] for c in sorted(columns)]
+    return files
 
 
 def _read(files: list, chunk: int):
@@ -233,32 +230,33 @@ def _read(files: list, chunk: int):
                     yield np.frombuffer(data, np.int32)
 
 
-def first_holders(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments (bytes in a row, sizes, smallest ids) -> by place, the smallest id that
-    holds the window there; segment k begins at place off[k] + 1."""
-    # a zero byte in front of each; bytes move up by one (valid UTF-8 has no byte 255)
-    off = np.r_[0, np.cumsum(size + 1)]
-    text = np.zeros(int(off[-1]) + 8, np.uint8)
-    text[spans_of(off[:-1] + 1, size)] = data + np.uint8(1)
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-    room = off[1:][owner] - np.arange(len(owner))  # bytes from a place to its segment's end
-    first = np.full(len(owner), NO_ID)
-    kept = []
-    for p in suffix_order(text, off):
-        p = p[text[p] > 0]
-        kept.append(p[room[p] >= WINDOW])
-    p = np.concatenate(kept)
-    # common prefixes of neighbours, as far as a window reaches
-    word = np.ndarray((len(owner),), "<u8", text, strides=(1,))
-    same = np.ones(len(p) - 1, bool)
-    for k in (*range(0, WINDOW - 7, 8), WINDOW - 8):
-        x = word[p + k]
-        same &= x[1:] == x[:-1]
-    group = np.r_[0, np.cumsum(~same)]
-    least_of = np.full(int(group[-1]) + 1, NO_ID)
-    np.minimum.at(least_of, group, least[owner[p]])
-    first[p] = least_of[group]
-    return first, off
+def first_holders(data: np.ndarray, off: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Segments (bytes, offsets, smallest ids) -> for each of their windows, one
+    segment after the other, the smallest id that holds the same bytes."""
+    n = np.diff(off) - WINDOW + 1
+    places = spans_of(off[:-1], n)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    slot = np.zeros(len(data), np.int32)
+    slot[places] = np.arange(len(places), dtype=np.int32)
+    first = np.full(len(places), NO_ID)
+    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+    def close(p: np.ndarray) -> np.ndarray:
+        """Settle the classes of a run of ordered places; the last stays open."""
+        same = np.ones(len(p) - 1, bool)
+        for k in (*range(0, WINDOW - 7, 8), WINDOW - 8):  # common prefixes of neighbours, as far as a window reaches
+            x = word[p + k]
+            same &= x[1:] == x[:-1]
+        edge = np.r_[0, np.flatnonzero(~same) + 1]
+        at = slot[p]
+        low = np.minimum.reduceat(least[owner[at]], edge)
+        first[at] = np.repeat(low, np.diff(np.r_[edge, len(p)]))
+        return p[edge[-1] :]
+
+    open_ = np.zeros(0, np.int32)
+    for p in _read(column_order(data, places), CHUNK):
+        open_ = close(np.concatenate([open_, p]))
+    return first
 
 
 def partners(data: np.ndarray, off: np.ndarray, mark: np.ndarray, least: np.ndarray):
@@ -292,12 +290,14 @@ def shared_anchors(packs: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([r["batch"]] * len(rows), pa.int64()), pa.array([x[1].tobytes() for x in rows], pa.binary()), pa.array([x[2].tobytes() for x in rows], pa.binary())], names=["p", "batch", "anchors", "docs"])
 
     def judge(t: pa.Table) -> pa.Table:
-        anchors = [np.frombuffer(x, np.uint64) for x in t.column("anchors").to_pylist()]
-        docs = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("docs").to_pylist()])
-        keys, inv = np.unique(np.concatenate(anchors), return_inverse=True)
+        docs = [np.frombuffer(x, np.uint8) for x in t.column("docs").to_pylist()]
+        names = np.zeros((sum(len(x) for x in docs), 8), np.uint8)
+        names[:, :5] = np.frombuffer(b"".join(t.column("anchors").to_pylist()), np.uint8).reshape(-1, 5)
+        cut = np.cumsum([len(x) for x in docs])[:-1]
+        docs = np.concatenate(docs)
+        keys, inv = np.unique(names.view(np.uint64).ravel(), return_inverse=True)
         total = np.bincount(inv, docs, len(keys))
         flag = ((total > 1).astype(np.uint8) + (total > HOT))[inv]
-        cut = np.cumsum([len(a) for a in anchors])[:-1]
         return pa.table({"batch": t.column("batch"), "p": t.column("p"), "flag": pa.array([x.tobytes() for x in np.split(flag, cut)], pa.binary())})
 
     rows = packs.mapInArrow(emit, "p int, batch long, anchors binary, docs binary")
@@ -328,8 +328,8 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
         # equal segments of all batches are inserted once, with the smallest id
         first, place = np.repeat(own, n[one]), np.cumsum(n[one]) - n[one]
         if len(some):
-            found, at = first_holders(data[spans_of(off[one[some]], size[one[some]])], size[one[some]], own[some])
-            first[spans_of(place[some], n[one[some]])] = found[spans_of(at[:-1] + 1, n[one[some]])]
+            kept = data[spans_of(off[one[some]], size[one[some]])]
+            first[spans_of(place[some], n[one[some]])] = first_holders(kept, np.r_[0, np.cumsum(size[one[some]])], own[some])
         hit = np.zeros(len(n), np.uint64)
         seg = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
@@ -370,7 +370,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", spans
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; spans: also the
     removed runs as (start, end) bytes."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark)
     packs = scratch.write(packed(df, key, text), "packs")
     flags = scratch.write(shared_anchors(packs, parts), "flags")
@@ -413,7 +413,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", spans
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches(spark, 1024)
+    batches(spark, 128)
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
