@@ -27,7 +27,8 @@ CLEANING = (
 )
 NO_PREVIEW = "No preview available for this result."
 REACH, NARROW = 150, 100
-EDGE = r"[^\p{L}\p{Nd}_]"
+#: What may stand beside a word; angle brackets may not, as they are those of a mark set before.
+EDGE = r"[^\p{L}\p{Nd}_<>]"
 
 
 def clean_html(html: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LISTED = frozenset("title h1 h2 h3 h4 h5 h6 p div li span article section".split())
+INLINE = frozenset("a abbr b bdo big cite code em font i kbd mark q s small span strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -27,9 +28,11 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
-            if tag == "br":
+            if tag in ("br", "hr"):
                 self.handle_data(" ")
             return
+        if tag not in INLINE:
+            self.handle_data(" ")  # blocks inside a block are words apart
         if tag in ENDS_P:
             self._close("p", until={"li", "td", "div", "article", "section", "body"})
         if tag == "li":
@@ -41,6 +44,8 @@ class _Reader(HTMLParser):
         self.open.append((tag, k))
 
     def handle_endtag(self, tag):
+        if tag not in INLINE:
+            self.handle_data(" ")
         self._close(tag)
 
     def _close(self, tag, until=frozenset()):
