@@ -172,18 +172,31 @@ def word_spans(buf: np.ndarray, off: np.ndarray, plain: bool = False) -> tuple[n
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
-def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [s, e), all at once by prefix sums."""
+def span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """64-bit hashes of the byte spans [s, e), all at once by prefix sums; long
+    buffers go in blocks of spans."""
+    if len(buf) <= 2 * block or not len(s):
+        return _span_hashes(buf, s, e)
+    if (s[1:] < s[:-1]).any():
+        order = np.argsort(s, kind="stable")
+        out = np.empty(len(s), np.uint64)
+        out[order] = span_hashes(buf, s[order], e[order], block)
+        return out
+    out, i = [], 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(s, s[i] + block, "left")))
+        out.append(_span_hashes(buf[s[i] : e[i:j].max()], s[i:j] - s[i], e[i:j] - s[i]))
+        i = j
+    return np.concatenate(out)
+
+
+def _span_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     p, q = _powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=sums[1:])
     return mix((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64))
 
 
-def row_sums(x: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(row, weights=x, minlength=n)
-
-
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

@@ -279,7 +279,7 @@ def partners(data: np.ndarray, off: np.ndarray, mark: np.ndarray, least: np.ndar
     return one, inv, own, np.flatnonzero(again)
 
 
-def shared_anchors(packs: DataFrame, parts: int) -> DataFrame:
+def shared_anchors(packs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
     """batch, p, flag: for the batch's anchors of part p, in order, whether other
     documents have them."""
 
@@ -297,7 +297,7 @@ def shared_anchors(packs: DataFrame, parts: int) -> DataFrame:
         docs = np.concatenate(docs)
         keys, inv = np.unique(names.view(np.uint64).ravel(), return_inverse=True)
         total = np.bincount(inv, docs, len(keys))
-        flag = ((total > 1).astype(np.uint8) + (total > HOT))[inv]
+        flag = ((total > 1).astype(np.uint8) + (total > hot))[inv]
         return pa.table({"batch": t.column("batch"), "p": t.column("p"), "flag": pa.array([x.tobytes() for x in np.split(flag, cut)], pa.binary())})
 
     rows = packs.mapInArrow(emit, "p int, batch long, anchors binary, docs binary")
