@@ -51,8 +51,10 @@ def occurrences(blocks: DataFrame, stop: Iterable[str] | None = STOP_WORDS) -> D
     read = F.transform("blocks", lambda b: F.struct(block_weight(b["tag"]).alias("weight"), tokens(b["text"], stop).alias("words")))
     rows = blocks.select("doc_id", read.alias("read"))
     rows = rows.withColumn("total", F.aggregate("read", F.lit(0).cast("long"), lambda a, b: a + F.size(b["words"])))
-    rows = rows.select("doc_id", "total", F.explode("read").alias("block"))
-    return rows.select("doc_id", "total", F.col("block.weight").alias("weight"), F.posexplode("block.words").alias("position", "word"))
+    # outer explodes: for inner ones the optimizer adds a filter that reads every text twice
+    rows = rows.select("doc_id", "total", F.explode_outer("read").alias("block"))
+    rows = rows.select("doc_id", "total", F.col("block.weight").alias("weight"), F.posexplode_outer("block.words").alias("position", "word"))
+    return rows.where("word IS NOT NULL")
 
 
 def stemmed_occurrences(found: DataFrame, stop: Iterable[str] | None = STOP_WORDS) -> DataFrame:
@@ -78,9 +80,11 @@ def vocabulary(posts: DataFrame, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.log10(F.lit(float(n_docs)) / F.col("df")) + F.lit(0.0))
 
 
-def build_index(blocks: DataFrame, n_docs: int | None = None, stop: frozenset[str] = STOP_WORDS, stem: bool = False) -> Index:
-    """n_docs: size of the corpus, all rows by default (also those without words)."""
-    found = occurrences(blocks, stop)
+def build_index(blocks: DataFrame, n_docs: int | None = None, stop: frozenset[str] = STOP_WORDS, stem: bool = False, whole: bool = False) -> Index:
+    """n_docs: size of the corpus, all rows by default (also those without words).
+    whole: all postings are wanted, so texts are shuffled by document once and
+    their words never; else filters on words come first and few rows are shuffled."""
+    found = occurrences(blocks.repartition("doc_id") if whole else blocks, stop)
     posts = postings(stemmed_occurrences(found, stop) if stem else found)
     return Index(posts, vocabulary(posts, blocks.count() if n_docs is None else n_docs), stem, stop)
 

@@ -72,8 +72,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _index(spark: SparkSession, sf_dir: str, stem: bool = False):
-    return build_index(blocks_of(_docs(spark, sf_dir)), stem=stem)
+def _index(spark: SparkSession, sf_dir: str, stem: bool = False, whole: bool = False):
+    return build_index(blocks_of(_docs(spark, sf_dir)), stem=stem, whole=whole)
 
 
 # ---- words and index ---------------------------------------------------------------
@@ -101,24 +101,24 @@ def block_tokens(spark, sf_dir):
 
 @query("weighted_tf", f"WITH {_INDEX} SELECT doc_id, word, round(tf, 9) AS tf FROM postings")
 def weighted_tf(spark, sf_dir):
-    return _index(spark, sf_dir).postings.select("doc_id", "word", F.round("tf", 9).alias("tf"))
+    return _index(spark, sf_dir, whole=True).postings.select("doc_id", "word", F.round("tf", 9).alias("tf"))
 
 
 @query("word_importance", f"WITH {_INDEX} SELECT doc_id, word, CAST(importance AS DOUBLE) AS importance FROM postings")
 def word_importance(spark, sf_dir):
-    return _index(spark, sf_dir).postings.select("doc_id", "word", "importance")
+    return _index(spark, sf_dir, whole=True).postings.select("doc_id", "word", "importance")
 
 
 @query("word_positions", f"WITH {_INDEX} SELECT doc_id, word, CAST(len(positions) AS BIGINT) AS n, CAST(positions[1] AS INTEGER) AS first, CAST(positions[-1] AS INTEGER) AS last, CAST(list_sum(positions) AS BIGINT) AS total FROM postings")
 def word_positions(spark, sf_dir):
-    p = _index(spark, sf_dir).postings
+    p = _index(spark, sf_dir, whole=True).postings
     total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
     return p.select("doc_id", "word", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).alias("first"), F.element_at("positions", -1).alias("last"), total.alias("total"))
 
 
 @query("doc_freq_idf", f"WITH {_INDEX} SELECT word, df, round(idf, 9) AS idf FROM vocab")
 def doc_freq_idf(spark, sf_dir):
-    return _index(spark, sf_dir).vocab.select("word", "df", F.round("idf", 9).alias("idf"))
+    return _index(spark, sf_dir, whole=True).vocab.select("word", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("corpus_size", "SELECT count(*) AS n_docs FROM documents")
@@ -140,7 +140,7 @@ SELECT x AS word, so.doc_id, round(CASE WHEN any_value(total) > 0 THEN sum(weigh
 @query("stemmed_tf", _STEMMED)
 def stemmed_tf(spark, sf_dir):
     """Postings by stem; tokens whose stem is a stop word don't count in the total."""
-    return _index(spark, sf_dir, stem=True).postings.select("word", "doc_id", F.round("tf", 9).alias("tf"))
+    return _index(spark, sf_dir, stem=True, whole=True).postings.select("word", "doc_id", F.round("tf", 9).alias("tf"))
 
 
 @query("index_merge", f"WITH {_INDEX} SELECT doc_id, count(*) AS n_words, round(sum(tf), 9) AS tf FROM postings GROUP BY doc_id")
@@ -373,7 +373,7 @@ def suggest_terms(spark, sf_dir):
 
 @query("trie_topk", f"WITH {_INDEX}, p AS (SELECT substr(word, 1, k) AS prefix, word, df FROM vocab, generate_series(1, 45) g(k) WHERE k <= length(word)) SELECT prefix, rank, word, df AS freq FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, word) AS rank FROM p) WHERE rank <= 10")
 def trie_topk(spark, sf_dir):
-    return S.prefix_table(_index(spark, sf_dir).vocab.select("word", F.col("df").alias("freq")))
+    return S.prefix_table(_index(spark, sf_dir, whole=True).vocab.select("word", F.col("df").alias("freq")))
 
 
 @query("suggest_popular", "SELECT row_number() OVER (ORDER BY freq DESC, word) AS rank, word, freq FROM (SELECT event_type AS word, count(*) AS freq FROM events WHERE starts_with(event_type, 'c') GROUP BY 1) ORDER BY rank LIMIT 10")

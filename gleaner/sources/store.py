@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+#: Tables of texts, and their keys.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer splits than there are cores (one small file, one row group)
+    is dealt out by key; larger ones are left as their splits are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXTS[name]) if name in TEXTS else df
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
