@@ -36,7 +36,8 @@ def search(spark: SparkSession, index: Index, docs: DataFrame, query: str, page:
     words = query_words(tree)
     top = page_of(scores(found, words, page_rank), page, size)
     shown = top.join(docs.select("doc_id", "url", "title", "html"), "doc_id")
-    text = snippet(clean_html(F.col("html")), list(dict.fromkeys(t.word.strip('"') for t in words)))
+    shown = shown.withColumn("_text", clean_html(F.col("html")))
+    text = snippet(F.col("_text"), list(dict.fromkeys(t.word.strip('"') for t in words)))
     return Response(shown.select("rank", "doc_id", "url", "title", "score", text.alias("snippet")), match_count(found).first()[0])
 
 

@@ -7,8 +7,10 @@ measures are plain patterns; the last step writes it back.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,10 +89,29 @@ def sql(source: str, col: str = "word") -> str:
     return f"{', '.join(ctes)} SELECT word, CASE WHEN length(word) > 2 THEN lower(w) ELSE word END AS stem FROM s{len(ctes) - 1}"
 
 
+def stem_text(text: str | None) -> str:
+    """A text with every run of letters stemmed and all else as it was."""
+    return re.sub("[A-Za-z]+", lambda m: stem_word(m[0]), text or "")
+
+
+def stem_texts(df: DataFrame, col: str = "value") -> DataFrame:
+    """df with a text column stemmed in place; each batch stems a word once."""
+    at = df.columns.index(col)
+
+    def run(it):
+        known: dict[str, str] = {}
+        for b in it:
+            if len(known) > 200_000:
+                known.clear()
+            swap = lambda m: known.get(m[0]) or known.setdefault(m[0], stem_word(m[0]))
+            new = pa.array([None if t is None else re.sub("[A-Za-z]+", swap, t) for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([new if k == at else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def stem_word(word: str) -> str:
     """One word on the driver (queries are short), by the same patterns."""
-    import re
-
     w = word.lower()
     if len(w) <= 2:
         return w

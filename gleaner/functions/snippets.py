@@ -60,20 +60,31 @@ def highlight_sql(text: str, words: list[str]) -> str:
     return text
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def snippet(text: Column, words: list[str]) -> Column:
     """At most REACH characters each way around the first of the words that occurs
     (query order), drawn in to sentence ends, cut short where no word is in it."""
-    low = F.lower(text)
-    at = F.coalesce(*(F.nullif(F.instr(low, w.lower()), F.lit(0)) for w in words), F.lit(1)) if words else F.lit(1)
-    start = F.greatest(at - REACH, F.lit(1))
-    before = F.substring(text, start, at - start)
-    behind = F.substring(text, at, F.lit(REACH))
-    lead = F.when(start > 1, F.regexp_replace(before, r"^.*?\. ", "")).otherwise(before)
-    tail = F.when(behind.rlike(r"\. "), F.regexp_replace(behind, r"^(.*\.) .*$", "$1")).otherwise(behind)
-    body = F.concat(lead, tail)
-    found = reduce(lambda a, w: a | F.lower(body).contains(w.lower()), words, F.lit(False))
-    narrow = F.substring(text, F.greatest(at - NARROW, F.lit(1)), F.lit(2 * NARROW))
-    body = F.when(found, body).otherwise(narrow)
-    body = F.regexp_replace(body, r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")
-    shown = F.concat(F.when(start > 1, F.lit("...")).otherwise(F.lit("")), highlight(body, words), F.when(at + REACH <= F.length(text), F.lit("...")).otherwise(F.lit("")))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(NO_PREVIEW)).otherwise(shown)
+
+    def place(t: Column) -> Column:
+        low = F.lower(t)
+        return F.coalesce(*(F.nullif(F.instr(low, w.lower()), F.lit(0)) for w in words), F.lit(1)) if words else F.lit(1)
+
+    def drawn(t: Column, at: Column) -> Column:
+        start = F.greatest(at - REACH, F.lit(1))
+        before, behind = F.substring(t, start, at - start), F.substring(t, at, F.lit(REACH))
+        lead = F.when(start > 1, F.regexp_replace(before, r"^.*?\. ", "")).otherwise(before)
+        tail = F.when(behind.rlike(r"\. "), F.regexp_replace(behind, r"^(.*\.) .*$", "$1")).otherwise(behind)
+        return F.concat(lead, tail)
+
+    def cut(t: Column, at: Column, body: Column) -> Column:
+        found = reduce(lambda a, w: a | F.lower(body).contains(w.lower()), words, F.lit(False))
+        narrow = F.substring(t, F.greatest(at - NARROW, F.lit(1)), F.lit(2 * NARROW))
+        kept = F.regexp_replace(F.when(found, body).otherwise(narrow), r"^[^\p{L}\p{Nd}]+|[^\p{L}\p{Nd}]+$", "")
+        return F.concat(F.when(at > REACH + 1, F.lit("...")).otherwise(F.lit("")), highlight(kept, words), F.when(at + REACH <= F.length(t), F.lit("...")).otherwise(F.lit("")))
+
+    shown = _let(text, lambda t: F.when(F.length(t) > 0, _let(place(t), lambda at: _let(drawn(t, at), lambda body: cut(t, at, body)))))
+    return F.coalesce(shown, F.lit(NO_PREVIEW))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import api
 from .functions import porter
 from .functions.snippets import clean_html, clean_sql, highlight, highlight_sql
 from .functions.text import RUN, STOP_WORDS, WEIGHTS, runs, tokens
@@ -143,6 +144,12 @@ def stemmed_tf(spark, sf_dir):
     return _index(spark, sf_dir, stem=True, whole=True).postings.select("word", "doc_id", F.round("tf", 9).alias("tf"))
 
 
+@query("stem_text")
+def stem_text(spark, sf_dir):
+    """Titles with every run of letters stemmed."""
+    return porter.stem_texts(_docs(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("value")))
+
+
 @query("index_merge", f"WITH {_INDEX} SELECT doc_id, count(*) AS n_words, round(sum(tf), 9) AS tf FROM postings GROUP BY doc_id")
 def index_merge(spark, sf_dir):
     """Documents of even id indexed again over an index of all: nothing twice."""
@@ -208,7 +215,14 @@ def match_count_(spark, sf_dir):
     return match_count(match(_index(spark, sf_dir), parse("anea eriner")))
 
 
-@query("rank_with_pagerank", None)
+@query("search_snippets")
+def search_snippets(spark, sf_dir):
+    """A page of results as a user gets it."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.lit("").alias("url"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("html"))
+    return api.search(spark, _index(spark, sf_dir), docs, "anea eriner").results
+
+
+@query("rank_with_pagerank")
 def rank_with_pagerank(spark, sf_dir):
     """Scores that mix in page ranks of a graph over document ids."""
     ranks = P.pagerank(_transitions(spark, sf_dir), rounds=10, eps=0.0).select(F.col("id").alias("doc_id"), "page_rank")

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions.porter import stem_word, stems
+from gleaner.functions.porter import stem_text, stem_texts, stem_word, stems
 from gleaner.functions.snippets import NO_PREVIEW, clean_html, highlight, snippet
 from gleaner.functions.text import is_valid_word, read_stop_words, tokens
 from gleaner.functions.urls import absolute_url, filter_params, normalize_url, url_host
@@ -23,6 +23,12 @@ def test_stems(spark):
     assert {w: stem_word(w) for w in STEMS} == STEMS
 
 
+def test_stem_text(spark):
+    assert stem_text("Running, cats' 42!") == "run, cat' 42!" and stem_text(None) == ""
+    df = spark.createDataFrame([(1, "ponies & ties"), (2, None)], "k long, value string")
+    assert [r.value for r in stem_texts(df).orderBy("k").collect()] == ["poni & ti", None]
+
+
 def test_valid_words(spark):
     rows = spark.createDataFrame([(w,) for w in ("it's", "x2", "foo_bar", "a", "the", "python", "x" * 45, "x" * 46)], "w string")
     assert [r.w for r in rows.where(is_valid_word(F.col("w"))).collect()] == ["python", "x" * 45]
