@@ -69,6 +69,19 @@ n AS (SELECT count(*) AS n FROM documents),
 vocab AS (SELECT word, count(DISTINCT doc_id) AS df, log10(any_value(n.n) / count(DISTINCT doc_id)) + 0.0 AS idf FROM postings, n GROUP BY word)"""
 
 
+_EDGES = "edges AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
+
+
+def _rank_ctes(rounds: int) -> str:
+    return f"""{_EDGES}, nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), nn AS (SELECT count(*) AS n FROM nodes),
+deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src),
+r(i, id, pr) AS (SELECT 0, id, 1.0::DOUBLE / n FROM nodes, nn UNION ALL
+ SELECT any_value(p.i) + 1, v.id, any_value(0.15::DOUBLE / nn.n + 0.85::DOUBLE * p.lost / nn.n) + 0.85::DOUBLE * coalesce(sum(CASE WHEN e.dst IS NOT NULL THEN p.pr / g.d END), 0)
+ FROM nodes v CROSS JOIN nn CROSS JOIN (SELECT i, id, pr, sum(CASE WHEN id NOT IN (SELECT src FROM deg) THEN pr ELSE 0 END) OVER () AS lost FROM r WHERE i < {rounds}) p
+ LEFT JOIN deg g ON g.src = p.id LEFT JOIN edges e ON e.src = p.id AND e.dst = v.id GROUP BY v.id),
+ranks AS (SELECT id, round(pr, 7) AS page_rank FROM r WHERE i = {rounds})"""
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -222,10 +235,12 @@ def search_snippets(spark, sf_dir):
     return api.search(spark, _index(spark, sf_dir), docs, "anea eriner").results
 
 
-@query("rank_with_pagerank")
+@query("rank_with_pagerank", f"""WITH RECURSIVE {_INDEX}, {_rank_ctes(4)}, m AS ({_matched(_L)}),
+s AS (SELECT doc_id, round(0.7 * sum(tf * idf) + 0.3 * coalesce(any_value(page_rank), 0), 9) AS score FROM m LEFT JOIN ranks ON ranks.id = m.doc_id GROUP BY doc_id)
+SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s ORDER BY rank LIMIT 10""")
 def rank_with_pagerank(spark, sf_dir):
     """Scores that mix in page ranks of a graph over document ids."""
-    ranks = P.pagerank(_transitions(spark, sf_dir), rounds=10, eps=0.0).select(F.col("id").alias("doc_id"), "page_rank")
+    ranks = _ranks(spark, sf_dir, 4).withColumnRenamed("id", "doc_id")
     tree = parse("anea eriner")
     return page_of(scores(match(_index(spark, sf_dir), tree), query_words(tree), ranks), 0, 10)
 
@@ -276,6 +291,15 @@ def crawl_frontier(spark, sf_dir):
     return C.frontier(table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url").where("url LIKE 'http%'"))
 
 
+@query("frontier_unvisited", f"SELECT url, min(page_id) AS seq FROM (SELECT page_id, {_NORM} AS url, {_HOST} AS host FROM pages) WHERE url NOT IN (SELECT {_NORM} FROM pages WHERE page_id % 3 = 0) AND host NOT IN (SELECT {_HOST} FROM pages WHERE page_id % 3 = 0 GROUP BY 1 HAVING count(*) >= 5) GROUP BY url")
+def frontier_unvisited(spark, sf_dir):
+    """Every third page was visited; a host is full at five."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url")
+    old = pages.where("seq % 3 = 0").select(normalize_url(F.col("url")).alias("url"))
+    visited, hosts, _ = C.resume(old.withColumn("hash", F.md5("url")))
+    return C.frontier(pages, visited, hosts, host_cap=5)
+
+
 _LINKS = """h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1), 1) AS i FROM pages),
 l AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*', 0) || replace(href, '&amp;', '&') AS link, min(i) AS i FROM h WHERE href LIKE '/%' GROUP BY 1, 2),
 k AS (SELECT page_id AS page, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS seq, link FROM l)"""
@@ -322,7 +346,6 @@ def crawl(spark, sf_dir):
 
 # ---- link graph, page rank -----------------------------------------------------------------
 
-_EDGES = "edges AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
 
 
 def _transitions(spark, sf_dir) -> DataFrame:
@@ -337,6 +360,10 @@ def _transitions(spark, sf_dir) -> DataFrame:
     return inside.union(across).distinct()
 
 
+def _ranks(spark, sf_dir, rounds: int) -> DataFrame:
+    return P.pagerank(_transitions(spark, sf_dir), eps=0.0, rounds=rounds).select("id", F.round("page_rank", 7).alias("page_rank"))
+
+
 @query("link_graph", "WITH s AS (SELECT page_id, url FROM pages), l AS (SELECT a.page_id AS doc_id, b.url AS link FROM s a JOIN s b ON b.page_id = a.page_id + 1) SELECT DISTINCT l.doc_id AS src, s.page_id AS dst FROM l JOIN s ON s.url = l.link")
 def link_graph(spark, sf_dir):
     """Each page links to the one after it; links resolve by url."""
@@ -361,20 +388,17 @@ def dangling_nodes(spark, sf_dir):
     return P.dangling(_transitions(spark, sf_dir).where("src % 7 <> 0"))
 
 
-def _rank_sql(rounds: int, edges: str = "edges") -> str:
-    return f"""WITH RECURSIVE {_EDGES}, nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), n AS (SELECT count(*) AS n FROM nodes),
-deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src),
-r(i, id, pr) AS (SELECT 0, id, 1.0::DOUBLE / n FROM nodes, n UNION ALL
- SELECT any_value(p.i) + 1, v.id, any_value(0.15::DOUBLE / n.n + 0.85::DOUBLE * p.lost / n.n) + 0.85::DOUBLE * coalesce(sum(CASE WHEN e.dst IS NOT NULL THEN p.pr / g.d END), 0)
- FROM nodes v CROSS JOIN n CROSS JOIN (SELECT i, id, pr, sum(CASE WHEN id NOT IN (SELECT src FROM deg) THEN pr ELSE 0 END) OVER () AS lost FROM r WHERE i < {rounds}) p
- LEFT JOIN deg g ON g.src = p.id LEFT JOIN edges e ON e.src = p.id AND e.dst = v.id GROUP BY v.id)
-SELECT id, round(pr, 7) AS page_rank FROM r WHERE i = {rounds}"""
-
-
-@query("pagerank", _rank_sql(8))
+@query("pagerank", f"WITH RECURSIVE {_rank_ctes(8)} SELECT id, page_rank FROM ranks")
 def pagerank(spark, sf_dir):
     """Eight rounds (the default is to go on until ranks settle)."""
-    return P.pagerank(_transitions(spark, sf_dir), eps=0.0, rounds=8).select("id", F.round("page_rank", 7).alias("page_rank"))
+    return _ranks(spark, sf_dir, 8)
+
+
+@query("rank_write_back", f"WITH RECURSIVE {_rank_ctes(4)} SELECT doc_id, coalesce(page_rank, 0.5) AS page_rank FROM documents LEFT JOIN ranks ON id = doc_id")
+def rank_write_back(spark, sf_dir):
+    """Ranks written to documents; those outside the graph keep what they had."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.lit(0.5).alias("page_rank"))
+    return P.write_back(docs, _ranks(spark, sf_dir, 4))
 
 
 # ---- suggestions, query log --------------------------------------------------------------------
