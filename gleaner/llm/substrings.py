@@ -44,6 +44,7 @@ MOST_WINDOWS = 48
 HOT = 1024
 NOWHERE, MULTI = 100, 128
 BATCH_BYTES = 2 << 20
+PART_BATCHES = 4
 #: Documents that a round holds in memory (about 16 bytes each).
 CHUNK = 8 << 20
 NO_ID = np.int64(2**63 - 1)
@@ -370,9 +371,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", spans
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; spans: also the
     removed runs as (start, end) bytes."""
     spark = df.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark)
     packs = scratch.write(packed(df, key, text), "packs")
+    # parts grow with the corpus: one takes the segments of PART_BATCHES batches or so
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packs.count() // PART_BATCHES))
     flags = scratch.write(shared_anchors(packs, parts), "flags")
     asked = _with(packs, "flags", flags, "p", "flag")
     hits = scratch.write(answers(asked, parts), "hits")
