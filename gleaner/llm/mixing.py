@@ -179,7 +179,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     taken = Scratch(docs.sparkSession).write(taken, "taken")
     rows = docs.withColumn("_n", n_words(text))
     same = rows[key].eqNullSafe(taken["_k"]) & rows[source].cast("string").eqNullSafe(taken["_source"]) & (rows["_n"] == taken["_n"])
-    x = rows.join(checked_broadcast(taken, taken.count(), 200_000), same).drop(taken["_n"])
+    x = rows.join(taken.hint("merge"), same).drop(taken["_n"])  # taken grows with docs: a shuffle at every size
     # several rows of one id and size: each takes the share of its place among them, the odd rest by lot
     total, times = F.aggregate("_copies", F.lit(0), lambda a, c: a + c), F.size("_copies")
     copies = F.floor((total + F.pmod(F.xxhash64(text), times)) / times).cast("int")
