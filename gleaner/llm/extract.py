@@ -107,7 +107,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
 
 # ---- features ----------------------------------------------------------------
 
-PATH_DIM, WORD_DIM, FIGURES = 96, 32, 8
+PATH_DIM, WORD_DIM, FIGURES = 192, 32, 8
 DIM = PATH_DIM + WORD_DIM + FIGURES
 
 
@@ -286,7 +286,18 @@ class _Writer:
         return s + self.r.choice((".", ".", ".", "!", "?", ""))
 
     def prose(self) -> str:
-        return " ".join(self.sentence() for _ in range(self.r.choice((1, 1, 2, 3, 5, 8))))
+        """Sentences, now and then in the styles of poor text: what a block says
+        doesn't tell whether it is main text."""
+        text, style = " ".join(self.sentence() for _ in range(self.r.choice((1, 1, 2, 3, 5, 8)))), self.r.random()
+        if style < 0.05:
+            return " ".join(w + "!!" for w in text.upper().split())
+        if style < 0.1:
+            return " ".join(w + self.r.choice(("***", "$$$", "%%%", "###", "&amp;&amp;&amp;")) for w in text.split())
+        if style < 0.13:
+            return " | ".join(text.split())
+        if style < 0.18:
+            return " ".join(text.split()[0] + self.r.choice(("", ",")) for _ in range(self.r.randint(5, 60)))
+        return text
 
     def links(self, n: int, wrap: str = "li") -> str:
         return "".join(f'<{wrap}><a href="/{self.words(1, 1)}">{self.words(1, 3)}</a></{wrap}>' for _ in range(n))
@@ -380,7 +391,7 @@ def synthetic(n: int, seed: int = 3) -> list[tuple[list, np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def model(pages: int = 1500, seed: int = 3) -> Labeller:
+def model(pages: int = 2200, seed: int = 3) -> Labeller:
     return train([(vectors(p), y) for p, y in synthetic(pages, seed) if p])
 
 
