@@ -5,9 +5,17 @@ source's size. The whole part is taken for sure; the fraction is an inclusion
 probability that the cube method rounds to 0 or 1 while it holds the number of
 documents and of words of every source: within a block of documents of one source
 the probabilities walk along the null space of the two balance constraints until
-at most two of a block are left between 0 and 1. What is left of all blocks is
-dealt into blocks again; the last few of a source, with a dozen set aside for it,
-are landed by the one of all their outcomes that is nearest to both totals.
+at most two of a block are left between 0 and 1. What is left of all blocks, with
+RESERVE others, is dealt into blocks again. In the end all but LANDING of a source's
+open documents fly, and the last are landed by one of all their outcomes: of those
+whose words are within NEAR of what they should be (else the nearest), one is drawn
+with the odds of the probabilities.
+
+Documents of more than OUTSIZE of their source's target go first, by the same
+method, and may end at any total that the other documents can make up for; the
+others' probabilities are then scaled to what is left. Where there are fewer than
+FEW others, all go together. A source is off target only where no outcome of its
+last documents is near.
 
 Blocks hold BLOCK documents or so, whatever the size of a source, so a hot source
 is many blocks. Random draws come from a generator seeded by the block, and blocks
@@ -28,10 +36,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, batches, checked_broadcast, n_words, table
 
 BLOCK = 256
-#: A document of more than this share of its source's target is settled by lot
-#: before the others, whose probabilities then make up for it.
+#: A document of more than this share of its source's target is settled before the
+#: others, if there are FEW others at least, whose probabilities then make up for it.
 OUTSIZE = 0.05
+FEW = 64
 LANDING = 12
+#: Units of ordinary size of each source that are kept open for the last turn.
+RESERVE = 128
+#: Words that a landing may miss, as a share of what it should take; tries to get there.
+NEAR = 0.005
+TRIES = 40
 TINY = 1e-9
 CAP = 3.0
 #: Sources of which the driver may hold one row each.
@@ -82,43 +96,61 @@ def flight(p: list[float], size: list[float], rng: random.Random, units: list[in
         active = [i for i in active if 0 < p[i] < 1]
 
 
-def land(p: list[float], size: list[float], rng: random.Random) -> None:
-    """Round all of p: LANDING units of ordinary size are set aside, the others
-    fly, and of all outcomes of those set aside and those still open the one
-    nearest to both totals is taken (ties by lot)."""
+def land(p: list[float], size: list[float], rng: random.Random, under: float = 0.0, over: float = 0.0) -> None:
+    """Round all of p: LANDING units, one of each class of size, are set aside, the
+    others fly, and of all outcomes of those set aside and those still open one
+    whose words are near is drawn by its odds (else the nearest); if none is, with
+    other units aside. Words from `under` below to `over` above count as met."""
     open_ = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: (size[i], i))
-    low = open_[: max(LANDING, 3 * len(open_) // 4)]
-    aside = {low[k * len(low) // LANDING] for k in range(LANDING)} if len(low) > LANDING else set(low)
-    fly = [i for i in open_ if i not in aside]
-    rng.shuffle(fly)
-    rest = sorted(aside) + flight(p, size, rng, fly)
-    if not rest:
+    if not open_:
         return
-    s, q = np.array([size[i] for i in rest]), np.array([p[i] for i in rest])
-    bits = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
-    off = np.abs(bits @ s - q @ s) / max(s.mean(), 1) + 0.02 * np.abs(bits.sum(1) - q.sum())
-    best = np.flatnonzero(off <= off.min() + 1e-12)
-    for i, x in zip(rest, bits[best[rng.randrange(len(best))]], strict=True):
-        p[i] = float(x)
+    want = sum(p[i] * size[i] for i in open_)
+    slack = min(NEAR * want, sum(size[i] for i in open_) / len(open_) / 2)
+    few, least, out = len(open_) <= LANDING + 2, np.inf, p
+    for _ in range(1 if few else TRIES):
+        x = list(p)
+        aside = open_ if few else [open_[int((k + rng.random()) * len(open_) / LANDING)] for k in range(LANDING)]
+        fly = [] if few else [i for i in open_ if i not in set(aside)]
+        rng.shuffle(fly)
+        rest = aside + flight(x, size, rng, fly)
+        s, q = np.array([size[i] for i in rest]), np.array([x[i] for i in rest])
+        bits = ((np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1).astype(float)
+        words, more = bits @ s - q @ s, bits.sum(1) - q.sum()
+        off = np.maximum(0, np.maximum(words - over, -words - under))
+        near = np.flatnonzero(off <= max(off.min() + TINY, slack))
+        odds = bits[near] @ np.log(q / (1 - q)) - more[near] ** 2 / 2
+        odds = np.cumsum(np.exp(odds - odds.max()))
+        best = near[min(int(np.searchsorted(odds, rng.random() * odds[-1], "right")), len(near) - 1)]
+        if off[best] < least:
+            least, out = off[best], x
+            for i, b in zip(rest, bits[best], strict=True):
+                x[i] = float(b)
+        if least <= slack:
+            break
+    p[:] = out
 
 
 def _walk(df: DataFrame, last: bool, seed: int) -> DataFrame:
-    """df: key, source, block, n, p -> the same with p moved; one group a block."""
+    """df: h, source, block, n, p, under, over -> the same with p moved; one group a
+    block. Rows without a block stay as they are."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h", kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed}|{pdf.source.iat[0]!r}|{pdf.block.iat[0]}|{pdf.h.iat[0]}")
         p, size = [0.0 if x < TINY else 1.0 if x > 1 - TINY else x for x in pdf.p], pdf.n.astype(float).tolist()
-        land(p, size, rng) if last else flight(p, size, rng)
+        land(p, size, rng, pdf.under.iat[0], pdf.over.iat[0]) if last else flight(p, size, rng)
         pdf["p"] = p
         return pdf
 
-    return df.groupBy("source", "block").applyInPandas(run, df.schema)
+    moved = df.where("block IS NOT NULL").groupBy("source", "block").applyInPandas(run, df.schema)
+    return moved if last else moved.union(df.where("block IS NULL"))
 
 
-def cube(df: DataFrame, scratch: Scratch, seed: int = 11, block: int = BLOCK) -> DataFrame:
-    """df: h (unique name of a row), source, n (size), p (0 to 1) -> h, chosen (0 or 1)."""
-    done, rest, turn = [], df.select("h", "source", "n", "p"), 0
+def cube(df: DataFrame, scratch: Scratch, seed: int = 11, block: int = BLOCK, name: str = "cube") -> DataFrame:
+    """df: h (unique name of a row), source, n (size), p (0 to 1), under and over
+    (words that a source may miss) -> h, source, n, chosen (0 or 1)."""
+    columns = ["h", "source", "n", "p", "under", "over"]
+    done, rest, turn = [], df.select(columns), 0
     while True:
         many = rest.groupBy("source").count()
         most = many.agg(F.max("count")).first()[0] or 0
@@ -126,15 +158,17 @@ def cube(df: DataFrame, scratch: Scratch, seed: int = 11, block: int = BLOCK) ->
             break
         last = most <= 4 * block
         blocks = F.lit(0) if last else F.pmod(F.xxhash64(F.lit(turn), "h"), F.ceil(F.col("count") / block).cast("long"))
+        if not last:
+            blocks = F.when(F.pmod(F.xxhash64(F.lit("reserve"), "h"), F.col("count")) >= RESERVE, blocks)
         n = many.count()
         keyed = rest.join(checked_broadcast(many, n), rest.source.eqNullSafe(many.source)).drop(many.source).withColumn("block", blocks.cast("long")).drop("count")
-        walked = scratch.write(_walk(keyed.select("h", "source", "block", "n", "p"), last, seed + turn), f"cube{turn}")
-        done.append(walked.where("p <= 0 OR p >= 1").select("h", F.col("p").cast("int").alias("chosen")))
+        walked = scratch.write(_walk(keyed.select("h", "source", "block", "n", "p", "under", "over"), last, seed + turn), f"{name}{turn}")
+        done.append(walked.where("p <= 0 OR p >= 1").select("h", "source", "n", F.col("p").cast("int").alias("chosen")))
         if last:
             break
-        rest, turn = walked.where("p > 0 AND p < 1").select("h", "source", "n", "p"), turn + 1
+        rest, turn = walked.where("p > 0 AND p < 1").select(columns), turn + 1
     if not done:
-        return rest.select("h", F.lit(0).alias("chosen"))
+        return rest.select("h", "source", "n", F.lit(0).alias("chosen"))
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
@@ -160,14 +194,19 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     plan = plan.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     x = rows.join(checked_broadcast(plan, len(sizes)), rows.source.eqNullSafe(plan.source)).drop(plan.source)
     open_ = x.where("p > 1e-9 AND n > 0").select("h", "source", "n", "p", (F.col("n") > OUTSIZE * F.col("target")).alias("big"))
-    lot = (F.xxhash64(F.lit("lot"), "h").cast("double") / 2.0**64 + 0.5) < F.col("p")
-    open_ = open_.withColumn("lot", F.col("big") & lot)
-    # by source: the words that are left for the others, over what they would take
-    rest = open_.groupBy("source").agg(F.sum(F.col("p") * F.col("n")).alias("all"), F.sum(F.when(F.col("lot"), F.col("n")).otherwise(0)).alias("had"), F.sum(F.when(~F.col("big"), F.col("p") * F.col("n"))).alias("small"))
-    rest = rest.select("source", F.when(F.col("small") > 0, F.greatest(F.lit(0.0), F.col("all") - F.col("had")) / F.col("small")).otherwise(1.0).alias("scale"))
-    fly = open_.where("NOT big").join(checked_broadcast(rest, len(sizes)), open_.source.eqNullSafe(rest.source)).drop(rest.source)
-    fly = fly.select("h", "source", "n", F.least(F.lit(1.0), F.col("p") * F.col("scale")).alias("p"))
-    chosen = cube(fly, scratch).union(open_.where("lot").select("h", F.lit(1)))
+    # by source: the words of the others, and what they and the outsized would take
+    small = F.when(~F.col("big"), F.col("n"))
+    rest = open_.groupBy("source").agg(F.count(small).alias("others"), F.sum(F.col("p") * F.col("n")).alias("all"), F.coalesce(F.sum(small), F.lit(0)).alias("words"), F.coalesce(F.sum(F.col("p") * small), F.lit(0.0)).alias("small"))
+    rest = rest.select(F.col("source").alias("_source"), "all", "words", "small", (F.col("others") < FEW).alias("few"))
+    open_ = open_.join(checked_broadcast(rest, len(sizes)), open_.source.eqNullSafe(rest["_source"])).drop("_source")
+    first = F.col("big") | F.col("few")
+    under, over = (F.when(F.col("few"), 0.0).otherwise(c).alias(a) for c, a in ((F.col("words") - F.col("small"), "under"), (F.col("small"), "over")))
+    settled = cube(open_.where(first).select("h", "source", "n", "p", under, over), scratch, name="outsized")
+    had = settled.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("n") * F.col("chosen")).alias("had"))
+    fly = open_.where(~first).join(checked_broadcast(had, len(sizes)), open_.source.eqNullSafe(had["_source"]), "left")
+    left = F.greatest(F.lit(0.0), F.col("all") - F.coalesce("had", F.lit(0))) / F.col("words")
+    fly = fly.select("h", "source", "n", F.least(F.lit(1.0), left).alias("p"), F.lit(0.0).alias("under"), F.lit(0.0).alias("over"))
+    chosen = cube(fly, scratch).union(settled).select("h", "chosen")
     x = x.join(chosen, "h", "left").withColumn("copies", F.col("whole") + F.coalesce("chosen", F.lit(0)))
     return x.select(F.col("_key").alias(key), F.col("n").alias("size"), "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("n") * F.col("copies")).alias("taken"), F.col("source").alias("_source"), F.col("_again"))
 

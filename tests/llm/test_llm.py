@@ -144,6 +144,21 @@ def test_mixing(spark, sf, awkward, none):
     assert mixing.mixed(awkward).columns == awkward.columns and mixing.mixed(none).count() == 0
 
 
+def test_mixing_outsized(spark, sf):
+    """Few or long texts: within 1 % of target, or as near as any choice of whole documents gets."""
+    sizes = {"few": [900, 800, 700, 40, 30, 20, 10], "led": [4000, 2500, 1800, *range(5, 95)], "plain": [20] * 300}
+    rows = [(s, n) for s in sizes for n in sizes[s]]
+    made = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(rows)], "doc_id long, source string, text string")
+    for docs in (made, common.table(spark, sf, "documents")):
+        got = mixing.mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+        for _, x in got.groupby("source"):
+            target, taken, whole = x.target.iloc[0], x.taken.sum(), int(x.target.iloc[0] / x.source_size.iloc[0] + 1e-9)
+            sums = {whole * x["size"].sum()}
+            for n in x["size"]:
+                sums |= {s + n for s in sums}
+            assert abs(taken - target) <= max(0.01 * target, 1.01 * min(abs(s - target) for s in sums) + 0.5)
+
+
 # ---- 5: decontamination
 
 
