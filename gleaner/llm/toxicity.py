@@ -10,7 +10,8 @@ A word's evidence is the difference of its log-likelihoods under the two models;
 text's is the length-normalised likelihood ratio of toxic text, in which some words
 are drawn from the toxic model, to ordinary text, beside its strongest expression.
 Logistic calibration turns these into a score; it is fitted on a bounded sample
-(`calibration_rows`) of a training fold whose counts the models never saw.
+(`calibration_rows`) of a training fold, read by models without that fold's counts.
+The final models count the fold as well.
 
 Null or empty texts have no words and get the calibrated score of no evidence.
 Ties and repeated rows get equal scores; other columns pass through. Without
@@ -175,28 +176,32 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.1)
     return np.r_[w[0] - (w[1:] * mean / sd).sum(), w[1:] / sd]
 
 
-def count_grams(df: DataFrame, text: str, label: str) -> DataFrame:
-    """gram, toxic, ordinary: the runs of all texts by class."""
+COUNTS = ("toxic", "ordinary", "fold_toxic", "fold_ordinary")
+
+
+def count_grams(df: DataFrame, text: str, label: str, fold: str) -> DataFrame:
+    """gram, toxic, ordinary: the runs of all texts by class; fold_toxic,
+    fold_ordinary: those of them that come from texts of the fold (a boolean)."""
 
     def run(it):
         for b in it:
             buf, off = string_bytes(b.column(0))
-            y = b.column(1).to_numpy(zero_copy_only=False)
+            y, held = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             for i, j in chunks(off):
                 part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 s, e, row = word_spans(part, o, plain=True)
                 if not len(s):
                     continue
                 _, first, inv = np.unique(span_hashes(LOWER[part], s, e), return_index=True, return_inverse=True)
-                bad = y[i:j][row] > 0
-                w1, w0 = np.bincount(inv, bad, len(first)), np.bincount(inv, ~bad, len(first))
+                bad, apart = y[i:j][row] > 0, held[i:j][row].astype(bool)
+                times = [np.bincount(inv, x, len(first)) for x in (bad, ~bad, bad & apart, ~bad & apart)]
                 g, keep, word = grams(part, s[first], e[first])
                 key, inv = np.unique(g[-1][keep], return_inverse=True)
                 word = word[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.bincount(inv, w1[word]).astype(np.int64)), pa.array(np.bincount(inv, w0[word]).astype(np.int64))], names=["gram", "toxic", "ordinary"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *(pa.array(np.bincount(inv, w[word]).astype(np.int64)) for w in times)], names=["gram", *COUNTS])
 
-    parts = df.select(F.col(text).alias("t"), F.col(label).alias("y")).mapInArrow(run, "gram long, toxic long, ordinary long")
-    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    parts = df.select(F.col(text).alias("t"), F.col(label).alias("y"), F.col(fold).alias("f")).mapInArrow(run, ", ".join(f"{c} long" for c in ("gram", *COUNTS)))
+    return parts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def with_figures(df: DataFrame, text: str, model: Model, finish=None, names=FIGURES) -> DataFrame:
@@ -216,13 +221,14 @@ def with_figures(df: DataFrame, text: str, model: Model, finish=None, names=FIGU
 
 def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, max_grams: int = MAX_GRAMS) -> Model:
     """docs: doc_id, text; labels: doc_id, y (0 or 1), training rows only. One
-    fold in four of the labelled rows is kept from the counts, for calibration."""
+    fold in four of the labelled rows is read for calibration, by a model of the
+    other rows' counts; the model returned has the counts of all."""
     labels = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y")).where("y IS NOT NULL")
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(4)) == 0
     n, n1 = labels.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     known = checked_broadcast(labels, n)
     docs = docs.select("doc_id", "text")
-    rows = count_grams(docs.join(known.where(~fold), "doc_id"), "text", "y")
+    rows = count_grams(docs.join(known.withColumn("fold", fold), "doc_id"), "text", "y", "fold")
     rows.persist()
     try:
         bins = rows.groupBy(F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000)).alias("c")).count().orderBy(F.desc("c")).collect()
@@ -238,10 +244,15 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     prior = float(n1) / n if n else 0.0
     if not len(pdf) or n1 == 0 or n1 == n:
         return Model(prior=prior)
-    m = Model.fit(pdf.gram.to_numpy().astype(np.uint64), pdf.toxic.to_numpy(), pdf.ordinary.to_numpy())
+    gram, count = pdf.gram.to_numpy().astype(np.uint64), pdf[list(COUNTS)].to_numpy()
+    m, other = Model.fit(gram, count[:, 0], count[:, 1]), count[:, :2] - count[:, 2:]
     m.prior = prior
+    seen = other.sum(1) > 0
+    if not other.any(0).all():  # all of a class is in the fold
+        return m
+    without = Model.fit(gram[seen], other[seen, 0], other[seen, 1])
     ids = labels.where(fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
-    x: pd.DataFrame = with_figures(docs.join(F.broadcast(ids), "doc_id"), "text", m).select(*FIGURES, "y").toPandas()
+    x: pd.DataFrame = with_figures(docs.join(F.broadcast(ids), "doc_id"), "text", without).select(*FIGURES, "y").toPandas()
     if x.y.nunique() == 2:
         m.weights = logistic(x[list(FIGURES)].to_numpy(), x.y.to_numpy(float))
     return m

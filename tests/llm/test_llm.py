@@ -93,6 +93,16 @@ def test_kneser_ney_sums_to_one():
     assert total == pytest.approx([1, 1], abs=0.02)
 
 
+def test_toxicity_counts_every_text(spark):
+    """The model's counts are those of all labelled texts, whatever fold they are in."""
+    docs = spark.createDataFrame([(i, f"plain words {'zqxj' * (i % 2)} n{i}v") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, y int")
+    m = toxicity.fit(docs, labels)
+    for i in range(40):
+        last = np.array([int.from_bytes(f" n{i}v "[-5:].encode(), "big")], np.uint64)
+        assert m.disc[-1][m.lookups[-1](last)].any() and m.weights is not None
+
+
 # ---- 3: rules
 
 
