@@ -22,6 +22,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,10 +45,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 HEAD = frozenset("head title".split())
+#: Tags that may stand in a head; any other one closes it.
+HEAD_ONLY = HEAD | frozenset("html base basefont bgsound link meta noframes".split())
 
 
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters inside links) of every leaf block with text."""
+    """(text, path, characters inside links) of every leaf block with text but titles."""
     page = page or ""
     out: list = []
     stack: list[tuple[str, tuple]] = []  # open block-level tags and their path parts
@@ -59,8 +62,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked
         if text:
             t = " ".join(html.unescape("".join(text)).split())
-            if t:
-                out.append((t, tuple(x for _, parts in stack for x in parts), linked))
+            if t and not any(name == "title" for name, _ in stack):
+                out.append((t, tuple(x for name, parts in stack if name != "head" for x in parts), linked))
             text.clear()
         linked = 0
 
@@ -75,6 +78,11 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if not m[2] and tag not in HEAD_ONLY:
+            head = next((k for k, (name, _) in enumerate(stack) if name in HEAD), None)
+            if head is not None:
+                flush()
+                del stack[head:]
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
@@ -114,9 +122,10 @@ DIM = PATH_DIM + WORD_DIM + FIGURES
 @lru_cache(maxsize=1 << 16)
 def _path_slots(path: tuple[str, ...]) -> tuple[tuple[int, float], ...]:
     out = []
-    for x in path[-12:]:
+    for x, n in Counter(path).items():  # every part of the path; repeats count by their logarithm
         h = zlib.crc32(x.encode())
-        out.append((h % PATH_DIM, 1.0 if h & (1 << 20) else -1.0))
+        weight = 1.0 + float(np.log(n))
+        out.append((h % PATH_DIM, weight if h & (1 << 20) else -weight))
     return tuple(out)
 
 
@@ -138,7 +147,7 @@ def vectors(page: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
             at, sign = _word_slot(w)
             row[at] += sign * weight
         n = len(text)
-        row[-8:] = (np.log1p(len(words)) / 5, min(1.0, linked / n), text.count(".") / len(words), text.count(",") / len(words), len(path) / 10, (k + 1) / len(page), 1.0 if path and path[-1] in ("p", "h1", "h2", "h3", "li", "blockquote", "pre") else 0.0, 1.0)
+        row[-8:] = (np.log1p(len(words)) / 5, min(1.0, linked / n), text.count(".") / len(words), text.count(",") / len(words), min(len(path), 12) / 10, (k + 1) / len(page), 1.0 if path and path[-1] in ("p", "h1", "h2", "h3", "li", "blockquote", "pre") else 0.0, 1.0)
     return out
 
 
@@ -302,7 +311,23 @@ class _Writer:
     def links(self, n: int, wrap: str = "li") -> str:
         return "".join(f'<{wrap}><a href="/{self.words(1, 1)}">{self.words(1, 3)}</a></{wrap}>' for _ in range(n))
 
+    def nest(self) -> tuple[str, str]:
+        """Now and then a run of containers whose names say nothing, to be put inside another."""
+        r, n = self.r, 0 if self.r.random() < 0.7 else self.r.randint(1, 20)
+        names = lambda: " ".join(r.choice(("row", "col", "inner", "wrap", "box", "grid", "flex", "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(1, 6))))) for _ in range(r.randint(1, 4)))
+        return "".join(r.choice(("<div>", f'<div class="{names()}">', f'<div class="{names()}">')) for _ in range(n)), "</div>" * n
+
     def junk(self) -> str:
+        """Junk, its own outermost container the one that tells."""
+        text, (begin, end) = self.plain_junk(), self.nest()
+        if not begin or text.startswith("<script") or not (m := re.match(r"<[^>]*>", text)):
+            return text
+        close = text.rfind("</")
+        if close <= m.end() or not text.endswith(">", close):
+            return text
+        return text[: m.end()] + begin + text[m.end() : close] + end + text[close:]
+
+    def plain_junk(self) -> str:
         r, c = self.r, lambda *x: self.r.choice(x)
         kind = r.randrange(11)
         cls = lambda *x: c(f' class="{c(*x)}"', f' id="{c(*x)}"')
@@ -357,7 +382,8 @@ class _Writer:
         r, c = self.r, lambda *x: self.r.choice(x)
         tag = c("article", "article", "article", "main", "div", "section")
         cls = c("", "", ' class="post"', ' class="entry-content"', ' class="article-body"', ' id="content"', ' class="content"') if tag in ("article", "main") else c(' class="post-content"', ' class="entry"', ' id="content"', ' class="article"', ' id="main"', ' class="story-body"', ' class="text"')
-        body, close = f"<{tag}{cls}>\x01{self.main()}\x02", f"</{tag}>"
+        begin, end = self.nest()
+        body, close = f"<{tag}{cls}>{begin}\x01{self.main()}\x02{end}", f"</{tag}>"
         if r.random() < 0.25:  # junk inside the article
             body += self.junk()
             if r.random() < 0.3:
@@ -399,7 +425,7 @@ def model(pages: int = 2200, seed: int = 3) -> Labeller:
 
 
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
-    cut = [[b for b in blocks(p) if not (b[1] and (b[1][-1] in HEAD or "head" in b[1]))] for p in pages]
+    cut = [blocks(p) for p in pages]
     scores = labeller.scores([vectors(p) for p in cut])
     return ["\n".join(b[0] for b, s in zip(p, y, strict=True) if s >= 0.5) for p, y in zip(cut, scores, strict=True)]
 

@@ -281,6 +281,22 @@ def test_extraction(spark):
     assert got[2].text == got[3].text == "" and extract.extract(df.limit(0)).count() == 0
 
 
+def test_heads_and_deep_paths():
+    """Only head and title elements are left out before the labeller; open heads end; outer containers count."""
+    words = lambda p: " ".join(b[0] for b in extract.blocks(p))
+    head = "<html><head><title>No</title><meta name=x>"
+    assert words(head + "<body><h1 class=entry-title>A</h1><p class=title>B</p><div class=post-head><p>C</div>") == "A B C"
+    assert words(head + "<p>A<p>B") == words("<title>No<div>A</div>B") == words(head + "<b>A</b><p>B") == "A B"
+    say = "".join(f"<p>Ana fien chor deen gaha. Istko lami, naor paqu rest th{i}.</p>" for i in range(4))
+    got = extract.main_texts([head + f"<body><h1 class='entry-title'>Chor deen</h1><article>{say}</article>", head + f"</head><body><div class='post-head'><article><h1>Chor</h1>{say}</article></div>"], extract.model())
+    assert all(len(t.split("\n")) == 5 for t in got)
+    deep = lambda outer, inner: outer + "".join(f"<div class='w{'abcdefghijklmnop'[k]}q row'>" for k in range(12)) + inner + "</div>" * 12
+    a, b = (extract.vectors(extract.blocks(deep(x, "<p>Ana fien.</p>")))[0] for x in ("<div class=comments>", "<article>"))
+    assert not np.array_equal(a[: extract.PATH_DIM], b[: extract.PATH_DIM])
+    page = f"<html><head></head><body>{deep('<article class=post>', '<h1>Chor deen</h1>' + say)}</article>{deep('<div class=comments>', '<p>Vowi xeyo.</p>' * 3)}</div>"
+    assert "th3" in extract.main_texts([page], extract.model())[0] and "Vowi" not in extract.main_texts([page], extract.model())[0]
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(0)
     net = extract.Lstm(rng, 3, 4)
