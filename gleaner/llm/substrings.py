@@ -42,7 +42,7 @@ WINDOW = 50
 ANCHOR = 20
 MOST_WINDOWS = 48
 HOT = 1024
-NOWHERE, MULTI = 100, 128
+NOWHERE, OFTEN, MULTI = 100, 101, 128
 BATCH_BYTES = 2 << 20
 PART_BATCHES = 4
 #: Documents that a round holds in memory (about 16 bytes each).
@@ -83,6 +83,22 @@ def packed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "batch long, ids binary, sizes binary, data binary")
 
 
+def anchor_hashes(buf: np.ndarray) -> np.ndarray:
+    """The hash of the ANCHOR bytes at each place that has as many."""
+    n = len(buf)
+    raw = np.concatenate([buf, np.zeros(8, np.uint8)])
+    word = np.ndarray((n,), "<u8", raw, strides=(1,))
+    h = word[: n - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += word[8 : n - ANCHOR + 9]
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h += word[12 : n - ANCHOR + 13]
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
 class Batch:
     """Documents of one batch and the segments of their strings."""
 
@@ -100,16 +116,7 @@ class Batch:
         self.distinct, self.inv = self.anchor, self.start
         if n < WINDOW:
             return
-        raw = np.concatenate([self.buf, np.zeros(8, np.uint8)])
-        word = np.ndarray((n,), "<u8", raw, strides=(1,))
-        h = word[: n - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h += word[8 : n - ANCHOR + 9]
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h += word[12 : n - ANCHOR + 13]
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
+        h = anchor_hashes(self.buf)
         self.hash, low, span = h, h, 1
         while span * 2 <= w:
             low = np.minimum(low[:-span], low[span:])
@@ -171,15 +178,26 @@ class Batch:
         self.least = np.full(len(first), NO_ID)
         np.minimum.at(self.least, self.of, self.ids[self.r])
         self.part = (name[first] % np.uint64(parts)).astype(np.int64)
-        # where the anchor lies in each distinct string (NOWHERE for single windows), and whether two rows hold it
-        place = np.full(len(self.s), NOWHERE, np.uint8)
-        at, left = self.start[one] + self.windows[one] - 1, np.arange(len(one))
-        while len(left):
-            left = left[self.hash[at[left]] != self.anchor[one[left]]]
-            at[left] += 1
-        place[: len(one)] = at - self.start[one]
-        rows = np.bincount(self.of, minlength=len(first))
-        self.mark = place[first] + np.where(rows > 1, np.uint8(MULTI), np.uint8(0))
+        self.single = first >= len(one)
+
+    def marks(self) -> None:
+        """Where the anchor lies in each distinct string (NOWHERE for single windows,
+        OFTEN where it lies at several places), and whether two rows hold it."""
+        self.mark = np.full(len(self.at), NOWHERE, np.uint8)
+        some = np.flatnonzero(~self.single)
+        start, last = self.at[some], self.len[some] - 1 + WINDOW - ANCHOR
+        if len(some):
+            anchor = np.full(len(some), ~np.uint64(0))
+            for k in range(WINDOW - ANCHOR + 1):
+                np.minimum(anchor, self.hash[start + k], out=anchor)
+            place, times = np.zeros(len(some), np.uint8), np.zeros(len(some), np.uint8)
+            for k in range(int(last.max()) + 1):
+                here = (self.hash[np.minimum(start + k, len(self.hash) - 1)] == anchor) & (k <= last)
+                place[here] = k
+                times += here
+            self.mark[some] = np.where(times > 1, np.uint8(OFTEN), place)
+        rows = np.bincount(self.of, minlength=len(self.at))
+        self.mark += np.where(rows > 1, np.uint8(MULTI), np.uint8(0))
 
     def by_part(self):
         """(part, indices of distinct strings)."""
@@ -263,20 +281,32 @@ def first_holders(data: np.ndarray, off: np.ndarray, least: np.ndarray) -> np.nd
 def partners(data: np.ndarray, off: np.ndarray, mark: np.ndarray, least: np.ndarray):
     """The first of each distinct segment, the distinct one of each, its smallest
     id, and the distinct ones to insert: those found twice, and those that share
-    their anchor with half of the rest of a window on one side of it with another.
-    A window that two segments share covers that much on one side."""
+    their anchor, at any place of it, with half of the rest of a window on one side
+    of it with another. A window that two segments share covers that much on one
+    side of the anchor that it holds, which is one of the anchor's places in each."""
     _, one, inv, many = np.unique(span_hashes(data, off[:-1], off[1:]), return_index=True, return_inverse=True, return_counts=True)
     own = np.full(len(one), NO_ID)
     np.minimum.at(own, inv, least)
     again = many > 1
     again |= np.bincount(inv, mark >= MULTI, len(one)) > 0
     place, side = mark[one].astype(np.int64) % MULTI, (WINDOW - ANCHOR) // 2
-    at = off[one] + place
+    of = np.flatnonzero(place < NOWHERE)
+    at = off[one[of]] + place[of]
+    often = np.flatnonzero(place == OFTEN)
+    if len(often):
+        size = off[one[often] + 1] - off[one[often]]
+        h = anchor_hashes(data[spans_of(off[one[often]], size)])
+        begin, places = np.cumsum(size) - size, size - ANCHOR + 1
+        least_of = h[begin[:, None] + np.arange(WINDOW - ANCHOR + 1)].min(1)
+        seg = np.repeat(np.arange(len(often)), places)
+        here = np.flatnonzero(h[spans_of(begin, places)] == least_of[seg])
+        seg, k = seg[here], here - (np.cumsum(places) - places)[seg[here]]
+        of, at = np.r_[of, often[seg]], np.r_[at, off[one[often[seg]]] + k]
     for lo, hi in ((at - side, at + ANCHOR), (at, at + ANCHOR + side)):
-        can = np.flatnonzero((place != NOWHERE) & (lo >= off[one]) & (hi <= off[one + 1]))
+        can = np.flatnonzero((lo >= off[one[of]]) & (hi <= off[one[of] + 1]))
         if len(can):
             _, key, count = np.unique(span_hashes(data, lo[can], hi[can]), return_inverse=True, return_counts=True)
-            again[can] |= count[key] > 1
+            again[of[can[count[key] > 1]]] = True
     return one, inv, own, np.flatnonzero(again)
 
 
@@ -314,6 +344,7 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
             for r in b.to_pylist():
                 x = Batch(r["ids"], r["sizes"], r["data"])
                 x.strings(x.flagged(r["flags"], parts), parts)
+                x.marks()
                 rows = [(p, _pack(x.buf[spans_of(x.at[i], x.len[i] + WINDOW - 1)]), x.len[i].astype(np.uint8).tobytes() + x.mark[i].tobytes(), _pack(x.least[i])) for p, i in x.by_part()]
                 yield pa.RecordBatch.from_arrays([pa.array([y[0] for y in rows], pa.int32()), pa.array([r["batch"]] * len(rows), pa.int64()), *(pa.array([y[k] for y in rows], pa.binary()) for k in (1, 2, 3))], names=["p", "batch", "data", "windows", "least"])
 

@@ -351,6 +351,18 @@ def test_repeats_brute(spark, monkeypatch, none):
         assert len(r.spans) == r.n_spans and sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_unequal_runs(spark):
+    """Texts that share a prefix, then a run of one byte or phrase of different lengths."""
+    rng, rows = random.Random(12), []
+    for k in range(40):
+        shared, unit = "".join(rng.choices("abcdefgh ", k=120)), rng.choice(["-", "=", "- ", "of the ", "na na, ", "word again and "])
+        for n in (rng.randint(20, 35), rng.randint(50, 70)):
+            rows.append((len(rows), shared + (unit * 70)[:n] + "".join(rng.choices("klmnop ", k=80))))
+        rows.append((len(rows), shared[60:] + (unit * 3)[:21] + "".join(rng.choices("qrstuv ", k=80))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df).collect()) == brute_repeats(rows)
+
+
 def test_columns_through_files():
     """Small chunks send every round through files; the order is that of sorting."""
     rng = np.random.default_rng(7)
