@@ -159,8 +159,8 @@ def stemmed_tf(spark, sf_dir):
 
 @query("stem_text")
 def stem_text(spark, sf_dir):
-    """Titles with every run of letters stemmed."""
-    return porter.stem_texts(_docs(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("value")))
+    """Whole texts with every run of letters stemmed."""
+    return porter.stem_texts(_docs(spark, sf_dir).select("doc_id", F.col("text").alias("value")))
 
 
 @query("index_merge", f"WITH {_INDEX} SELECT doc_id, count(*) AS n_words, round(sum(tf), 9) AS tf FROM postings GROUP BY doc_id")

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 
 from gleaner import queries as Q
+from gleaner.functions import porter
 
 from .helpers import check
 
@@ -20,3 +23,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stem_text_reads_whole_texts(spark, sf):
+    want = {r.doc_id: r.text and re.sub("[A-Za-z]+", lambda m: porter.stem_word(m[0]), r.text) for r in Q.table(spark, sf, "documents").collect()}
+    assert {r.doc_id: r.value for r in Q.QUERIES["stem_text"](spark, sf).collect()} == want
