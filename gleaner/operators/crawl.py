@@ -1,8 +1,9 @@
 """Crawl operators: frontier, duplicates, caps, links, robots, and the round loop.
 
-The loop is breadth first. A round normalizes and filters the frontier, takes at
-most HOST_CAP pages of a host and PAGE_CAP in all, fetches them, drops contents met
-before, and queues the links that are new. Every round's state is a written table.
+The loop is breadth first. A round fetches at most HOST_CAP queued pages of a host and
+PAGE_CAP in all, drops contents met before, takes those that host and crawl have
+places for, and queues the links that are new after what it left of the queue.
+Every round's state is a written table.
 """
 
 from __future__ import annotations
@@ -126,29 +127,37 @@ class Crawl:
     queue: DataFrame  # what is left to fetch: seq, url
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, fetch: Fetcher, robots: DataFrame | None = None, rounds: int = 10, page_cap: int = PAGE_CAP, per_host: int = HOST_CAP) -> Crawl:
-    """Rounds until the queue is empty or page_cap is reached. A page that fails or
-    repeats a content is visited but holds no place of its host."""
+def crawl(spark: SparkSession, seeds: DataFrame, fetch: Fetcher, robots: DataFrame | None = None, rounds: int | None = None, page_cap: int = PAGE_CAP, per_host: int = HOST_CAP) -> Crawl:
+    """Rounds (all it takes by default) until the queue is empty or page_cap is
+    reached. A page that fails or repeats a content is visited but holds no place of
+    its host; what a round leaves of the queue stays there while its host has places."""
     keep = Rounds(spark)
     queue = keep.keep(frontier(seeds), drop_before=False)
     docs = links = visited = None
-    n_docs = 0
-    for _ in range(rounds):
-        due = queue if robots is None else allowed_by_robots(queue, robots)
-        due = host_cap(due, per_host, taken=pages_per_host(docs) if docs is not None else None)
-        got = fetch(due.orderBy("seq").limit(page_cap - n_docs)).where(is_html(F.col("content_type")))
-        new = content_dedup(got.select("seq", "url", "html"), order="seq", known=docs)
+    n_docs = turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        hosts = pages_per_host(docs) if docs is not None else None
+        due = queue if robots is None else keep.keep(allowed_by_robots(queue, robots), drop_before=False)
+        take = keep.keep(host_cap(due, per_host).orderBy("seq").limit(page_cap), drop_before=False)
+        got = keep.keep(fetch(take).where(is_html(F.col("content_type"))).select("seq", "url", "html"), drop_before=False)
+        new = host_cap(content_dedup(got, order="seq", known=docs), per_host, taken=hosts).orderBy("seq").limit(page_cap - n_docs)
         numbered = new.withColumn("doc_id", F.row_number().over(W.orderBy("seq")).cast("long") + n_docs)
         new = keep.keep(numbered.select("doc_id", "url", page_title(F.col("html")).alias("title"), "html", "hash"), drop_before=False)
         found = keep.keep(link_extract(new, "doc_id", cap=LINK_CAP).select(F.col("page").alias("doc_id"), "seq", "link"), drop_before=False)
-        seen = queue.select("url")
-        visited = seen if visited is None else visited.union(seen)
         docs, links = (new, found) if docs is None else (docs.union(new), links.union(found))
-        added = new.count()
-        n_docs += added
-        order = (F.col("doc_id") * 1000 + F.col("seq")).alias("seq")
-        queue = keep.keep(frontier(found.select(order, F.col("link").alias("url")), visited).orderBy("seq").limit(QUEUE_CAP), drop_before=False)
-        if not added or n_docs >= page_cap or queue.isEmpty():
+        n_docs += new.count()
+        # a page without a place, and copies of it, are as good as not fetched
+        back = got.select("url", F.md5(F.coalesce("html", F.lit(""))).alias("hash")).join(docs.select("hash"), "hash", "left_anti")
+        seen = keep.keep(take.select("url").join(back.select("url"), "url", "left_anti"), drop_before=False)
+        visited = seen if visited is None else visited.union(seen)
+        hosts = pages_per_host(docs)
+        rest = keep.keep(frontier(due, visited, hosts, per_host), drop_before=False)
+        base = (queue.agg(F.max("seq")).first()[0] or 0) + 1  # links come after the queue so far
+        order = (F.lit(base) + F.col("doc_id") * 1000 + F.col("seq")).alias("seq")
+        more = frontier(found.select(order, F.col("link").alias("url")), visited.union(rest.select("url")), hosts, per_host)
+        queue = keep.keep(rest.union(more.orderBy("seq").limit(max(0, QUEUE_CAP - rest.count()))), drop_before=False)
+        if n_docs >= page_cap or queue.isEmpty():
             break
     return Crawl(docs, links.select("doc_id", "link"), queue)
 

@@ -341,7 +341,7 @@ def document_ids(spark, sf_dir):
 def crawl(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     seeds = pages.select(F.col("page_id").alias("seq"), "url")
-    return C.crawl(spark, seeds, C.offline_fetcher(pages), rounds=3).documents.select("doc_id", "url", "title", "hash")
+    return C.crawl(spark, seeds, C.offline_fetcher(pages)).documents.select("doc_id", "url", "title", "hash")
 
 
 # ---- link graph, page rank -----------------------------------------------------------------

@@ -118,6 +118,19 @@ def test_crawl(spark, pages, tmp_path):
     assert C.frontier(seeds, visited).count() == 0 and hosts.count() == 2 and hashes.count() == 3
 
 
+def test_crawl_fills_hosts(spark):
+    """Dead and copied pages give their places to the rest of a host's seeds; the queue shows what is left."""
+    alive = [(f"http://h.com/{i}", "copy" if i < 6 else f"page {i}") for i in range(3, 12)] + [("http://g.com/", "other")]
+    pages = spark.createDataFrame(alive, "url string, html string")
+    seeds = spark.createDataFrame([(i, f"http://h.com/{i}") for i in range(12)] + [(12, "http://g.com/")], "seq long, url string")
+    out = C.crawl(spark, seeds, C.offline_fetcher(pages), per_host=4)
+    assert [r.url[-6:] for r in out.documents.where("url LIKE '%h.com%'").orderBy("doc_id").collect()] == [f".com/{i}" for i in (3, 6, 7, 8)]
+    assert out.documents.count() == 5 and out.queue.isEmpty()
+    few = C.crawl(spark, seeds, C.offline_fetcher(pages), per_host=20, page_cap=3)
+    assert [r.url[-6:] for r in few.documents.orderBy("doc_id").collect()] == [f".com/{i}" for i in (3, 6, 7)]
+    assert {r.url[-6:] for r in few.queue.collect()} >= {"com/11", "g.com/"}
+
+
 def test_caps(spark):
     rows = spark.createDataFrame([(i, f"http://h.com/{i}") for i in range(30)], "seq long, url string")
     assert C.host_cap(rows).count() == 20
