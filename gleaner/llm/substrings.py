@@ -8,9 +8,10 @@ segments of the others are dealt by anchor, equal ones of a batch once, with the
 smallest id that has them. An anchor of more than HOT documents is cut into its
 single strings, dealt by their own hash, so no task gets a whole common passage.
 
-Each task builds the multi-document transform of the windows of its segments column
-by column: every round puts one more symbol in front of each window's suffix. A
-round reads the suffixes in order, one after the other, and sends each on to the
+Each task leaves out segments that share no half window around a place of the anchor
+with another (by hash), and sorts the windows of the others column by column, in the
+rounds of a multi-document transform whose columns are not kept: every round puts
+one more symbol in front of each window's suffix. A round reads the suffixes in order, one after the other, and sends each on to the
 file of its new symbol; the files, in symbol order, are the next round's order. As
 all windows have one length, the suffixes of a round are ranked by those of the
 round before alone, and only the newest layer is kept. Small layers stay in memory,
@@ -215,8 +216,8 @@ def spans_of(at: np.ndarray, size: np.ndarray) -> np.ndarray:
 def column_order(text: np.ndarray, places: np.ndarray, chunk: int = CHUNK) -> list:
     """Column-wise construction over the windows at `places`, documents of WINDOW
     bytes each. Round by round every document gets one more symbol in front of its
-    suffix: its new rank is by that symbol, then by the rank it had. The symbols of a
-    round in rank order are that round's column of the transform. More than `chunk`
+    suffix: its new rank is by that symbol, then by the rank it had. The columns of the
+    transform (a round's symbols in rank order) are not kept. More than `chunk`
     documents go through one file for each symbol, written and read from front to
     end. Returns arrays or files of places, in order."""
     files: list = [places.astype(np.int32)]
