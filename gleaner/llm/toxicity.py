@@ -33,9 +33,6 @@ from .common import EMPTY, LOWER, Lookup, batches, checked_broadcast, chunks, he
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Most runs in the model that executors receive (about 100 MB); where more are
-#: found, those with the lowest counts fall back to the shared lower orders.
-MAX_GRAMS = 2_000_000
 CALIBRATION_ROWS = 3000
 #: Supposed share of expressions among the words of a toxic text.
 RATE = 0.01
@@ -219,7 +216,7 @@ def with_figures(df: DataFrame, text: str, model: Model, finish=None, names=FIGU
     return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in names]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, y (0 or 1), training rows only. One
     fold in four of the labelled rows is read for calibration, by a model of the
     other rows' counts; the model returned has the counts of all."""
@@ -229,18 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     known = checked_broadcast(labels, n)
     docs = docs.select("doc_id", "text")
     rows = count_grams(docs.join(known.withColumn("fold", fold), "doc_id"), "text", "y", "fold")
-    rows.persist()
-    try:
-        bins = rows.groupBy(F.least(F.col("toxic") + F.col("ordinary"), F.lit(1000)).alias("c")).count().orderBy(F.desc("c")).collect()
-        least, total = 1, 0
-        for c, k in bins:
-            total += k
-            if total > max_grams:
-                least = c + 1
-                break
-        pdf = rows.where(F.col("toxic") + F.col("ordinary") >= least).toPandas()
-    finally:
-        rows.unpersist()
+    pdf = rows.toPandas()  # every run, whatever its count: the lower orders are made of all of them
     prior = float(n1) / n if n else 0.0
     if not len(pdf) or n1 == 0 or n1 == n:
         return Model(prior=prior)

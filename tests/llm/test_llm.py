@@ -103,6 +103,16 @@ def test_toxicity_counts_every_text(spark):
         assert m.disc[-1][m.lookups[-1](last)].any() and m.weights is not None
 
 
+def test_toxicity_keeps_rare_runs(spark):
+    """No run is left out of a model of more than two million."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 123, 20_000).astype(np.uint8)).decode() for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, y int"))
+    runs = {t[k : k + 5] for t in texts for k in range(len(t) - 4)}
+    assert len(runs) > 2_000_000 and len(m.disc[-1]) - 1 >= len(runs)
+
+
 # ---- 3: rules
 
 
