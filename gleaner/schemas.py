@@ -9,6 +9,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 DOCUMENTS = _schema(("doc_id", T.LongType()), ("url", T.StringType()), ("title", T.StringType()), ("html", T.StringType()), ("hash", T.StringType()), ("crawled_at", T.TimestampType()), ("page_rank", T.DoubleType()))
 LINKS = _schema(("doc_id", T.LongType()), ("link", T.StringType()))
+QUEUE = _schema(("seq", T.LongType()), ("url", T.StringType()))
 POSTINGS = _schema(("word", T.StringType()), ("doc_id", T.LongType()), ("tf", T.DoubleType()), ("importance", T.DoubleType()), ("positions", T.ArrayType(T.IntegerType())))
 VOCAB = _schema(("word", T.StringType()), ("df", T.LongType()), ("idf", T.DoubleType()))
 QUERY_LOG = _schema(("query", T.StringType()), ("count", T.LongType()), ("last_added", T.TimestampType()))

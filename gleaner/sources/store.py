@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .scratch import Rounds, numbered
 
 
 #: Tables of texts, and their keys.
@@ -41,6 +41,24 @@ def save_crawl(docs: DataFrame, links: DataFrame, path: str, commit: int) -> Non
     docs.write.mode("overwrite").parquet(f"{path}/documents/commit={commit}")
 
 
+def save_queue(queue: DataFrame, path: str, commit: int) -> None:
+    """The urls left to fetch after a commit."""
+    queue.write.mode("overwrite").parquet(f"{path}/queue/commit={commit}")
+
+
+def load_queue(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last queue that was saved."""
+    kept = read_or_empty(spark, f"{path}/queue", "seq long, url string, commit int")
+    last = kept.agg(F.max("commit")).first()[0]
+    return None if last is None else kept.where(F.col("commit") == last).select("seq", "url")
+
+
+def last_commit(spark: SparkSession, path: str) -> int:
+    """The last commit of documents, 0 if there is none."""
+    docs = read_or_empty(spark, f"{path}/documents", "doc_id long, commit int")
+    return docs.agg(F.coalesce(F.max("commit"), F.lit(0))).first()[0]
+
+
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, f"{path}/documents", schemas.DOCUMENTS)
 
@@ -57,8 +75,9 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
 def with_ids(rows: DataFrame, known: DataFrame) -> DataFrame:
     """rows (url, ...) plus doc_id: the smallest id that known (doc_id, url) has for
     the url, or a new one behind the largest, in order of url."""
+    rounds = Rounds(rows.sparkSession)
     old = known.groupBy("url").agg(F.min("doc_id").alias("doc_id"))
     last = known.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
     fresh = rows.select("url").distinct().join(old, "url", "left_anti")
-    fresh = fresh.select("url", (F.row_number().over(W.orderBy("url")) + last).cast("long").alias("doc_id"))
-    return rows.join(old.unionByName(fresh), "url")
+    fresh = numbered(fresh, [F.col("url")], "_number", lambda df: rounds.keep(df, drop_before=False))
+    return rows.join(old.unionByName(fresh.select((F.col("_number") + last).alias("doc_id"), "url")), "url")
