@@ -3,23 +3,29 @@
 The loop is breadth first. A round fetches at most HOST_CAP queued pages of a host and
 PAGE_CAP in all, drops contents met before, takes those that host and crawl have
 places for, and queues the links that are new after what it left of the queue.
-Every round's state is a written table.
+Every round's documents, links and queue are saved under a commit of their own; a
+crawl that finds commits in its folder goes on from them.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from dataclasses import dataclass
+from http.client import HTTPException
+from urllib.request import Request, urlopen
 from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.urls import absolute_url, hrefs, normalize_url, url_host
 from ..sources.html import page_title
 from ..sources.scratch import Rounds
+from ..sources.store import last_commit, load_documents, load_links, load_queue, save_crawl, save_queue
 
 HOST_CAP, PAGE_CAP, QUEUE_CAP, LINK_CAP = 20, 2000, 10_000, 11
 
@@ -54,12 +60,13 @@ def pages_per_host(urls: DataFrame, url: str = "url") -> DataFrame:
 def host_cap(rows: DataFrame, cap: int = HOST_CAP, order: str = "seq", url: str = "url", taken: DataFrame | None = None) -> DataFrame:
     """Of every host the first rows, up to cap with those taken before (host, n)."""
     rows = rows.withColumn("_host", url_host(F.col(url)))
+    # no host can have more than cap: tasks leave out the rest before the shuffle
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_host").orderBy(order))).where(F.col("_k") <= cap)
     if taken is not None:
         rows = rows.join(taken.select(F.col("host").alias("_host"), F.col("n").alias("_had")), "_host", "left")
     else:
         rows = rows.withColumn("_had", F.lit(0))
-    place = F.row_number().over(W.partitionBy("_host").orderBy(order))
-    return rows.withColumn("_k", place).where(F.col("_k") <= F.greatest(F.lit(0), cap - F.coalesce("_had", F.lit(0)))).drop("_host", "_had", "_k")
+    return rows.where(F.col("_k") <= cap - F.coalesce("_had", F.lit(0))).drop("_host", "_had", "_k")
 
 
 def content_dedup(rows: DataFrame, content: str = "html", order: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
@@ -120,6 +127,41 @@ def offline_fetcher(pages: DataFrame, url: str = "url", html: str = "html") -> F
     return lambda rows: rows.join(known, "url").withColumn("content_type", F.lit("text/html"))
 
 
+AGENTS = ("Mozilla/5.0 (compatible; gleaner)", "Mozilla/5.0 (X11; Linux x86_64; gleaner)")
+TIMEOUT = 5.0
+
+
+def fetch_page(url: str, agent: str, timeout: float = TIMEOUT) -> tuple[str, str] | None:
+    """(html, content type) of a page that answers 200 with HTML in time, or None."""
+    try:
+        with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+            kind = r.headers.get("Content-Type") or ""
+            if r.status != 200 or not kind.lower().startswith("text/html"):
+                return None
+            return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), kind
+    except (OSError, ValueError, HTTPException):
+        return None
+
+
+def http_fetcher(agents: tuple[str, ...] = AGENTS, timeout: float = TIMEOUT) -> Fetcher:
+    """A fetcher that asks the web. One agent of those named is taken at random for each
+    page; pages that fail are left out."""
+
+    def fetch(rows: DataFrame) -> DataFrame:
+        at = rows.columns.index("url")
+
+        def run(it):
+            for b in it:
+                got = [fetch_page(u, random.choice(agents), timeout) for u in b.column(at).to_pylist()]
+                some = b.filter(pa.array([g is not None for g in got], pa.bool_()))
+                html, kind = ([g[k] for g in got if g] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(html, pa.string()), pa.array(kind, pa.string())], names=[*some.schema.names, "html", "content_type"])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("html", T.StringType()), T.StructField("content_type", T.StringType())]))
+
+    return fetch
+
+
 @dataclass
 class Crawl:
     documents: DataFrame  # doc_id, url, title, html, hash
@@ -127,39 +169,51 @@ class Crawl:
     queue: DataFrame  # what is left to fetch: seq, url
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, fetch: Fetcher, robots: DataFrame | None = None, rounds: int | None = None, page_cap: int = PAGE_CAP, per_host: int = HOST_CAP) -> Crawl:
+def crawl(spark: SparkSession, seeds: DataFrame, fetch: Fetcher, robots: DataFrame | None = None, rounds: int | None = None, page_cap: int = PAGE_CAP, per_host: int = HOST_CAP, path: str | None = None) -> Crawl:
     """Rounds (all it takes by default) until the queue is empty or page_cap is
     reached. A page that fails or repeats a content is visited but holds no place of
-    its host; what a round leaves of the queue stays there while its host has places."""
+    its host; what a round leaves of the queue stays there while its host has places.
+    path: where rounds are saved. What is there counts: its documents are visited, its
+    hosts and contents known, its queue comes before new seeds, and page_cap holds for
+    all. Pages that failed are tried again by a later crawl."""
     keep = Rounds(spark)
-    queue = keep.keep(frontier(seeds), drop_before=False)
-    docs = links = visited = None
-    n_docs = turn = 0
-    while rounds is None or turn < rounds:
-        turn += 1
-        hosts = pages_per_host(docs) if docs is not None else None
-        due = queue if robots is None else keep.keep(allowed_by_robots(queue, robots), drop_before=False)
-        take = keep.keep(host_cap(due, per_host).orderBy("seq").limit(page_cap), drop_before=False)
-        got = keep.keep(fetch(take).where(is_html(F.col("content_type"))).select("seq", "url", "html"), drop_before=False)
-        new = host_cap(content_dedup(got, order="seq", known=docs), per_host, taken=hosts).orderBy("seq").limit(page_cap - n_docs)
-        numbered = new.withColumn("doc_id", F.row_number().over(W.orderBy("seq")).cast("long") + n_docs)
-        new = keep.keep(numbered.select("doc_id", "url", page_title(F.col("html")).alias("title"), "html", "hash"), drop_before=False)
-        found = keep.keep(link_extract(new, "doc_id", cap=LINK_CAP).select(F.col("page").alias("doc_id"), "seq", "link"), drop_before=False)
-        docs, links = (new, found) if docs is None else (docs.union(new), links.union(found))
-        n_docs += new.count()
+    path = path or f"{keep.root}/crawl"
+    kept = lambda df: keep.keep(df, drop_before=False)
+    stored = lambda: load_documents(spark, path).select("doc_id", "url", "title", "html", "hash")
+    commit, docs = last_commit(spark, path), stored()
+    n_docs, last_id = docs.agg(F.count("*"), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    visited, hosts, _ = resume(docs)
+    queue, left = frontier(seeds, visited, hosts, per_host), load_queue(spark, path)
+    if left is not None:
+        left = frontier(left, visited, hosts, per_host)
+        queue = left.union(queue.join(left, "url", "left_anti").select(F.col("seq") + 1 + (left.agg(F.max("seq")).first()[0] or 0), "url"))
+    queue, failed, turn = kept(queue), None, 0
+    while (rounds is None or turn < rounds) and n_docs < page_cap and not queue.isEmpty():
+        turn, commit = turn + 1, commit + 1
+        due = queue if robots is None else kept(allowed_by_robots(queue, robots))
+        take = kept(host_cap(due, per_host).orderBy("seq").limit(page_cap))
+        got = kept(fetch(take).where(is_html(F.col("content_type"))).select("seq", "url", "html"))
+        new = host_cap(content_dedup(got, order="seq", known=docs), per_host, taken=pages_per_host(docs)).orderBy("seq").limit(page_cap - n_docs)
+        # at most page_cap rows
+        numbered = new.withColumn("doc_id", F.row_number().over(W.orderBy("seq")).cast("long") + last_id)
+        new = kept(numbered.select("doc_id", "url", page_title(F.col("html")).alias("title"), "html", "hash"))
+        found = kept(link_extract(new, "doc_id", cap=LINK_CAP).select(F.col("page").alias("doc_id"), "seq", "link"))
+        save_crawl(new, found.select("doc_id", "link"), path, commit)
+        docs = stored()
+        n_new = new.count()
+        n_docs, last_id = n_docs + n_new, last_id + n_new
         # a page without a place, and copies of it, are as good as not fetched
         back = got.select("url", F.md5(F.coalesce("html", F.lit(""))).alias("hash")).join(docs.select("hash"), "hash", "left_anti")
-        seen = keep.keep(take.select("url").join(back.select("url"), "url", "left_anti"), drop_before=False)
-        visited = seen if visited is None else visited.union(seen)
-        hosts = pages_per_host(docs)
-        rest = keep.keep(frontier(due, visited, hosts, per_host), drop_before=False)
+        seen = take.select("url").join(back.select("url"), "url", "left_anti")
+        failed = kept(seen if failed is None else failed.union(seen).distinct())
+        visited, hosts = failed.union(docs.select("url")), pages_per_host(docs)
+        rest = kept(frontier(due, visited, hosts, per_host))
         base = (queue.agg(F.max("seq")).first()[0] or 0) + 1  # links come after the queue so far
         order = (F.lit(base) + F.col("doc_id") * 1000 + F.col("seq")).alias("seq")
         more = frontier(found.select(order, F.col("link").alias("url")), visited.union(rest.select("url")), hosts, per_host)
-        queue = keep.keep(rest.union(more.orderBy("seq").limit(max(0, QUEUE_CAP - rest.count()))), drop_before=False)
-        if n_docs >= page_cap or queue.isEmpty():
-            break
-    return Crawl(docs, links.select("doc_id", "link"), queue)
+        queue = kept(rest.union(more.orderBy("seq").limit(max(0, QUEUE_CAP - rest.count()))))
+        save_queue(queue, path, commit)
+    return Crawl(docs, load_links(spark, path).select("doc_id", "link"), queue)
 
 
 def resume(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
