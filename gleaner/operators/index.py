@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.porter import stems
 from ..functions.text import STOP_WORDS, block_weight, document_blocks, is_valid_word, tokens
+from ..sources.scratch import Rounds
 
-#: Vocabulary rows up to which a stem table may be broadcast.
+#: Vocabulary rows up to which a stem table is broadcast.
 BROADCAST_WORDS = 1_000_000
+#: Folders that a stored index is dealt to by word: a lookup reads one for each word.
+BUCKETS = 64
 
 
 @dataclass
@@ -27,17 +32,35 @@ class Index:
     vocab: DataFrame
     stemmed: bool = False
     stop: frozenset[str] = STOP_WORDS
-
-    def write(self, path: str, parts: int | None = None) -> None:
-        """Postings sorted by word inside range partitions: a lookup by word skips
-        all row groups but a few."""
-        by_word = self.postings.repartitionByRange(parts, "word") if parts else self.postings.repartitionByRange("word")
-        by_word.sortWithinPartitions("word", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    #: Of a stored index; its postings have idf and bucket as well.
+    buckets: int | None = None
+
+    def write(self, path: str, buckets: int = BUCKETS) -> None:
+        """Postings with the idf of their word, by bucket of the word and sorted by word:
+        a lookup opens one folder a word and skips all row groups but a few. More
+        buckets for larger corpora keep a bucket one task's work."""
+        posts = self.postings.join(self.vocab.select("word", "idf"), "word").withColumn("bucket", bucket_of(F.col("word"), buckets))
+        posts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "word", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.vocab.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocab")
+        self.vocab.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, stemmed: bool = False) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"), stemmed)
+        buckets = spark.read.parquet(f"{path}/layout").first()[0]
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"), stemmed, buckets=buckets)
+
+    def postings_of(self, words: list[str]) -> DataFrame:
+        """The postings of some words."""
+        rows = self.postings
+        if self.buckets and words:
+            # folded to literals, so that only these folders are listed and read
+            asked = reduce(lambda a, w: a | (F.col("bucket") == bucket_of(F.lit(w), self.buckets)), words[1:], F.col("bucket") == bucket_of(F.lit(words[0]), self.buckets))
+            rows = rows.where(asked)
+        return rows.where(F.col("word").isin(words))
+
+
+def bucket_of(word: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
 def blocks_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,21 +80,29 @@ def occurrences(blocks: DataFrame, stop: Iterable[str] | None = STOP_WORDS) -> D
     return rows.where("word IS NOT NULL")
 
 
-def stemmed_occurrences(found: DataFrame, stop: Iterable[str] | None = STOP_WORDS) -> DataFrame:
-    """Occurrences by stem. Each distinct word is stemmed once. The total counts only
-    tokens whose stem is still a valid word."""
-    words = stems(found.select("word").distinct()).withColumn("counts", is_valid_word(F.col("stem"), stop))
-    rows = found.join(words, "word")
-    totals = rows.groupBy("doc_id").agg(F.count_if("counts").alias("total"))
-    return rows.select("doc_id", "weight", "position", F.col("stem").alias("word")).join(totals, "doc_id")
+def stemmed_postings(found: DataFrame, words: DataFrame, stop: Iterable[str] | None = STOP_WORDS) -> DataFrame:
+    """Postings by stem. found: occurrences, dealt by document; words: the distinct
+    words, each of which is stemmed once. Words of a document are counted before stems
+    are looked up, and nothing is shuffled but a vocabulary too large to broadcast. The
+    total counts only tokens whose stem is still a valid word."""
+    table = Rounds(words.sparkSession).keep(stems(words).withColumn("counts", is_valid_word(F.col("stem"), stop)))
+    n = table.count()
+    by = found.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.max("weight").alias("importance"), F.collect_set("position").alias("positions"))
+    rows = by.join(F.broadcast(table) if n <= BROADCAST_WORDS else table, "word")
+    total = F.coalesce(F.sum(F.when(F.col("counts"), F.col("n"))).over(W.partitionBy("doc_id")), F.lit(0))
+    rows = rows.withColumn("total", total).groupBy("doc_id", "stem", "total").agg(F.sum("weight").alias("weight"), F.max("importance").alias("importance"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+    return rows.select(F.col("stem").alias("word"), "doc_id", _tf().alias("tf"), "importance", "positions")
+
+
+def _tf() -> Column:
+    return F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(F.col("weight"))
 
 
 def postings(found: DataFrame) -> DataFrame:
     """word, doc_id, tf (weighted occurrences over the document's total), importance
     (largest weight) and sorted distinct positions."""
     by = found.groupBy("word", "doc_id", "total").agg(F.sum("weight").alias("weight"), F.max("weight").alias("importance"), F.array_sort(F.collect_set("position")).alias("positions"))
-    tf = F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(F.col("weight"))
-    return by.select("word", "doc_id", tf.alias("tf"), "importance", "positions")
+    return by.select("word", "doc_id", _tf().alias("tf"), "importance", "positions")
 
 
 def vocabulary(posts: DataFrame, n_docs: int) -> DataFrame:
@@ -84,8 +115,8 @@ def build_index(blocks: DataFrame, n_docs: int | None = None, stop: frozenset[st
     """n_docs: size of the corpus, all rows by default (also those without words).
     whole: all postings are wanted, so texts are shuffled by document once and
     their words never; else filters on words come first and few rows are shuffled."""
-    found = occurrences(blocks.repartition("doc_id") if whole else blocks, stop)
-    posts = postings(stemmed_occurrences(found, stop) if stem else found)
+    found = occurrences(blocks.repartition("doc_id") if whole or stem else blocks, stop)
+    posts = stemmed_postings(found, occurrences(blocks, stop).select("word").distinct(), stop) if stem else postings(found)
     return Index(posts, vocabulary(posts, blocks.count() if n_docs is None else n_docs), stem, stop)
 
 

@@ -13,9 +13,11 @@ GAP = 3
 
 
 def match_words(index: Index, terms: tuple[Term, ...]) -> DataFrame:
-    """Documents with any of the terms. The filter reaches the postings' scan; the
-    vocabulary side has a row a term."""
+    """Documents with any of the terms. The filter reaches the postings' scan. Stored
+    postings have their idf; else the vocabulary side has a row a term."""
     keys = [t.key for t in terms]
+    if index.buckets:
+        return index.postings_of(keys).select("doc_id", F.col("word").alias("term"), "tf", "idf")
     posts = index.postings.where(F.col("word").isin(keys)).select("word", "doc_id", "tf")
     idf = index.vocab.where(F.col("word").isin(keys)).select("word", "idf").limit(max(1, len(keys)))
     return posts.join(F.broadcast(idf), "word").select("doc_id", F.col("word").alias("term"), "tf", "idf")
@@ -44,7 +46,7 @@ def phrase_ok(positions: list[Column], gap: int = GAP) -> Column:
 def phrase_docs(index: Index, terms: tuple[Term, ...], gap: int = GAP) -> DataFrame:
     """doc_id of the documents that hold all terms, in order and close together."""
     keys = [t.key for t in terms]
-    rows = index.postings.where(F.col("word").isin(keys))
+    rows = index.postings_of(keys)
     places = [F.max(F.when(F.col("word") == k, F.col("positions"))).alias(f"p{i}") for i, k in enumerate(keys)]
     by_doc = rows.groupBy("doc_id").agg(F.count_distinct("word").alias("n"), *places).where(F.col("n") == len(keys))
     return by_doc.where(phrase_ok([F.col(f"p{i}") for i in range(len(keys))], gap)).select("doc_id")
