@@ -30,6 +30,22 @@ def window_counts(events: DataFrame, by: str = "event_type", width: str = "1 hou
     return counted.select(F.col("window.start").alias("window_start"), by, "n", "last_added")
 
 
+def keep_latest(counts: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = ("window_start", "event_type")) -> DataFrame:
+    """The counts of all windows of a stream that is read to its end. Every batch
+    writes the windows that it changed (one that is tried again overwrites its own
+    folder), the last word on a window counts, and the watermark ends its state."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = counts.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = counts.sparkSession.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *(F.col(f"last.{c}").alias(c) for c in rest))
+
+
 def drop_repeated(pages: DataFrame, html: str = "html") -> DataFrame:
     """A page whose content came before is dropped; state holds one hash a content."""
     return pages.withColumn("hash", F.md5(html)).dropDuplicates(["hash"])
