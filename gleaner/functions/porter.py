@@ -1,5 +1,5 @@
 """Porter's stemmer (Porter 1980, the author's later revision) as regular
-expressions: a chain of CASE expressions, the same for Spark and for other engines.
+expressions: a chain of CASE expressions.
 
 A first step writes a consonant y as Y, so that a vowel is one of aeiouy and
 measures are plain patterns; the last step writes it back.
@@ -81,14 +81,6 @@ def stems(words: DataFrame, col: str = "word") -> DataFrame:
     return out.withColumn("stem", F.when(F.length(col) > 2, F.lower("_w")).otherwise(F.col(col))).drop("_w")
 
 
-def sql(source: str, col: str = "word") -> str:
-    """The same over a DuckDB relation with the column `word`: word, stem."""
-    ctes = [f"s0 AS (SELECT {col} AS word, regexp_replace(regexp_replace({col}, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM {source})"]
-    for k, step in enumerate(steps(lambda x, p: f"regexp_matches({x}, '{p}')")):
-        ctes.append(f"s{k + 1} AS (SELECT word, {step('w')} AS w FROM s{k})")
-    return f"{', '.join(ctes)} SELECT word, CASE WHEN length(word) > 2 THEN lower(w) ELSE word END AS stem FROM s{len(ctes) - 1}"
-
-
 def stem_text(text: str | None) -> str:
     """A text with every run of letters stemmed and all else as it was."""
     return re.sub("[A-Za-z]+", lambda m: stem_word(m[0]), text or "")

@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import api
+from . import oracle_sql as O
 from .functions import porter
-from .functions.snippets import clean_html, clean_sql, highlight, highlight_sql
+from .functions.snippets import clean_html, highlight
 from .functions.text import RUN, STOP_WORDS, WEIGHTS, runs, tokens
 from .functions.urls import filter_params, normalize_url, url_host
 from .operators import crawl as C
@@ -27,7 +28,7 @@ from .plans.query import parse, query_words
 from .sources.html import html_blocks, page_title
 from .sources.scratch import Rounds
 from .sources.store import table, with_ids
-from .streaming.ingest import read_stream, window_counts
+from .streaming.ingest import keep_latest, read_stream, window_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,14 +94,18 @@ def _index(spark: SparkSession, sf_dir: str, stem: bool = False, whole: bool = F
 # ---- words and index ---------------------------------------------------------------
 
 
-@query("token_stats", f"SELECT doc_id, CAST(len(r) AS BIGINT) AS n_runs, CAST(len(list_distinct(r)) AS BIGINT) AS n_distinct, CAST(coalesce(list_sum(list_transform(r, lambda x: length(x))), 0) AS BIGINT) AS n_chars FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{_RUN}'), lambda r: trim(r, '''')) AS r FROM documents)")
+@query("token_stats", f"""SELECT doc_id, CAST(len(r) AS BIGINT) AS n_runs, CAST(len(list_distinct(r)) AS BIGINT) AS n_distinct, CAST(coalesce(list_sum(list_transform(r, lambda x: length(x))), 0) AS BIGINT) AS n_chars
+ FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{_RUN}'), lambda r: trim(r, '''')) AS r
+ FROM documents)""")
 def token_stats(spark, sf_dir):
     r = runs(F.coalesce("text", F.lit("")))
     chars = F.aggregate("r", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
     return _docs(spark, sf_dir).select("doc_id", r.alias("r")).select("doc_id", F.size("r").cast("long").alias("n_runs"), F.size(F.array_distinct("r")).cast("long").alias("n_distinct"), chars.alias("n_chars"))
 
 
-@query("token_valid", f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_valid, CAST(len(list_distinct(w)) AS BIGINT) AS n_words FROM (SELECT doc_id, {_tokens("coalesce(text, '')")} AS w FROM documents)")
+@query("token_valid", f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_valid, CAST(len(list_distinct(w)) AS BIGINT) AS n_words
+ FROM (SELECT doc_id, {_tokens("coalesce(text, '')")} AS w
+ FROM documents)""")
 def token_valid(spark, sf_dir):
     w = _docs(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_valid"), F.size(F.array_distinct("w")).cast("long").alias("n_words"))
@@ -123,7 +128,8 @@ def word_importance(spark, sf_dir):
     return _index(spark, sf_dir, whole=True).postings.select("doc_id", "word", "importance")
 
 
-@query("word_positions", f"WITH {_INDEX} SELECT doc_id, word, CAST(len(positions) AS BIGINT) AS n, CAST(positions[1] AS INTEGER) AS first, CAST(positions[-1] AS INTEGER) AS last, CAST(list_sum(positions) AS BIGINT) AS total FROM postings")
+@query("word_positions", f"""WITH {_INDEX} SELECT doc_id, word, CAST(len(positions) AS BIGINT) AS n, CAST(positions[1] AS INTEGER) AS first, CAST(positions[-1] AS INTEGER) AS last, CAST(list_sum(positions) AS BIGINT) AS total
+ FROM postings""")
 def word_positions(spark, sf_dir):
     p = _index(spark, sf_dir, whole=True).postings
     total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -140,24 +146,28 @@ def corpus_size(spark, sf_dir):
     return _docs(spark, sf_dir).agg(F.count("*").alias("n_docs"))
 
 
-@query("porter_stem", f"WITH {_INDEX}, words AS (SELECT DISTINCT word FROM found), " + porter.sql("words"))
+@query("porter_stem", f"WITH {_INDEX}, words AS (SELECT DISTINCT word FROM found), {O.porter('words')} SELECT word, stem FROM stemmed")
 def porter_stem(spark, sf_dir):
     return porter.stems(occurrences(blocks_of(_docs(spark, sf_dir))).select("word").distinct())
 
 
-_STEMMED = f"""WITH {_INDEX}, words AS (SELECT DISTINCT word FROM found), stemmed AS (WITH {porter.sql("words")}),
-so AS (SELECT f.doc_id, f.weight, s.stem AS x FROM found f JOIN stemmed s USING (word)),
-st AS (SELECT doc_id, count(*) FILTER ({_VALID}) AS total FROM so GROUP BY doc_id)
-SELECT x AS word, so.doc_id, round(CASE WHEN any_value(total) > 0 THEN sum(weight) / any_value(total) ELSE sum(weight) END, 9) AS tf FROM so JOIN st USING (doc_id) GROUP BY x, so.doc_id"""
+def _by_stem(found: str, key: str = "doc_id") -> str:
+    """CTEs from occurrences (key, word, weight) to `by_stem` (word, key, tf, importance)."""
+    return f"""vocabulary AS (SELECT DISTINCT word FROM {found}), {O.porter("vocabulary")},
+so AS (SELECT f.{key}, f.weight, s.stem AS x FROM {found} f JOIN stemmed s USING (word)),
+st AS (SELECT {key}, count(*) FILTER ({_VALID}) AS total FROM so GROUP BY {key}),
+by_stem AS (SELECT x AS word, so.{key}, max(weight) AS importance,
+ round(CASE WHEN any_value(total) > 0 THEN sum(weight) / any_value(total) ELSE sum(weight) END, 9) AS tf
+ FROM so JOIN st USING ({key}) GROUP BY x, so.{key})"""
 
 
-@query("stemmed_tf", _STEMMED)
+@query("stemmed_tf", f"WITH {_INDEX}, {_by_stem('found')} SELECT word, doc_id, tf FROM by_stem")
 def stemmed_tf(spark, sf_dir):
     """Postings by stem; tokens whose stem is a stop word don't count in the total."""
     return _index(spark, sf_dir, stem=True, whole=True).postings.select("word", "doc_id", F.round("tf", 9).alias("tf"))
 
 
-@query("stem_text")
+@query("stem_text", O.STEM_TEXT)
 def stem_text(spark, sf_dir):
     """Whole texts with every run of letters stemmed."""
     return porter.stem_texts(_docs(spark, sf_dir).select("doc_id", F.col("text").alias("value")))
@@ -208,10 +218,15 @@ _FOLD = "list_reduce(list_prepend(CAST(s * 2 AS BIGINT), list_transform(p{k}, la
 
 
 def _phrase(keys: list[str]) -> str:
-    """Documents that hold a phrase of two words."""
-    a, b = keys
-    return f"""SELECT doc_id FROM (SELECT doc_id, any_value(positions) FILTER (word = '{a}') AS p0, any_value(positions) FILTER (word = '{b}') AS p1 FROM postings WHERE word IN ('{a}', '{b}') GROUP BY doc_id HAVING count(DISTINCT word) = 2)
-WHERE len(list_filter(p0, lambda s: {_FOLD.format(k=1)} % 2 = 1)) > 0"""
+    """Documents that hold a phrase. A start is followed list by list; -1 is a start lost."""
+    names = ", ".join(f"'{k}'" for k in keys)
+    places = ", ".join(f"any_value(positions) FILTER (word = '{k}') AS p{i}" for i, k in enumerate(keys))
+    starts = "p0"
+    for i in range(1, len(keys)):
+        walk = _FOLD.format(k=i)
+        starts = f"list_filter(list_transform({starts}, lambda s: CASE WHEN {walk} % 2 = 1 THEN {walk} // 2 ELSE -1 END), lambda s: s >= 0)"
+    return f"""SELECT doc_id FROM (SELECT doc_id, {places} FROM postings WHERE word IN ({names}) GROUP BY doc_id HAVING count(DISTINCT word) = {len(keys)})
+WHERE len({starts}) > 0"""
 
 
 @query("phrase_exact_gap", f"WITH {_INDEX} {_phrase(['anea', 'eriner'])}")
@@ -219,6 +234,11 @@ def phrase_exact_gap(spark, sf_dir):
     return phrase_docs(_index(spark, sf_dir), parse('"anea eriner"').terms)
 
 
+@query("phrase_three_words", f"WITH {_INDEX} {_phrase(['anea', 'eriner', 'thanea'])}")
+def phrase_three_words(spark, sf_dir):
+    return phrase_docs(_index(spark, sf_dir), parse('"anea eriner thanea"').terms)
+
+
 query("search_phrase", _ranked(f"SELECT * FROM ({_matched(_L)}) WHERE doc_id IN ({_phrase(_L)})", _L))(_search('"anea eriner"'))
 query("search_phrase_and", _ranked(f"SELECT * FROM ({_matched(_L)}) WHERE doc_id IN ({_phrase(_L)}) AND {_SEMI(['thth'])}", [*_L, "thth"]))(_search('"anea eriner" AND thth'))
 
@@ -228,7 +248,10 @@ def match_count_(spark, sf_dir):
     return match_count(match(_index(spark, sf_dir), parse("anea eriner")))
 
 
-@query("search_snippets")
+@query("search_snippets", _ranked(_matched(_L), _L).replace("\nSELECT * FROM (SELECT row_number()", ",\ntop AS (SELECT * FROM (SELECT row_number()") + f"""),
+texts AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, {O.clean("text")} AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM top)),
+{O.snippets("texts", _L)}
+SELECT rank, doc_id, '' AS url, title, score, snippet FROM top JOIN texts USING (doc_id) JOIN snippets USING (doc_id)""")
 def search_snippets(spark, sf_dir):
     """A page of results as a user gets it."""
     docs = _docs(spark, sf_dir).select("doc_id", F.lit("").alias("url"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("html"))
@@ -280,7 +303,10 @@ def pages_per_host(spark, sf_dir):
     return C.pages_per_host(table(spark, sf_dir, "pages"))
 
 
-@query("host_cap", f"SELECT page_id, host FROM (SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS k FROM pages) WHERE k <= 20")
+@query("host_cap", f"""SELECT page_id, host
+ FROM (SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS k
+ FROM pages)
+ WHERE k <= 20""")
 def host_cap(spark, sf_dir):
     rows = C.host_cap(table(spark, sf_dir, "pages").select("page_id", "url"), order="page_id")
     return rows.select("page_id", url_host(F.col("url")).alias("host"))
@@ -291,7 +317,16 @@ def crawl_frontier(spark, sf_dir):
     return C.frontier(table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url").where("url LIKE 'http%'"))
 
 
-@query("frontier_unvisited", f"SELECT url, min(page_id) AS seq FROM (SELECT page_id, {_NORM} AS url, {_HOST} AS host FROM pages) WHERE url NOT IN (SELECT {_NORM} FROM pages WHERE page_id % 3 = 0) AND host NOT IN (SELECT {_HOST} FROM pages WHERE page_id % 3 = 0 GROUP BY 1 HAVING count(*) >= 5) GROUP BY url")
+@query("frontier_unvisited", f"""SELECT url, min(page_id) AS seq
+ FROM (SELECT page_id, {_NORM} AS url, {_HOST} AS host
+ FROM pages)
+ WHERE url NOT IN (SELECT {_NORM}
+ FROM pages
+ WHERE page_id % 3 = 0) AND host NOT IN (SELECT {_HOST}
+ FROM pages
+ WHERE page_id % 3 = 0
+ GROUP BY 1 HAVING count(*) >= 5)
+ GROUP BY url""")
 def frontier_unvisited(spark, sf_dir):
     """Every third page was visited; a host is full at five."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url")
@@ -316,7 +351,8 @@ def link_cap(spark, sf_dir):
     return C.link_extract(table(spark, sf_dir, "pages"), cap=3)
 
 
-@query("page_title", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+@query("page_title", """SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title
+ FROM pages""")
 def page_title_(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("title"))
 
@@ -330,14 +366,21 @@ def robots_filter(spark, sf_dir):
     return C.allowed_by_robots(pages, rules).select("page_id")
 
 
-@query("document_ids", f"SELECT page_id, url, CAST(dense_rank() OVER (ORDER BY url) AS BIGINT) AS doc_id FROM (SELECT page_id, {_NORM} AS url FROM pages)")
+@query("document_ids", f"""SELECT page_id, url, CAST(dense_rank() OVER (ORDER BY url) AS BIGINT) AS doc_id
+ FROM (SELECT page_id, {_NORM} AS url
+ FROM pages)""")
 def document_ids(spark, sf_dir):
     """Ids of urls, all new."""
     rows = table(spark, sf_dir, "pages").select("page_id", normalize_url(F.col("url")).alias("url"))
     return with_ids(rows, spark.createDataFrame([], "doc_id long, url string")).select("page_id", "url", "doc_id")
 
 
-@query("crawl")
+@query("crawl", f"""WITH u AS (SELECT {_NORM} AS url, min(page_id) AS seq, arg_min(html, html) AS html FROM pages GROUP BY 1),
+h AS (SELECT *, md5(html) AS hash, row_number() OVER (PARTITION BY md5(html) ORDER BY seq) AS again FROM u),
+c AS (SELECT *, row_number() OVER (PARTITION BY split_part(split_part(url, '://', 2), '/', 1) ORDER BY seq) AS place FROM h WHERE again = 1)
+SELECT CAST(row_number() OVER (ORDER BY seq) AS BIGINT) AS doc_id, url, hash,
+ trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title
+FROM c WHERE place <= 20 ORDER BY seq LIMIT 2000""")
 def crawl(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     seeds = pages.select(F.col("page_id").alias("seq"), "url")
@@ -364,7 +407,12 @@ def _ranks(spark, sf_dir, rounds: int) -> DataFrame:
     return P.pagerank(_transitions(spark, sf_dir), eps=0.0, rounds=rounds).select("id", F.round("page_rank", 7).alias("page_rank"))
 
 
-@query("link_graph", "WITH s AS (SELECT page_id, url FROM pages), l AS (SELECT a.page_id AS doc_id, b.url AS link FROM s a JOIN s b ON b.page_id = a.page_id + 1) SELECT DISTINCT l.doc_id AS src, s.page_id AS dst FROM l JOIN s ON s.url = l.link")
+@query("link_graph", """WITH s AS (SELECT page_id, url
+ FROM pages), l AS (SELECT a.page_id AS doc_id, b.url AS link
+ FROM s a
+ JOIN s b ON b.page_id = a.page_id + 1) SELECT DISTINCT l.doc_id AS src, s.page_id AS dst
+ FROM l
+ JOIN s ON s.url = l.link""")
 def link_graph(spark, sf_dir):
     """Each page links to the one after it; links resolve by url."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
@@ -382,7 +430,13 @@ def out_degree(spark, sf_dir):
     return P.out_degree(_transitions(spark, sf_dir))
 
 
-@query("dangling_nodes", f"WITH {_EDGES} SELECT DISTINCT dst AS id FROM edges WHERE dst NOT IN (SELECT src FROM edges) AND dst % 7 <> 0 UNION SELECT DISTINCT dst FROM edges WHERE dst % 7 = 0")
+@query("dangling_nodes", f"""WITH {_EDGES} SELECT DISTINCT dst AS id
+ FROM edges
+ WHERE dst NOT IN (SELECT src
+ FROM edges) AND dst % 7 <> 0
+ UNION SELECT DISTINCT dst
+ FROM edges
+ WHERE dst % 7 = 0""")
 def dangling_nodes(spark, sf_dir):
     """With the edges out of every seventh user left out."""
     return P.dangling(_transitions(spark, sf_dir).where("src % 7 <> 0"))
@@ -394,7 +448,19 @@ def pagerank(spark, sf_dir):
     return _ranks(spark, sf_dir, 8)
 
 
-@query("rank_write_back", f"WITH RECURSIVE {_rank_ctes(4)} SELECT doc_id, coalesce(page_rank, 0.5) AS page_rank FROM documents LEFT JOIN ranks ON id = doc_id")
+@query("pagerank_settled", f"""WITH RECURSIVE {_rank_ctes(40)},
+far AS (SELECT i, r.id, pr, lag(pr) OVER (PARTITION BY r.id ORDER BY i) AS before FROM r),
+moved AS (SELECT i, max(abs(pr - before)) AS most FROM far WHERE i > 0 GROUP BY i),
+done AS (SELECT min(i) AS i FROM moved WHERE most <= 0.00001)
+SELECT id, round(pr, 7) AS page_rank FROM r JOIN done USING (i)""")
+def pagerank_settled(spark, sf_dir):
+    """Until no rank moves by more than the default."""
+    return P.pagerank(_transitions(spark, sf_dir)).select("id", F.round("page_rank", 7).alias("page_rank"))
+
+
+@query("rank_write_back", f"""WITH RECURSIVE {_rank_ctes(4)} SELECT doc_id, coalesce(page_rank, 0.5) AS page_rank
+ FROM documents LEFT
+ JOIN ranks ON id = doc_id""")
 def rank_write_back(spark, sf_dir):
     """Ranks written to documents; those outside the graph keep what they had."""
     docs = _docs(spark, sf_dir).select("doc_id", F.lit(0.5).alias("page_rank"))
@@ -404,17 +470,29 @@ def rank_write_back(spark, sf_dir):
 # ---- suggestions, query log --------------------------------------------------------------------
 
 
-@query("suggest_terms", f"WITH {_INDEX} SELECT row_number() OVER (ORDER BY CASE WHEN word = 'the' THEN 1 WHEN word = 'th' THEN 1 ELSE 3 END, word) AS rank, word FROM (SELECT DISTINCT word FROM vocab WHERE starts_with(word, 'th')) ORDER BY rank LIMIT 5")
+@query("suggest_terms", f"""WITH {_INDEX} SELECT row_number() OVER (ORDER BY CASE WHEN word = 'the' THEN 1 WHEN word = 'th' THEN 1 ELSE 3 END, word) AS rank, word
+ FROM (SELECT DISTINCT word
+ FROM vocab
+ WHERE starts_with(word, 'th')) ORDER BY rank LIMIT 5""")
 def suggest_terms(spark, sf_dir):
     return S.suggest_terms(_index(spark, sf_dir).vocab, "th")
 
 
-@query("trie_topk", f"WITH {_INDEX}, p AS (SELECT substr(word, 1, k) AS prefix, word, df FROM vocab, generate_series(1, 45) g(k) WHERE k <= length(word)) SELECT prefix, rank, word, df AS freq FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, word) AS rank FROM p) WHERE rank <= 10")
+@query("trie_topk", f"""WITH {_INDEX}, p AS (SELECT substr(word, 1, k) AS prefix, word, df
+ FROM vocab, generate_series(1, 45) g(k)
+ WHERE k <= length(word)) SELECT prefix, rank, word, df AS freq
+ FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, word) AS rank
+ FROM p)
+ WHERE rank <= 10""")
 def trie_topk(spark, sf_dir):
     return S.prefix_table(_index(spark, sf_dir, whole=True).vocab.select("word", F.col("df").alias("freq")))
 
 
-@query("suggest_popular", "SELECT row_number() OVER (ORDER BY freq DESC, word) AS rank, word, freq FROM (SELECT event_type AS word, count(*) AS freq FROM events WHERE starts_with(event_type, 'c') GROUP BY 1) ORDER BY rank LIMIT 10")
+@query("suggest_popular", """SELECT row_number() OVER (ORDER BY freq DESC, word) AS rank, word, freq
+ FROM (SELECT event_type AS word, count(*) AS freq
+ FROM events
+ WHERE starts_with(event_type, 'c')
+ GROUP BY 1) ORDER BY rank LIMIT 10""")
 def suggest_popular(spark, sf_dir):
     words = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("word")).agg(F.count("*").alias("freq"))
     return S.suggest_popular(words, "c")
@@ -435,30 +513,36 @@ def recent_queries(spark, sf_dir):
 # ---- html, snippets ---------------------------------------------------------------------------
 
 
-@query("html_blocks")
+@query("html_blocks", f"WITH {O.HTML_BLOCKS} SELECT * FROM html_blocks")
 def html_blocks_(spark, sf_dir):
     rows = html_blocks(table(spark, sf_dir, "pages"))
     return rows.select("doc_id", F.posexplode("blocks").alias("seq", "block")).select("doc_id", "seq", "block.tag", "block.text")
 
 
-@query("html_headings", "SELECT page_id AS doc_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')), '&quot;', '\"'), '&amp;', '&'), chr(160), ' ') AS text FROM pages")
+@query("html_headings", """SELECT page_id AS doc_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')), '&quot;', '\"'), '&amp;', '&'), chr(160), ' ') AS text
+ FROM pages""")
 def html_headings(spark, sf_dir):
     rows = html_blocks(table(spark, sf_dir, "pages"))
     return rows.select("doc_id", F.explode("blocks").alias("b")).where("b.tag = 'h1'").select("doc_id", "b.text")
 
 
-@query("page_index")
+@query("page_index", f"""WITH {O.HTML_BLOCKS},
+weights(tag, w) AS (VALUES ('title', 5.0), ('h1', 4.0), ('h2', 3.0), ('h3', 2.5), ('h4', 2.0), ('h5', 1.8), ('h6', 1.5)),
+words AS (SELECT doc_id, coalesce(w, 1.0) AS weight, {_tokens("text")} AS x FROM html_blocks LEFT JOIN weights USING (tag)),
+occurrences AS (SELECT doc_id, weight, unnest(x) AS word FROM words),
+{_by_stem("occurrences")}
+SELECT word, doc_id, tf, CAST(importance AS DOUBLE) AS importance FROM by_stem""")
 def page_index(spark, sf_dir):
     """Weighted postings of html pages, stemmed."""
     return build_index(html_blocks(table(spark, sf_dir, "pages")), stem=True).postings.select("word", "doc_id", F.round("tf", 9).alias("tf"), "importance")
 
 
-@query("snippet_clean", f"SELECT page_id, {clean_sql('html')} AS text FROM pages")
+@query("snippet_clean", f"SELECT page_id, {O.clean('html')} AS text FROM pages")
 def snippet_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", clean_html(F.col("html")).alias("text"))
 
 
-@query("highlight", f"SELECT doc_id, {highlight_sql('text', ['the', 'oned'])} AS text FROM documents")
+@query("highlight", f"SELECT doc_id, {O.marked('text', ['the', 'oned'])} AS text FROM documents")
 def highlight_(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", highlight(F.col("text"), ["the", "oned"]).alias("text"))
 
@@ -466,13 +550,13 @@ def highlight_(spark, sf_dir):
 # ---- streaming ------------------------------------------------------------------------------------
 
 
-@query("stream_query_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, max(ts) AS last_added FROM events GROUP BY 1, 2")
+@query("stream_query_counts", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, max(ts) AS last_added
+ FROM events
+ GROUP BY 1, 2""")
 def stream_query_counts(spark, sf_dir):
     """The query log counted by hour, from a stream."""
     at = Rounds(spark).root
     counts = window_counts(read_stream(spark, sf_dir, "events"))
-    # complete results of a finite stream: every batch replaces the table
-    q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/counts")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    rows = keep_latest(counts, f"{at}/counts", f"{at}/state")
     kind = table(spark, sf_dir, "events").schema["ts"].dataType.simpleString()
-    return spark.read.parquet(f"{at}/counts").select(F.col("window_start").cast(kind).alias("window_start"), "event_type", "n", F.col("last_added").cast(kind).alias("last_added"))
+    return rows.select(F.col("window_start").cast(kind).alias("window_start"), "event_type", "n", F.col("last_added").cast(kind).alias("last_added"))

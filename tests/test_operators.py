@@ -9,7 +9,7 @@ from gleaner.operators.match import match, phrase_ok
 from gleaner.operators.ranking import page_args, page_of, scores
 from gleaner.plans.query import parse, query_words
 from gleaner.sources.html import html_blocks, parse_blocks
-from gleaner.sources.store import load_links, save_crawl, with_ids
+from gleaner.sources.store import last_commit, load_links, save_crawl, with_ids
 from gleaner.streaming.ingest import drop_repeated, index_stream, run_once
 
 DOCS = [(1, "python engine\nfast python search engine"), (2, "search\npython near engine"), (3, "cooking\nslow food"), (4, None), (5, "")]
@@ -185,3 +185,95 @@ def test_streams(spark, pages, tmp_path):
     index_stream(tagged, str(tmp_path / "idx"), str(tmp_path / "c2"))
     index_stream(tagged, str(tmp_path / "idx"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "idx")).where("word = 'python'").count() == 4
+
+
+def test_crawl_goes_on(spark, tmp_path):
+    """A crawl that stops after a round goes on where it stood, with hosts and contents known."""
+    links = lambda i: "".join(f"<a href='http://h.com/{j}'>x</a>" for j in (2 * i + 1, 2 * i + 2))
+    rows = [(f"http://h.com/{i}", f"page {i if i != 5 else 3}" + (links(i) if i not in (3, 5) else "")) for i in range(15)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    seeds = spark.createDataFrame([(0, "http://h.com/0")], "seq long, url string")
+    whole = C.crawl(spark, seeds, C.offline_fetcher(pages), per_host=9)
+    path = str(tmp_path / "crawl")
+    for turn in range(6):
+        out = C.crawl(spark, seeds, C.offline_fetcher(pages), per_host=9, rounds=1, path=path)
+        assert last_commit(spark, path) <= turn + 1
+    ids = lambda c: [(r.doc_id, r.url) for r in c.documents.orderBy("doc_id").collect()]
+    assert ids(out) == ids(whole) and len(ids(whole)) == 9 and not any(u.endswith("/5") for _, u in ids(out))
+    assert out.links.count() == whole.links.count() and out.queue.isEmpty()
+    assert C.crawl(spark, seeds, C.offline_fetcher(pages), per_host=9, path=path).documents.count() == 9
+
+
+def test_http_fetcher(spark):
+    """Status, content type, charset and time limit, against a server on this machine."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(3)
+            self.send_response(404 if self.path == "/gone" else 200)
+            self.send_header("Content-Type", {"/text": "text/plain"}.get(self.path, "Text/HTML; charset=latin-1"))
+            self.end_headers()
+            self.wfile.write(f"<p>caf\xe9 {self.headers['User-Agent'][:7]}".encode("latin-1"))
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    rows = spark.createDataFrame([(k, at + p) for k, p in enumerate(("/ok", "/gone", "/text", "/slow"))] + [(4, "http://127.0.0.1:1/"), (5, "nonsense"), (6, None)], "seq long, url string")
+    got = C.http_fetcher(timeout=1.0)(rows.where("url IS NOT NULL")).collect()
+    server.shutdown()
+    assert [(r.seq, r.html) for r in got] == [(0, "<p>caf\xe9 Mozilla")] and got[0].content_type.startswith("Text/HTML")
+
+
+def test_content_types(spark):
+    kinds = spark.createDataFrame([("text/html; charset=x",), ("TEXT/HTML",), ("text/plain",), (None,)], "t string")
+    assert [r.x for r in kinds.select(C.is_html(F.col("t")).alias("x")).collect()] == [True, True, False, False]
+
+
+def test_stored_index(spark, index, tmp_path):
+    """Lookups in a stored index open the buckets of their words alone and give the same scores."""
+    index.write(str(tmp_path / "index"), buckets=8)
+    stored = Index.read(spark, str(tmp_path / "index"))
+    for text in ("python", "python engine", '"python engine"', "python AND fast", "python OR food", "nothing"):
+        tree = parse(text)
+        rows = lambda i: [(r.doc_id, r.score) for r in page_of(scores(match(i, tree), query_words(tree))).collect()]
+        assert rows(stored) == rows(index)
+    plan = stored.postings_of(["python", "food"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_stems_large_vocabulary(spark, monkeypatch):
+    """A vocabulary too large to broadcast gives the same postings."""
+    from gleaner.operators import index as I
+
+    blocks = blocks_of(spark.createDataFrame([(1, "running runs\nrun likes"), (2, "cats cat"), (3, "the")], "doc_id long, text string"))
+    rows = lambda: sorted((r.word, r.doc_id, r.tf, r.importance, tuple(r.positions)) for r in build_index(blocks, stem=True).postings.collect())
+    want = rows()
+    assert ("run", 1, 11 / 3, 5.0, (0, 1)) in [(w, d, pytest.approx(t), i, p) for w, d, t, i, p in want]
+    monkeypatch.setattr(I, "BROADCAST_WORDS", 0)
+    assert rows() == want
+
+
+def test_numbered(spark):
+    from gleaner.sources.scratch import Rounds, numbered
+
+    df = spark.createDataFrame([(f"{i * 7919 % 500:03d}",) for i in range(500)], "url string").repartition(5)
+    got = numbered(df, [F.col("url")], "n", lambda x: Rounds(spark).keep(x)).collect()
+    assert sorted((r.url, r.n) for r in got) == [(f"{i:03d}", i + 1) for i in range(500)]
+
+
+def test_shared_folder(monkeypatch):
+    """Off a local master a missing shared folder is an error, not a local one."""
+    from types import SimpleNamespace
+
+    from gleaner.sources import scratch
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(session)
