@@ -4,8 +4,6 @@ numpy views over Arrow string columns."""
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete_at_exit, shared_dir, shuffles_dropped
+from ..sources.store import spread
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a side that may be broadcast after it was counted (about 16 bytes each).
 BROADCAST_ROWS = 2_000_000
@@ -23,56 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table of texts; one of fewer splits than there are cores is dealt out."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df, {"pages": "page_id"}.get(name, "doc_id"))
+
+
 def batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound the Arrow batches that Python workers get (long texts count)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the
-    session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone at exit
-        pass
-
-
 class Scratch:
     """Tables written below the shared folder: they cut lineage and survive the
-    loss of executors. drop() removes those that nothing reads any more; what is
-    left goes when the driver ends."""
+    loss of executors. The shuffle files of what was written go at once; drop()
+    removes tables that nothing reads any more; what is left goes when the driver
+    ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, self.root)
+        atexit.register(delete_at_exit, spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
-        self.release()
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            _remove(self.spark, df._scratch_path)
-
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of finished queries."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+            delete_at_exit(self.spark, df._scratch_path)
 
 
 def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -97,6 +81,35 @@ def n_words(c: Column | str = "text") -> Column:
     return F.regexp_count(text_of(c), F.lit(WORD)).cast("long")
 
 
+def whole_groups(it: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of rows that come sorted by integer keys, as tables of whole groups
+    (at least `least` rows but for the last) and the edges of the groups."""
+    carry = None
+    for b in _ended(it):
+        if b is not None:
+            t = pa.Table.from_batches([b])
+            carry = t if carry is None else pa.concat_tables([carry, t])
+            if carry.num_rows < least:
+                continue
+        if carry is None or not carry.num_rows:
+            return
+        new = np.zeros(carry.num_rows - 1, bool)
+        for k in keys:
+            x = carry.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        edges = np.r_[0, np.flatnonzero(new) + 1, carry.num_rows]
+        if b is not None:
+            edges = edges[:-1]  # the last group may go on
+        if len(edges) > 1:
+            yield carry.slice(0, int(edges[-1])), edges
+        carry = carry.slice(int(edges[-1])) if b is not None else None
+
+
+def _ended(it):
+    yield from it
+    yield None
+
+
 # ---- numpy views -------------------------------------------------------------
 
 
