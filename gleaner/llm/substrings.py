@@ -1,28 +1,37 @@
 """Suffix-array deduplication: repeated byte strings of a length, across documents.
 
-Documents are packed into batches. In every WINDOW-byte string the run of ANCHOR
-bytes with the least hash is its anchor, so equal strings have equal anchors
-wherever they stand. Neighbouring strings with one anchor make a segment of less
-than two windows. Anchors that only one document has are out of the question;
-segments of the others are dealt by anchor, equal ones of a batch once, with the
-smallest id that has them. An anchor of more than HOT documents is cut into its
-single strings, dealt by their own hash, so no task gets a whole common passage.
-
-Each task leaves out segments that share no half window around a place of the anchor
-with another (by hash), and sorts the windows of the others column by column, in the
-rounds of a multi-document transform whose columns are not kept: every round puts
-one more symbol in front of each window's suffix. A round reads the suffixes in order, one after the other, and sends each on to the
-file of its new symbol; the files, in symbol order, are the next round's order. As
-all windows have one length, the suffixes of a round are ranked by those of the
-round before alone, and only the newest layer is kept. Small layers stay in memory,
-larger ones go through files on disk. In the final order common prefixes of
+Documents are packed into batches, and batches into bundles. In every WINDOW-byte
+string the run of ANCHOR bytes with the least hash is its anchor, so equal strings
+have equal anchors wherever they stand. Neighbouring strings with one anchor make a
+segment of less than two windows. Anchors that only one document has are out of the
+question; segments of the others are dealt to parts by anchor, equal ones of a
+bundle once, with the smallest id that has them. An anchor of more than HOT
+documents is cut into its single strings, dealt by their own hash, so no task gets a
+whole common passage, and a bundle tells of an anchor once.
+
+What bundles and parts send each other is one row for each pair, of arrays that are
+cut by one sort: the work is linear in bytes, and only the number of rows grows with
+bundles times parts (each of BUNDLE_BYTES and PART_BYTES of text). Inside a part
+SUBS subsets are solved one after the other.
+
+Each subset leaves out segments that share no half window around a place of the
+anchor with another (by hash), and sorts the windows of the others column by column,
+in the rounds of a multi-document transform whose columns are not kept: every round
+puts one more symbol in front of each window's suffix. A round reads the suffixes in
+order, one after the other, and sends each on to the file of its new symbol; the
+files, in symbol order, are the next round's order. As all windows have one length,
+the suffixes of a round are ranked by those of the round before alone, and only the
+newest layer is kept. Small layers stay in memory, larger ones go through files on
+disk (of the task alone, gone with it). In the final order common prefixes of
 neighbours tell which windows are equal, and the smallest id of a class is the first
 document that holds it.
 
 A byte goes if a WINDOW-byte string that covers it also starts in a document of a
 smaller id; strings are judged on the input. Null texts are empty; texts shorter
 than WINDOW lose nothing; rows of one id don't remove each other; a null id comes
-after all others. Empty tables give no rows.
+after all others. Texts of more than BATCH_BYTES are worked on in slices that overlap
+by a window, one at a time. Columns besides key and text play no part, whatever
+their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, mix, span_hashes, string_bytes, table
+from .common import Scratch, batches, mix, span_hashes, string_bytes, texts
 
 WINDOW = 50
 ANCHOR = 20
@@ -45,32 +54,89 @@ MOST_WINDOWS = 48
 HOT = 1024
 NOWHERE, OFTEN, MULTI = 100, 101, 128
 BATCH_BYTES = 2 << 20
-PART_BATCHES = 4
+#: Text of a bundle and of a part. Rows between them are (corpus / BUNDLE_BYTES) *
+#: (corpus / PART_BYTES): raise both with the memory of executors.
+BUNDLE_BYTES = PART_BYTES = 64 << 20
+SUBS = 8
+#: Anchors, and bytes of segments, that a bundle gathers before it sends them.
+MOST_ANCHORS, MOST_BYTES = 4 << 20, 16 << 20
+#: Bytes of one Arrow batch.
+SENT = 4 << 20
 #: Documents that a round holds in memory (about 16 bytes each).
 CHUNK = 8 << 20
 NO_ID = np.int64(2**63 - 1)
 
-_pack = lambda x: zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+_pack = lambda x, level=1: zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x).tobytes())
 _unpack = lambda b, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def binary_rows(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column: row i holds the bytes of values[edges[i] : edges[i + 1]]."""
+    values = np.ascontiguousarray(values)
+    width = values.nbytes // len(values) if len(values) else 1
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(values)])
+
+
+def sent(names: list[str], cols: list[pa.Array], size: np.ndarray):
+    """Record batches of the rows, each of about SENT bytes (size: bytes of each)."""
+    block = (np.cumsum(size) - size) // SENT
+    edges = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(size)] if len(size) else np.zeros(1, int)
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in cols], names=names)
+
+
+def squeezed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column as binary_rows() makes it, long rows compressed; a last byte
+    tells."""
+    cuts = zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+    return pa.array([_pack(values[a:z]) + b"\x01" if z - a >= 4096 else values[a:z].tobytes() + b"\x00" for a, z in cuts], pa.binary())
+
+
+def unsqueezed(x: bytes) -> np.ndarray:
+    return _unpack(x[:-1], np.uint8) if x[-1] else np.frombuffer(x, np.uint8)[:-1]
+
+
+def joined(col: pa.Array, kind) -> np.ndarray:
+    """The bytes of all rows of a binary column as one array."""
+    found = [np.frombuffer(x, kind) for x in col.to_pylist()]
+    return np.concatenate(found) if found else np.zeros(0, kind)
+
+
+PACKED = "bundle long, seq int, ids binary, sizes binary, data binary, more boolean"
+
+
 def packed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Batches of documents: batch, ids, sizes, data (compressed bytes)."""
+    """Batches of documents: bundle, seq, ids, sizes, data (compressed bytes); more:
+    the batch is a slice of one text, whose next slice is the next batch."""
 
     def run(it):
-        part, seq, ids, bufs, sizes, held = TaskContext.get().partitionId(), 0, [], [], [], 0
-
-        def flush():
-            nonlocal seq, ids, bufs, sizes, held
-            row = [pa.array([(part << 32) | seq]), pa.array([_pack(np.concatenate(ids))]), pa.array([_pack(np.concatenate(sizes))]), pa.array([_pack(np.concatenate(bufs))])]
-            seq, ids, bufs, sizes, held = seq + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays(row, names=["batch", "ids", "sizes", "data"])
+        bundle, seq, held, in_bundle = TaskContext.get().partitionId() << 32, 0, 0, 0
+        ids, bufs, sizes = [], [], []
+
+        def flush(more: bool = False):
+            nonlocal bundle, seq, ids, bufs, sizes, held, in_bundle
+            data = np.concatenate(bufs)
+            row = [pa.array([bundle]), pa.array([seq], pa.int32()), *(pa.array([_pack(x)]) for x in (np.concatenate(ids), np.concatenate(sizes))), pa.array([_pack(data, 3)]), pa.array([more])]
+            seq, ids, bufs, sizes, held, in_bundle = seq + 1, [], [], [], 0, in_bundle + len(data)
+            if in_bundle >= BUNDLE_BYTES and not more:
+                bundle, seq, in_bundle = bundle + 1, 0, 0
+            return pa.RecordBatch.from_arrays(row, names=["bundle", "seq", "ids", "sizes", "data", "more"])
 
         for b in it:
             own = b.column(0).cast(pa.int64()).fill_null(NO_ID.item()).to_numpy()
             buf, off = string_bytes(b.column(1))
             i = 0
             while i < len(own):
+                if off[i + 1] - off[i] > BATCH_BYTES:  # slices of one text, each with the windows that start in it
+                    if ids:
+                        yield flush()
+                    for at in range(off[i], off[i + 1], BATCH_BYTES):
+                        last = at + BATCH_BYTES >= off[i + 1]
+                        bufs = [buf[at : off[i + 1] if last else min(off[i + 1], at + BATCH_BYTES + WINDOW - 1)]]
+                        ids, sizes = [own[i : i + 1]], [np.array([len(bufs[0])], np.int64)]
+                        yield flush(not last)
+                    i += 1
+                    continue
                 j = max(i + 1, int(np.searchsorted(off, off[i] + BATCH_BYTES - held, "right")) - 1)
                 ids.append(own[i:j])
                 bufs.append(buf[off[i] : off[j]])
@@ -81,7 +147,7 @@ def packed(df: DataFrame, key: str, text: str) -> DataFrame:
         if ids:
             yield flush()
 
-    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "batch long, ids binary, sizes binary, data binary")
+    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, PACKED)
 
 
 def anchor_hashes(buf: np.ndarray) -> np.ndarray:
@@ -141,30 +207,15 @@ class Batch:
         self.row, self.anchor = rows[self.start], low[self.start]
         self.distinct, self.inv = np.unique(self.anchor, return_inverse=True)
 
-    def entries(self, parts: int):
-        """(part, anchors, documents that have them) of the batch's distinct anchors."""
-        pairs = np.unique(self.inv * np.int64(len(self.ids)) + self.row) // len(self.ids)
-        docs = np.minimum(np.bincount(pairs, minlength=len(self.distinct)), 255).astype(np.uint8)
-        # the upper 40 bits name an anchor within its part; a clash only asks for more than needed
-        names = (self.distinct >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-        part = (self.distinct % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cut = np.flatnonzero(np.diff(part[order])) + 1
-        for some in np.split(order, cut):
-            if len(some):
-                yield int(part[some[0]]), names[some], docs[some]
-
-    def flagged(self, flags: list, parts: int) -> np.ndarray:
-        """0, 1 (shared) or 2 (shared by many) of each distinct anchor."""
-        out = np.zeros(len(self.distinct), np.uint8)
-        part = (self.distinct % np.uint64(parts)).astype(np.int64)
-        for f in flags:
-            out[part == f["p"]] = np.frombuffer(f["flag"], np.uint8)
-        return out
+    def documents(self) -> np.ndarray:
+        """How many documents have each distinct anchor."""
+        pairs = np.unique(self.inv * np.int64(len(self.ids)) + self.row) // max(1, len(self.ids))
+        return np.bincount(pairs, minlength=len(self.distinct))
 
-    def strings(self, flag: np.ndarray, parts: int) -> None:
-        """The shared segments: start, length in windows, row, and for each its
-        distinct string; for each distinct string a place, length, least id and part."""
+    def strings(self, flag: np.ndarray) -> None:
+        """flag: 0, 1 (shared) or 2 (shared by many) of each distinct anchor. Of the
+        shared segments start, length in windows, row and distinct string; of each
+        distinct string its hash, a place, length, least id and the name to deal by."""
         f = flag[self.inv] if len(self.inv) else np.zeros(0, np.uint8)
         one, many = np.flatnonzero(f == 1), np.flatnonzero(f == 2)
         n = self.windows[many]
@@ -174,11 +225,11 @@ class Batch:
         self.r = np.r_[self.row[one], np.repeat(self.row[many], n)]
         h = span_hashes(self.buf, self.s, self.s + self.n + WINDOW - 1) if len(self.s) else np.zeros(0, np.uint64)
         name = np.r_[mix(self.anchor[one] + np.uint64(1)), mix(h[len(one) :])]
-        _, first, self.of = np.unique(h, return_index=True, return_inverse=True)
+        self.h, first, self.of = np.unique(h, return_index=True, return_inverse=True)
         self.at, self.len = self.s[first], self.n[first]
         self.least = np.full(len(first), NO_ID)
         np.minimum.at(self.least, self.of, self.ids[self.r])
-        self.part = (name[first] % np.uint64(parts)).astype(np.int64)
+        self.name = name[first]
         self.single = first >= len(one)
 
     def marks(self) -> None:
@@ -200,13 +251,6 @@ class Batch:
         rows = np.bincount(self.of, minlength=len(self.at))
         self.mark += np.where(rows > 1, np.uint8(MULTI), np.uint8(0))
 
-    def by_part(self):
-        """(part, indices of distinct strings)."""
-        order = np.argsort(self.part, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(self.part[order])) + 1):
-            if len(some):
-                yield int(self.part[some[0]]), some
-
 
 def spans_of(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of all bytes of the spans, one span after the other."""
@@ -311,92 +355,257 @@ def partners(data: np.ndarray, off: np.ndarray, mark: np.ndarray, least: np.ndar
     return one, inv, own, np.flatnonzero(again)
 
 
+def bounds(x: np.ndarray) -> np.ndarray:
+    """Edges of the runs of equal values."""
+    return np.r_[0, np.flatnonzero(np.diff(x)) + 1, len(x)] if len(x) else np.zeros(1, np.int64)
+
+
+def anchor_rows(bundle: int, names: list[np.ndarray], docs: list[np.ndarray], parts: int):
+    """Rows p, bundle, anchors, docs of a bundle's anchors (or of a share of them)."""
+    key, first = np.unique(np.concatenate(names), return_inverse=True)
+    many = np.minimum(np.bincount(first, np.concatenate(docs), len(key)), 65535).astype(np.uint16)
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = bounds(part[order])
+    # the upper 40 bits name an anchor within its part; a clash only asks for more than needed
+    short = np.ascontiguousarray((key[order] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+    n = len(edges) - 1
+    cols = [pa.array(part[order][edges[:-1]].astype(np.int32)), pa.array(np.full(n, bundle)), binary_rows(short, edges), binary_rows(many[order], edges)]
+    return sent(["p", "bundle", "anchors", "docs"], cols, np.diff(edges) * 7)
+
+
 def shared_anchors(packs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
-    """batch, p, flag: for the batch's anchors of part p, in order, whether other
-    documents have them."""
+    """bundle, p, anchors, flag: the bundle's anchors of part p that other documents
+    have too, and 1, or 2 for more than `hot` documents."""
 
     def emit(it):
+        now, names, docs, held = None, [], [], 0
         for b in it:
             for r in b.to_pylist():
-                rows = list(Batch(r["ids"], r["sizes"], r["data"]).entries(parts))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([r["batch"]] * len(rows), pa.int64()), pa.array([x[1].tobytes() for x in rows], pa.binary()), pa.array([x[2].tobytes() for x in rows], pa.binary())], names=["p", "batch", "anchors", "docs"])
+                if names and (r["bundle"] != now or held > MOST_ANCHORS):
+                    yield from anchor_rows(now, names, docs, parts)
+                    names, docs, held = [], [], 0
+                now, x = r["bundle"], Batch(r["ids"], r["sizes"], r["data"])
+                if len(x.distinct):
+                    names.append(x.distinct)
+                    docs.append(x.documents())
+                    held += len(x.distinct)
+        if names:
+            yield from anchor_rows(now, names, docs, parts)
 
     def judge(t: pa.Table) -> pa.Table:
-        docs = [np.frombuffer(x, np.uint8) for x in t.column("docs").to_pylist()]
-        names = np.zeros((sum(len(x) for x in docs), 8), np.uint8)
-        names[:, :5] = np.frombuffer(b"".join(t.column("anchors").to_pylist()), np.uint8).reshape(-1, 5)
-        cut = np.cumsum([len(x) for x in docs])[:-1]
-        docs = np.concatenate(docs)
+        docs = [len(x) // 2 for x in t.column("docs").to_pylist()]
+        names = np.zeros((sum(docs), 8), np.uint8)
+        names[:, :5] = joined(t.column("anchors"), np.uint8).reshape(-1, 5)
         keys, inv = np.unique(names.view(np.uint64).ravel(), return_inverse=True)
-        total = np.bincount(inv, docs, len(keys))
+        total = np.bincount(inv, joined(t.column("docs"), np.uint16), len(keys))
         flag = ((total > 1).astype(np.uint8) + (total > hot))[inv]
-        return pa.table({"batch": t.column("batch"), "p": t.column("p"), "flag": pa.array([x.tobytes() for x in np.split(flag, cut)], pa.binary())})
+        found = np.flatnonzero(flag)
+        edges = np.searchsorted(found, np.r_[0, np.cumsum(docs)])
+        return pa.table({"bundle": t.column("bundle"), "p": t.column("p"), "anchors": binary_rows(np.ascontiguousarray(names[found, :5]), edges), "flag": binary_rows(flag[found], edges)})
+
+    rows = packs.mapInArrow(emit, "p int, bundle long, anchors binary, docs binary")
+    return rows.groupBy("p").applyInArrow(judge, "bundle long, p int, anchors binary, flag binary").where("length(flag) > 0")
+
+
+def bundles(packs: DataFrame, *others: DataFrame) -> DataFrame:
+    """The tables (bundle and others' columns) as rows of one bundle after the other:
+    first what others say of it, then its batches in order."""
+    cols = ["bundle", "kind", "seq", "a", "b", "c", "more"]
+    out = packs.select("bundle", F.lit(len(others)).alias("kind"), "seq", F.col("ids").alias("a"), F.col("sizes").alias("b"), F.col("data").alias("c"), "more")
+    for k, df in enumerate(others):
+        said = [F.col(c) for c in df.columns if c not in ("bundle", "p")] + [F.lit(None).cast("binary")]
+        out = out.union(df.select("bundle", F.lit(k).alias("kind"), F.col("p").alias("seq"), *(c.alias(a) for c, a in zip(said[:3], "abc", strict=True)), F.lit(False).alias("more")))
+    return out.select(cols).repartition("bundle").sortWithinPartitions("bundle", "kind", "seq")
+
+
+class Flags:
+    """The shared anchors of a bundle, gathered part by part."""
+
+    def __init__(self, parts: int):
+        self.parts, self.keys, self.flag = np.uint64(parts), [], []
+
+    def add(self, p: int, anchors: bytes, flag: bytes) -> None:
+        names = np.zeros((len(flag), 8), np.uint8)
+        names[:, 3:] = np.frombuffer(anchors, np.uint8).reshape(-1, 5)
+        self.keys.append(names.view(np.uint64).ravel() | np.uint64(p))
+        self.flag.append(np.frombuffer(flag, np.uint8))
+
+    def __call__(self, anchors: np.ndarray) -> np.ndarray:
+        """0, 1 or 2 of each anchor."""
+        if isinstance(self.keys, list):
+            keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
+            order = np.argsort(keys)
+            self.keys, self.flag = keys[order], (np.concatenate(self.flag) if self.flag else np.zeros(0, np.uint8))[order]
+        out = np.zeros(len(anchors), np.uint8)
+        if len(self.keys):
+            asked = (anchors >> np.uint64(24) << np.uint64(24)) | (anchors % self.parts)
+            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            same = self.keys[at] == asked
+            out[same] = self.flag[at[same]]
+        return out
+
+
+class Answers:
+    """Of a bundle's strings that lose something, by hash: the smallest id that holds
+    the whole string, and a bit for each window that a smaller one holds."""
+
+    def __init__(self):
+        self.h, self.own, self.bits = [], [], []
+
+    def add(self, h: bytes, own: bytes, bits: bytes) -> None:
+        self.h.append(np.frombuffer(h, np.uint64))
+        self.own.append(np.frombuffer(own, np.int64))
+        self.bits.append(np.frombuffer(bits, np.uint64))
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(self.h, list):
+            order = np.argsort(np.concatenate(self.h)) if self.h else []
+            self.h, self.own, self.bits = (np.concatenate(x)[order] if x else np.zeros(0, k) for x, k in ((self.h, np.uint64), (self.own, np.int64), (self.bits, np.uint64)))
+        own, bits = np.full(len(h), NO_ID), np.zeros(len(h), np.uint64)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            same = self.h[at] == h
+            own[same], bits[same] = self.own[at[same]], self.bits[at[same]]
+        return own, bits
+
+
+class Asked:
+    """Strings of a bundle on their way to the parts."""
 
-    rows = packs.mapInArrow(emit, "p int, batch long, anchors binary, docs binary")
-    return rows.groupBy("p").applyInArrow(judge, "batch long, p int, flag binary")
+    def __init__(self):
+        self.held, self.rows = 0, []
 
+    def add(self, x: Batch) -> None:
+        if len(x.h):
+            size = x.len + WINDOW - 1
+            self.rows.append((x.h, x.name, x.len, x.mark, x.least, x.buf[spans_of(x.at, size)]))
+            self.held += int(size.sum())
 
-def answers(asked: DataFrame, parts: int) -> DataFrame:
-    """batch, p, hit: for each of the batch's strings of part p a word of bits, one
-    for each window that a smaller id than the batch's holds."""
+    def send(self, bundle: int, parts: int):
+        """Rows p, bundle, data, windows (lengths, marks and subsets) and least."""
+        if not self.rows:
+            return
+        h, name, n, mark, least, data = (np.concatenate(c) for c in zip(*self.rows, strict=True))
+        self.held, self.rows = 0, []
+        size = n + WINDOW - 1
+        start = np.cumsum(size) - size
+        _, first, of, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        low = np.full(len(first), NO_ID)
+        np.minimum.at(low, of, least)
+        multi = np.bincount(of, mark >= MULTI, len(first)) + (times > 1) > 0
+        bucket = (name[first] % np.uint64(parts * SUBS)).astype(np.int64)
+        order = np.lexsort((bucket // parts, bucket % parts))
+        first, bucket, low, multi = first[order], bucket[order], low[order], multi[order]
+        edges = bounds(bucket % parts)
+        figures = np.stack([n[first].astype(np.uint8), mark[first] % np.uint8(MULTI) + np.where(multi, MULTI, 0).astype(np.uint8), (bucket // parts).astype(np.uint8)], 1)
+        upto = np.r_[0, np.cumsum(size[first])]
+        cols = [pa.array((bucket % parts)[edges[:-1]].astype(np.int32)), pa.array(np.full(len(edges) - 1, bundle)), squeezed(data[spans_of(start[first], size[first])], upto[edges]), binary_rows(figures, edges), binary_rows(low, edges)]
+        yield from sent(["p", "bundle", "data", "windows", "least"], cols, np.diff(upto[edges]) + 11 * np.diff(edges))
+
+
+def answers(packs: DataFrame, flags: DataFrame, parts: int) -> DataFrame:
+    """bundle, p, h, own, bits: what Answers says of the bundle's strings of part p."""
 
     def emit(it):
+        now, flagged, asked = None, None, Asked()
         for b in it:
             for r in b.to_pylist():
-                x = Batch(r["ids"], r["sizes"], r["data"])
-                x.strings(x.flagged(r["flags"], parts), parts)
+                if r["bundle"] != now:
+                    yield from asked.send(now, parts)
+                    now, flagged = r["bundle"], Flags(parts)
+                if not r["kind"]:
+                    flagged.add(r["seq"], r["a"], r["b"])
+                    continue
+                x = Batch(r["a"], r["b"], r["c"])
+                x.strings(flagged(x.distinct))
                 x.marks()
-                rows = [(p, _pack(x.buf[spans_of(x.at[i], x.len[i] + WINDOW - 1)]), x.len[i].astype(np.uint8).tobytes() + x.mark[i].tobytes(), _pack(x.least[i])) for p, i in x.by_part()]
-                yield pa.RecordBatch.from_arrays([pa.array([y[0] for y in rows], pa.int32()), pa.array([r["batch"]] * len(rows), pa.int64()), *(pa.array([y[k] for y in rows], pa.binary()) for k in (1, 2, 3))], names=["p", "batch", "data", "windows", "least"])
+                asked.add(x)
+                if asked.held > MOST_BYTES:
+                    yield from asked.send(now, parts)
+        yield from asked.send(now, parts)
 
     def solve(t: pa.Table) -> pa.Table:
-        both = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in t.column("windows").to_pylist()]
-        windows, mark = [x[0].astype(np.int64) for x in both], np.concatenate([x[1] for x in both])
-        data = np.concatenate([_unpack(x, np.uint8) for x in t.column("data").to_pylist()])
-        least = np.concatenate([_unpack(x, np.int64) for x in t.column("least").to_pylist()])
-        n = np.concatenate(windows)
-        size = n + WINDOW - 1
-        off = np.r_[0, np.cumsum(size)]
-        one, inv, own, some = partners(data, off, mark, least)
-        # equal segments of all batches are inserted once, with the smallest id
-        first, place = np.repeat(own, n[one]), np.cumsum(n[one]) - n[one]
-        if len(some):
-            kept = data[spans_of(off[one[some]], size[one[some]])]
-            first[spans_of(place[some], n[one[some]])] = first_holders(kept, np.r_[0, np.cumsum(size[one[some]])], own[some])
-        hit = np.zeros(len(n), np.uint64)
-        seg = np.repeat(np.arange(len(n)), n)
-        k = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-        smaller = first[place[inv[seg]] + k] < least[seg]
-        np.bitwise_or.at(hit, seg[smaller], np.uint64(1) << k[smaller].astype(np.uint64))
-        cut = np.cumsum([len(w) for w in windows])[:-1]
-        return pa.table({"batch": t.column("batch"), "p": t.column("p"), "hit": pa.array([_pack(x) for x in np.split(hit, cut)], pa.binary())})
-
-    rows = asked.mapInArrow(emit, "p int, batch long, data binary, windows binary, least binary")
-    return rows.groupBy("p").applyInArrow(solve, "batch long, p int, hit binary")
-
-
-def removed(x: Batch, flags: list, hits: list, parts: int) -> np.ndarray:
-    """For every byte of the batch whether it goes."""
-    x.strings(x.flagged(flags, parts), parts)
-    of_part = {h["p"]: h["hit"] for h in hits}
-    bits = np.zeros(len(x.at), np.uint64)
-    for p, i in x.by_part():
-        bits[i] = _unpack(of_part[p], np.uint64)
-    later = x.ids[x.r] > x.least[x.of]
+        figures = [np.frombuffer(x, np.uint8).reshape(-1, 3) for x in t.column("windows").to_pylist()]
+        least = [np.frombuffer(x, np.int64) for x in t.column("least").to_pylist()]
+        data = [unsqueezed(x) for x in t.column("data").to_pylist()]
+        upto = [np.r_[0, np.cumsum(f[:, 0].astype(np.int64) + WINDOW - 1)] for f in figures]
+        out = []
+        for q in range(SUBS):
+            cut = [(int(np.searchsorted(f[:, 2], q)), int(np.searchsorted(f[:, 2], q, "right"))) for f in figures]
+            row = np.repeat(np.arange(len(cut)), [z - a for a, z in cut])
+            if not len(row):
+                continue
+            some = np.concatenate([f[a:z] for f, (a, z) in zip(figures, cut, strict=True)])
+            own = np.concatenate([x[a:z] for x, (a, z) in zip(least, cut, strict=True)])
+            text = np.concatenate([d[u[a] : u[z]] for d, u, (a, z) in zip(data, upto, cut, strict=True)])
+            h, first, bits = solved(text, some[:, 0].astype(np.int64), some[:, 1], own)
+            tell = np.flatnonzero((bits != 0) | (own > first) | (some[:, 1] >= MULTI))
+            out.append((row[tell], h[tell], first[tell], bits[tell]))
+        row, h, first, bits = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.argsort(row, kind="stable")
+        edges = np.searchsorted(row[order], np.arange(t.num_rows + 1))
+        return pa.table({"bundle": t.column("bundle"), "p": t.column("p"), "h": binary_rows(h[order], edges), "own": binary_rows(first[order], edges), "bits": binary_rows(bits[order], edges)})
+
+    rows = bundles(packs, flags).mapInArrow(emit, "p int, bundle long, data binary, windows binary, least binary")
+    return rows.groupBy("p").applyInArrow(solve, "bundle long, p int, h binary, own binary, bits binary").where("length(h) > 0")
+
+
+def solved(data: np.ndarray, n: np.ndarray, mark: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings (n windows each) -> their hashes, the smallest id of each, and the bits
+    of its windows that a smaller id holds."""
+    size = n + WINDOW - 1
+    off = np.r_[0, np.cumsum(size)]
+    one, inv, own, some = partners(data, off, mark, least)
+    bits = np.zeros(len(one), np.uint64)
+    if len(some):
+        kept, many = data[spans_of(off[one[some]], size[one[some]])], n[one[some]]
+        first = first_holders(kept, np.r_[0, np.cumsum(size[one[some]])], own[some])
+        begin = np.cumsum(many) - many
+        k = (np.arange(len(first)) - np.repeat(begin, many)).astype(np.uint64)
+        bits[some] = np.bitwise_or.reduceat((first < np.repeat(own[some], many)).astype(np.uint64) << k, begin)
+    return span_hashes(data, off[:-1], off[1:]), own[inv], bits[inv]
+
+
+def begun(x: Batch, flagged: Flags, told: Answers) -> np.ndarray:
+    """Starts of the batch's windows that a smaller id holds, in order."""
+    x.strings(flagged(x.distinct))
+    own, bits = told(x.h)
     seg = np.repeat(np.arange(len(x.s)), x.n)
     k = np.arange(len(seg)) - np.repeat(np.cumsum(x.n) - x.n, x.n)
-    gone = later[seg] | ((bits[x.of[seg]] >> k.astype(np.uint64)) & np.uint64(1)).astype(bool)
-    begins = np.zeros(len(x.buf) + 1, np.int32)
-    begins[x.s[seg[gone]] + k[gone] + 1] = 1
-    total = np.cumsum(begins)
-    out = total[1:].copy()
-    out[WINDOW:] -= total[1 : len(total) - WINDOW]
-    return out > 0
+    of, ids = x.of[seg], x.ids[x.r[seg]]
+    gone = (ids > own[of]) | ((ids == own[of]) & ((bits[of] >> k.astype(np.uint64)) & np.uint64(1)).astype(bool))
+    return np.unique(x.s[seg[gone]] + k[gone])
+
 
+def covered(starts: np.ndarray, n: int, lead: int = 0) -> np.ndarray:
+    """Which of n bytes lie in a window of the starts, or are among the first `lead`."""
+    step = np.zeros(n + WINDOW + 1, np.int32)
+    step[starts] += 1
+    step[starts + WINDOW] -= 1
+    out = np.cumsum(step[:n]) > 0
+    out[:lead] = True
+    return out
 
-def _with(packs: DataFrame, name: str, rows: DataFrame, *cols: str) -> DataFrame:
-    lists = rows.groupBy("batch").agg(F.collect_list(F.struct(*cols)).alias(name))
-    return packs.join(lists, "batch", "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+
+class Slices:
+    """A text that comes in slices: digest, counts and runs so far."""
+
+    def __init__(self):
+        self.sha, self.bytes, self.removed, self.spans, self.lead, self.inside = hashlib.sha256(), 0, 0, [], 0, False
+
+    def add(self, buf: np.ndarray, starts: np.ndarray, n: int) -> None:
+        """n bytes of buf are the slice's own."""
+        gone = covered(starts, len(buf), self.lead)[:n]
+        self.lead = max(0, int(starts[-1]) + WINDOW - n, self.lead - n) if len(starts) else max(0, self.lead - n)
+        edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+        runs = [[int(a) + self.bytes, int(z) + self.bytes] for a, z in zip(edge[::2], edge[1::2], strict=True)]
+        if self.inside and runs and runs[0][0] == self.bytes:
+            self.spans[-1][1] = runs.pop(0)[1]
+        self.spans += runs
+        self.inside = bool(n) and bool(gone[-1])
+        self.sha.update(buf[:n][~gone].tobytes())
+        self.bytes, self.removed = self.bytes + n, self.removed + int(gone.sum())
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
@@ -405,50 +614,67 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", spans
     spark = df.sparkSession
     scratch = Scratch(spark)
     packs = scratch.write(packed(df, key, text), "packs")
-    # parts grow with the corpus: one takes the segments of PART_BATCHES batches or so
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packs.count() // PART_BATCHES))
+    # parts grow with the corpus: one takes the segments of PART_BYTES of text or so
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packs.count() * BATCH_BYTES // PART_BYTES))
     flags = scratch.write(shared_anchors(packs, parts), "flags")
-    asked = _with(packs, "flags", flags, "p", "flag")
-    hits = scratch.write(answers(asked, parts), "hits")
-    whole = _with(asked, "hits", hits, "p", "hit")
+    told = scratch.write(answers(packs, flags, parts), "answers")
+    run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def result(ids, n_bytes, n_removed, runs, digest):
+        cols = [pa.array(ids, mask=ids == NO_ID), pa.array(n_bytes), pa.array(n_removed), pa.array([len(x) for x in runs], pa.int64()), pa.array(digest)]
+        names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if spans:
+            cols.append(pa.array([[{"start": a, "end": z} for a, z in x] for x in runs], run_type))
+            names.append("spans")
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     def finish(it):
+        now = flagged = said = slices = None
         for b in it:
             for r in b.to_pylist():
-                x = Batch(r["ids"], r["sizes"], r["data"])
-                gone = removed(x, r["flags"], r["hits"], parts)
-                size = np.diff(x.off)
+                if r["bundle"] != now:
+                    now, flagged, said = r["bundle"], Flags(parts), Answers()
+                if r["kind"] == 0:
+                    flagged.add(r["seq"], r["a"], r["b"])
+                    continue
+                if r["kind"] == 1:
+                    said.add(r["a"], r["b"], r["c"])
+                    continue
+                x = Batch(r["a"], r["b"], r["c"])
+                starts = begun(x, flagged, said)
+                if r["more"] or slices is not None:
+                    slices = slices or Slices()
+                    slices.add(x.buf, starts, len(x.buf) - (WINDOW - 1 if r["more"] else 0))
+                    if not r["more"]:
+                        yield result(x.ids, np.array([slices.bytes]), np.array([slices.removed]), [slices.spans], [slices.sha.hexdigest()])
+                        slices = None
+                    continue
+                gone = covered(starts, len(x.buf))
                 total = np.r_[0, np.cumsum(gone)]
-                starts = gone.copy()
-                starts[1:] &= ~gone[:-1]
-                inner = x.off[1:-1]
-                inner = inner[(inner > 0) & (inner < len(gone))]
-                starts[inner] = gone[inner]
-                runs = np.r_[0, np.cumsum(starts)]
+                edge = np.zeros(len(gone) + 1, bool)  # texts lie end to end: a run ends with its text
+                edge[1:-1] = gone[1:] != gone[:-1]
+                cut = np.flatnonzero(edge)
+                cut = np.unique(np.r_[cut, x.off])
+                run = cut[:-1][gone[cut[:-1]]] if len(gone) else np.zeros(0, np.int64)
+                stop = cut[np.searchsorted(cut, run) + 1] if len(run) else run
+                row = np.searchsorted(x.off, run, "right") - 1
+                runs: list = [[] for _ in x.ids]
+                for a, z, k in zip(run.tolist(), stop.tolist(), row.tolist(), strict=True):
+                    runs[k].append((a - int(x.off[k]), z - int(x.off[k])))
                 kept = x.buf[~gone].tobytes()
                 at = x.off - total[x.off]
                 digest = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                ids = pa.array(x.ids, mask=x.ids == NO_ID)
-                cols = [ids, pa.array(size), pa.array(np.diff(total[x.off])), pa.array(np.diff(runs[x.off])), pa.array(digest)]
-                names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if spans:
-                    stops = gone.copy()
-                    stops[:-1] &= ~gone[1:]
-                    stops[inner - 1] = gone[inner - 1]
-                    s, e = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-                    row = np.searchsorted(x.off, s, "right") - 1
-                    each = [[{"start": int(a - x.off[k]), "end": int(z - x.off[k])} for a, z in zip(s[row == k], e[row == k], strict=True)] for k in range(len(size))]
-                    cols.append(pa.array(each, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
-                    names.append("spans")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield result(x.ids, np.diff(x.off), np.diff(total[x.off]), runs, digest)
 
     schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<struct<start:long,end:long>>" if spans else "")
-    return whole.mapInArrow(finish, schema)
+    out = scratch.write(bundles(packs, flags, told).mapInArrow(finish, schema), "kept")
+    scratch.drop(packs, flags, told)
+    return out
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches(spark, 128)
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    batches(spark, 16)
+    return remove_repeats(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {"op8_substrings": op8_substrings}
