@@ -1,23 +1,27 @@
 """Chat formatting by incremental black-box rendering.
 
 A template is any function from a list of (role, text) to a string. It is rendered
-on successive prefixes of a conversation. Each output must extend the one before;
-what it adds is the span of the new turn. Where it doesn't, the template rewrites
-history, and the first such turn is reported. Within a span, the part that carries
-the text is found by rendering the turn with two probe texts: what both outputs
+on successive prefixes of a conversation, each from its first turn on. Each output
+must extend the one before; what it adds is the span of the new turn. Where it
+doesn't, the template rewrites history, and the first such turn is reported, however
+far back the change lies. Within a span, the part that carries the text is found by
+rendering the prefix with two probe texts in the turn's place: what both outputs
 share in front and behind is the frame. Spans that carry assistant texts are the
-loss mask.
+loss mask. A class is a template that may carry state: one object of it renders all
+prefixes of one conversation.
 
 The default template marks turns by control strings and escapes those (and the
 escape character) inside roles and texts, so the output can be read back exactly.
-Frames depend on the role, and on history only where a template says so: the
-default one is declared local, and then each turn is rendered after the previous
-one alone, which keeps long conversations linear; others are rendered in full.
+Its object remembers the turns that it has escaped, so that a prefix costs what its
+output costs to join and compare: quadratic in the turns of one conversation, with
+three renderings a turn. `local` is an option, off unless asked for: it renders a turn after
+the previous one alone, for templates known to look no further back.
 
 Null roles and texts count as empty. Turns that share a number are ordered by role
 and text, null turns come first, and repeated rows are turns of their own. Rows of
-a null conv_id form one conversation. Empty tables give no conversations; columns
-besides the four are ignored.
+a null conv_id form one conversation. A conversation is one row of the result, so
+one task holds it, very long texts and all; Arrow limits a row to 2 GB. Empty tables
+give no conversations; columns besides the four are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, table
 
-Template = Callable[[list[tuple[str, str]]], str]
+Template = Callable[[list[tuple[str, str]]], str] | type
 
 OPEN, CLOSE, ESCAPE = "<|turn|>", "<|end|>", "\\"
 #: Strings that steer common chat models (fixed values), escaped inside texts.
@@ -51,9 +55,26 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text) if ESCAPE in text else text
 
 
+class Marked:
+    """The default template. Line ends in a role are escaped as well. Remembers the
+    turns of its conversation."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, str], str] = {}
+
+    def turn(self, turn: tuple[str, str]) -> str:
+        if turn not in self.known:
+            role, text = turn
+            self.known[turn] = f"{OPEN}{escape(role).replace(chr(10), ESCAPE + 'n')}\n{escape(text)}{CLOSE}\n"
+        return self.known[turn]
+
+    def __call__(self, turns: list[tuple[str, str]]) -> str:
+        return "".join(map(self.turn, turns))
+
+
 def marked(turns: list[tuple[str, str]]) -> str:
-    """The default template. Line ends in a role are escaped as well."""
-    return "".join(f"{OPEN}{escape(role).replace(chr(10), ESCAPE + 'n')}\n{escape(text)}{CLOSE}\n" for role, text in turns)
+    """The default template as a plain function."""
+    return Marked()(turns)
 
 
 def read_back(out: str) -> list[tuple[str, str]]:
@@ -91,11 +112,10 @@ def _shared(a: str, b: str) -> int:
 
 
 def render(template: Template, turns: list[tuple[str, str]], local: bool = False, probes: tuple[str, str] = ("a", "b")) -> Rendered:
-    """Render successive prefixes and locate each turn. local: the template's
-    output for a turn doesn't depend on turns before the previous one."""
-    parts, spans, at, rewrites = [], [], 0, None
-    frames: dict = {}
-    whole = ""
+    """Render successive prefixes, compare each output with the one before and locate
+    each turn. local: the template is known not to look beyond the previous turn."""
+    template = template() if isinstance(template, type) else template
+    parts, spans, at, rewrites, whole = [], [], 0, None, ""
     for k, (role, text) in enumerate(turns):
         past = turns[max(0, k - 1) : k] if local else turns[:k]
         before = template(past) if local or not k else whole
@@ -103,18 +123,11 @@ def render(template: Template, turns: list[tuple[str, str]], local: bool = False
         if not after.startswith(before):
             rewrites = k
             break
-        span = after[len(before) :]
-        key = (role, past[-1][0] if past else None, not past) if local else None
-        if key is None or key not in frames:
-            x, y = (template([*past, (role, p)]) for p in probes)
-            head = _shared(x, y) - len(before)
-            tail = _shared(x[: len(before) - 1 : -1] if before else x[::-1], y[: len(before) - 1 : -1] if before else y[::-1])
-            tail = min(tail, len(x) - len(before) - head - len(probes[0]))
-            if key is not None:
-                frames[key] = (head, tail)
-        else:
-            head, tail = frames[key]
-        spans.append((at, at + len(span), at + max(head, 0), at + len(span) - tail))
+        span, start = after[len(before) :], len(before)
+        x, y = (template([*past, (role, p)])[start:] for p in probes)
+        head = _shared(x, y)
+        tail = min(_shared(x[::-1], y[::-1]), len(x) - head - len(probes[0]))
+        spans.append((at, at + len(span), at + head, at + len(span) - tail))
         parts.append(span)
         at += len(span)
         whole = after
@@ -130,11 +143,10 @@ def conversations(df: DataFrame) -> DataFrame:
     return df.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
-def format_chats(df: DataFrame, template: Template = marked, local: bool | None = None, role: str = "assistant") -> DataFrame:
+def format_chats(df: DataFrame, template: Template = Marked, local: bool = False, role: str = "assistant") -> DataFrame:
     """conv_id, n_turns, formatted, loss (spans of the texts of `role` as start and
     end), rewrites (turn number or null). A conversation whose template rewrites
     history is rendered up to that turn."""
-    local = template is marked if local is None else local
 
     def run(it):
         for b in it:
