@@ -1,41 +1,50 @@
 """Benchmark decontamination: an inverted index of test items, searched by every
 training passage.
 
-Items are indexed by BM25. An impact is divided by the score the item has against
-itself, so one threshold means the same for short and long items. Passages are
-windows of twice the longest item's words, moved on by its length: each text span
-as long as an item lies inside one. A passage is a query. A first bound is worked
-out for all passages of a batch at once: to an item, its rarer words in the passage
-can add their impacts, and all of its common words (LIGHT of its score at most)
-theirs. Where no item's bound reaches the threshold no pivot exists and the search
-is over. Others go through block-max WAND, which returns every item above the
-threshold. A retrieved item counts when the passage holds
-OVERLAP of its five-word runs, and half of those of its question and of its
-answer (the last third of its words, where the table doesn't tell them apart).
-
-The index is broadcast. It holds ITEMS items at most: larger benchmarks are cut
-into blocks, and documents are searched by one block after another. Null or empty
-items and texts have no words and match nothing. Items of fewer than five words
-are one run. Repeated rows get equal results; columns of documents pass through
-`decontaminate`. An empty benchmark leaves all documents clean.
+Items are indexed by BM25. Document frequencies and the average length are those of
+the whole benchmark, however it is cut. An impact is divided by the score the item
+has against itself, so one threshold means the same for short and long items.
+Passages are windows of two strides of words, moved on by one; an item's stride is
+the power of two from 32 that is no less than its own number of words, so each text
+span as long as an item lies inside one of its passages, and other items don't
+matter. A passage is a query. A first bound is worked out for all passages of a
+batch at once: to an item, its rarer words in the passage can add their impacts, and
+all of its common words (LIGHT of its score at most) theirs. Where no item's bound
+reaches the threshold no pivot exists and the search is over. Others go through
+block-max WAND, which returns every item above the threshold. A retrieved item
+counts when the passage holds OVERLAP of its five-word runs, and half of those of
+its question and of its answer (a column of answers, or else the last third of its
+words).
+
+Indexes hold items of one stride, BLOCK_WORDS words or so of them; PASS_BLOCKS are
+broadcast at once and searched in one reading of the documents. Null or empty items
+and texts have no words and match nothing. Items of fewer than five words are one
+run. Very long texts are searched whole, a passage at a time. Ties and repeated rows
+get equal results, and every one of repeated items is reported; columns of documents
+pass through `decontaminate`, whatever their names, and `leaks` reads key and text
+alone. An empty benchmark leaves all documents clean; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Lookup, batches, chunks, mix, span_hashes, string_bytes, table, word_spans
+from .common import LOWER, Lookup, Scratch, batches, chunks, mix, span_hashes, string_bytes, table, texts, word_spans
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
-ITEMS = 20_000
+#: Words of the items of one index (an index takes about 60 bytes a word), and
+#: indexes that are broadcast at once.
+BLOCK_WORDS, PASS_BLOCKS = 500_000, 4
+SHORTEST = 32
 BLOCK = 64
 #: Share of an item's own score that its commonest words hold, which the first
 #: bound takes for granted.
@@ -53,34 +62,59 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return mix(out)
 
 
+def item_words(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text."""
+    buf = np.frombuffer((text or "").encode(), np.uint8)
+    s, e, _ = word_spans(buf, np.array([0, len(buf)]), plain=True)
+    return span_hashes(LOWER[buf], s, e) if len(s) else np.zeros(0, np.uint64)
+
+
+def stride_of(n: int) -> int:
+    return max(SHORTEST, 1 << max(0, n - 1).bit_length())
+
+
+@dataclass
+class Figures:
+    """Of a whole benchmark: items, words an item, and the document frequency of
+    terms (sorted), at least of those that the index has."""
+
+    items: int
+    average: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[np.ndarray]) -> Figures:
+        terms, df = np.unique(np.concatenate([np.unique(w) for w in words] or [np.zeros(0, np.uint64)]), return_counts=True)
+        return cls(len(words), float(np.mean([len(w) for w in words] or [0])), terms, df)
+
+
 class Index:
     """Postings of items with impacts, largest impacts of terms and of blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], answers: list[str | None] | None = None):
+    def __init__(self, items: list[tuple[int, str]], answers: list[str | None] | None = None, figures: Figures | None = None):
         self.ids = [i for i, _ in items]
-        words = []
-        for _, text in items:
-            buf = np.frombuffer((text or "").encode(), np.uint8)
-            s, e, _ = word_spans(buf, np.array([0, len(buf)]), plain=True)
-            words.append(span_hashes(LOWER[buf], s, e) if len(s) else np.zeros(0, np.uint64))
+        words = [item_words(text) for _, text in items]
+        figures = figures or Figures.of(words)
         self.parts = []
         for k, w in enumerate(words):
             own = (answers or [None] * len(words))[k]
-            n = len((own or "").split()) or max(SHINGLE, len(w) // 3)
+            n = len(item_words(own)) or max(SHINGLE, len(w) // 3)
             cut = max(0, len(w) - n)
             runs = [np.unique(shingles(x)) for x in (w, w[:cut] if cut >= SHINGLE else w, w[cut:])]
             self.parts.append(runs)
         self.length = [len(w) for w in words]
         length = np.array(self.length, float)
         self.longest = int(length.max(initial=0))
-        average = max(1.0, length.mean() if len(length) else 1.0)
+        self.stride = stride_of(self.longest)
         doc = np.repeat(np.arange(len(words)), length.astype(int))
         terms, inv = np.unique(np.concatenate(words) if words else np.zeros(0, np.uint64), return_inverse=True)
         pair, tf = np.unique(inv.astype(np.int64) * max(1, len(words)) + doc, return_counts=True)
         term, item = pair // max(1, len(words)), pair % max(1, len(words))
         df = np.bincount(term, minlength=len(terms))
-        idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / average))
+        whole = figures.df[np.searchsorted(figures.terms, terms)] if len(terms) else df
+        idf = np.log1p((figures.items - whole + 0.5) / (whole + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(1.0, figures.average)))
         own = np.bincount(item, impact, len(words))
         impact = impact / np.maximum(own[item], 1e-12)
         self.lookup = Lookup(terms)
@@ -89,7 +123,7 @@ class Index:
         self.most = np.append(np.maximum.reduceat(impact, self.start[:-1]) if len(terms) else np.zeros(0), 0.0)
         self.lists: dict[int, tuple] = {}
         # postings of rarer words: by item, from the commonest word on, what is beyond LIGHT
-        order = np.lexsort((term, -df[term], item))
+        order = np.lexsort((term, -whole[term], item))
         total = np.cumsum(impact[order])
         before = total - impact[order] - np.r_[0.0, total][np.searchsorted(item[order], item[order])]
         rare = np.ones(len(order), bool)
@@ -178,7 +212,7 @@ class Index:
             return
         h = span_hashes(LOWER[buf], s, e)
         term = self.lookup(h)
-        stride = max(32, self.longest)
+        stride = self.stride
         many = np.bincount(row, minlength=len(off) - 1)
         first = np.cumsum(many) - many
         windows = np.where(many > 0, np.maximum(1, -(-(many - stride) // stride)), 0)
@@ -223,19 +257,43 @@ class Index:
         return min(SHINGLE, self.length[item])
 
 
-def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", block: int = ITEMS) -> Iterator[Index]:
-    """Indexes of blocks of items."""
-    rows = benchmark.select(F.col(key).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toArrow().to_pylist()
-        yield Index(sorted((r["i"], r["t"]) for r in part))
-
+def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", answer: str | None = None, block_words: int = BLOCK_WORDS) -> Iterator[list[Index]]:
+    """Indexes of all items, PASS_BLOCKS at a time. answer: a column with the last
+    words of the item's text that are its answer."""
+    scratch = Scratch(benchmark.sparkSession)
+    rows = benchmark.select(F.col(key).alias("i"), F.col(text).alias("t"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a")).where("t IS NOT NULL")
 
-def leaks(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def read(it):
+        for b in it:
+            words = [item_words(t) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([stride_of(len(w)) for w in words], pa.int64()), pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))], names=[*b.schema.names, "n", "stride", "terms"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    items = scratch.write(rows.mapInArrow(read, f"{kinds}, n long, stride long, terms array<long>"), "items")
+    dfs = scratch.write(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    count, average = items.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    found = []
+    for stride, words in sorted(items.groupBy("stride").agg(F.sum("n")).collect()):  # a row for each power of two
+        blocks = max(1, -(-words // block_words))
+        for k in range(blocks):
+            part = items.where((F.col("stride") == stride) & (F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k))
+            own = sorted(part.select("i", "t", "a").toArrow().to_pylist(), key=lambda r: (r["i"] is not None, r["i"], r["t"]))
+            if not own:
+                continue
+            df = part.select(F.explode("terms").alias("term")).distinct().join(dfs, "term").toArrow()
+            terms = df.column("term").to_numpy().view(np.uint64)
+            order = np.argsort(terms)
+            found.append(Index([(r["i"], r["t"]) for r in own], [r["a"] for r in own], Figures(count, average, terms[order], df.column("df").to_numpy()[order])))
+            if len(found) == PASS_BLOCKS:
+                yield found
+                found = []
+    if found:
+        yield found
+
+
+def leaks(docs: DataFrame, some: list[Index], key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document and item that it holds."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(some)
 
     def run(it):
         for b in it:
@@ -243,39 +301,44 @@ def leaks(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text"
             buf, off = string_bytes(b.column(1))
             out = []
             for i, j in chunks(off):
-                out += [(r + i, *x) for r, *x in sent.value.matches(buf[off[i] : off[j]], off[i : j + 1] - off[i])]
+                for index in sent.value:
+                    out += [(r + i, index.ids[item], *x) for r, item, *x in index.matches(buf[off[i] : off[j]], off[i : j + 1] - off[i])]
             if out:
                 r, item, *rest = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array([sent.value.ids[k] for k in item], pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], names=[key, "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(item, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], names=["id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+    return found.withColumnRenamed("id", key)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no item."""
-    for index in indexes(benchmark):
-        sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
+    for some in indexes(benchmark):
+        sent, at = docs.sparkSession.sparkContext.broadcast(some), docs.columns.index(text)
 
         def run(it, sent=sent, at=at):
             for b in it:
                 buf, off = string_bytes(b.column(at))
                 clean = np.ones(b.num_rows, bool)
                 for i, j in chunks(off):
-                    for r, *_ in sent.value.matches(buf[off[i] : off[j]], off[i : j + 1] - off[i]):
-                        clean[r + i] = False
+                    for index in sent.value:
+                        for r, *_ in index.matches(buf[off[i] : off[j]], off[i : j + 1] - off[i]):
+                            clean[r + i] = False
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
+NOTHING = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches(spark)
-    docs, out = table(spark, sf_dir, "documents"), None
-    for index in indexes(table(spark, sf_dir, "benchmark")):
-        found = leaks(docs, index)
-        out = found if out is None else out.union(found)
+    docs, out = texts(spark, sf_dir, "documents", "doc_id", "text"), spark.createDataFrame([], NOTHING)
+    for some in indexes(table(spark, sf_dir, "benchmark")):
+        out = out.union(leaks(docs, some))
     return out
 
 
