@@ -12,12 +12,17 @@ all v, so some mask covers none of them: every pair within the radius agrees on
 mask and meets in that table. Pairs that meet are verified exactly.
 
 Equal fingerprints are one node, named by their smallest id. A bucket of one mask
-yields a spanning forest of its verified links, not all of its pairs; a bucket of
-more than BUCKET nodes is dealt in blocks, and tasks compare pairs of blocks.
-Components come from alternating star contractions over written tables.
-
-Null texts count as empty; ties and repeated rows fall into one component; an empty
-table gives none. Rows with a null id are kept, with a null component.
+yields a spanning forest of its verified links, not all of its pairs. The nodes of a
+bucket of more than BUCKET are masked again, by another family, within the bucket,
+until none is larger: as each family covers every pair within the radius, so does
+each of its nodes' new buckets, and as different nodes differ somewhere, masks of a
+few families leave no large bucket. Components come from alternating star
+contractions over written tables.
+
+Null texts count as empty; very long ones are read whole. Ties and repeated rows fall
+into one component; an empty table gives none. Rows with a null id are kept, with a
+null component. Columns besides key and text play no part in `near_groups`, whatever
+their names, and pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -28,14 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, batches, checked_broadcast, chunks, string_bytes, table, word_spans
+from .common import LOWER, Scratch, batches, checked_broadcast, chunks, string_bytes, texts, whole_groups, word_spans
 
 RADIUS = 3
 SHINGLE = 3
 BUCKET = 1024
+SEED = 2024
 
 
-def masks(radius: int = RADIUS, seed: int = 2024) -> np.ndarray:
+def masks(radius: int = RADIUS, seed: int = SEED) -> np.ndarray:
     """2^(radius+1) - 1 masks of 64 bits that cover every difference of `radius` places."""
     rng = np.random.default_rng(seed)
     own = rng.integers(1, 1 << (radius + 1), 64)
@@ -94,11 +100,9 @@ def with_fingerprint(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, left: int, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among fp; left > 0: only links between the
-    first `left` and the rest count."""
-    n = len(fp)
-    root = np.arange(n)
+def _forest(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links among fp."""
+    root = np.arange(len(fp))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -107,9 +111,8 @@ def _forest(fp: np.ndarray, node: np.ndarray, left: int, radius: int) -> list[tu
         return i
 
     out = []
-    for i in range(left or n):
-        j = left if left else i + 1
-        near = np.flatnonzero(np.bitwise_count(fp[j:] ^ fp[i]) <= radius) + j
+    for i in range(len(fp)):
+        near = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius) + i + 1
         for k in near[root[near] != root[i]].tolist():
             a, b = find(i), find(k)
             if a != b:
@@ -118,76 +121,54 @@ def _forest(fp: np.ndarray, node: np.ndarray, left: int, radius: int) -> list[tu
     return out
 
 
+def masked(rows: DataFrame, radius: int, family: int) -> DataFrame:
+    """rows: fp, node, key -> each once for every mask of a family, in a bucket of its
+    bucket."""
+    each = [F.struct(F.lit(i).alias("i"), F.lit(int(m) - (1 << 64) if m >= 1 << 63 else int(m)).cast("long").alias("m")) for i, m in enumerate(masks(radius, SEED + family).tolist())]
+    rows = rows.select("fp", "node", "key", F.explode(F.array(*each)).alias("t"))
+    return rows.select("fp", "node", F.xxhash64("key", F.col("t.i"), F.col("fp").bitwiseAND(F.col("t.m"))).alias("key"))
+
+
 def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """nodes: fp, node (distinct fingerprints) -> a, b: links that connect what is
     within the radius."""
-    spark = nodes.sparkSession
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(int(m) - (1 << 64) if m >= 1 << 63 else int(m)).cast("long").alias("m")) for i, m in enumerate(masks(radius).tolist()))))
-    rows = nodes.select("fp", "node", each.alias("t")).select("fp", "node", F.xxhash64(F.col("t.i"), F.col("fp").bitwiseAND(F.col("t.m"))).alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {BUCKET}")
-    hot = scratch.write(counts, "hot")
-    n_hot = hot.count()
-    plain = rows.select("fp", "node", "key", F.lit(0).alias("side"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-    if n_hot:
-        side = hot if n_hot > 1_000_000 else F.broadcast(hot)
-        plain = plain.join(side.select("key"), "key", "left_anti").select(plain.columns)
-        parts = F.ceil(F.col("n") / (BUCKET // 2)).cast("int")
-        dealt = rows.join(side, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("fp", "node", "key", (F.col("own") > F.col("other")).cast("int").alias("side"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        plain = plain.union(dealt)
+    rows, plain, family = nodes.select("fp", "node", F.lit(0).cast("long").alias("key")), None, 0
+    while True:
+        rows = masked(rows, radius, family)
+        hot = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"), "hot")
+        n, family = hot.count(), family + 1
+        if not n:
+            plain = rows if plain is None else plain.union(rows)
+            break
+        side = checked_broadcast(hot, n)
+        own = rows.join(side, "key", "left_anti").select("fp", "node", "key")
+        plain = own if plain is None else plain.union(own)
+        rows = scratch.write(rows.join(side, "key", "left_semi").select("fp", "node", "key"), "large")
 
     def run(it):
-        """Rows come sorted by bucket; a bucket that may go on is carried over."""
-        carry = None
-        for b in _ended(it):
-            if b is not None:
-                t = pa.Table.from_batches([b])
-                carry = t if carry is None else pa.concat_tables([carry, t])
-                if carry.num_rows < 4096:
-                    continue
-            if carry is None or not carry.num_rows:
-                return
-            key, i, j = (carry.column(c).to_numpy() for c in ("key", "i", "j"))
-            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edges = np.r_[0, new, len(key)]
-            stop = len(edges) - 1 if b is None else len(edges) - 2
-            fp, node, side = (carry.column(c).to_numpy() for c in ("fp", "node", "side"))
-            fp = fp.view(np.uint64)
-            size = np.diff(edges)[:stop]
-            a, z = [], []
-            two = edges[:stop][size == 2]
-            if len(two):
-                ok = (np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & ((i[two] == j[two]) | (side[two] != side[two + 1]))
-                a.append(node[two[ok]])
-                z.append(node[two[ok] + 1])
+        """Rows come sorted by bucket."""
+        for t, edges in whole_groups(it, ["key"]):
+            fp, node = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()
+            size = np.diff(edges)
+            two = edges[:-1][size == 2]
+            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+            a, z = [node[near]], [node[near + 1]]
             for g in np.flatnonzero(size > 2).tolist():
-                lo, hi = edges[g], edges[g + 1]
-                left = int((side[lo:hi] == 0).sum()) if i[lo] != j[lo] else 0
-                if i[lo] != j[lo] and left in (0, hi - lo):
-                    continue
-                if found := _forest(fp[lo:hi], node[lo:hi], left, radius):
+                if found := _forest(fp[edges[g] : edges[g + 1]], node[edges[g] : edges[g + 1]], radius):
                     x = np.array(found)
                     a.append(x[:, 0])
                     z.append(x[:, 1])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(z))], names=["a", "b"])
-            carry = carry.slice(edges[stop]) if b is not None else None
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(z))], names=["a", "b"])
 
-    out = plain.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "fp").mapInArrow(run, "a long, b long")
+    out = plain.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
     return out.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def _ended(it):
-    yield from it
-    yield None
-
-
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges: u > v -> u, v: v is the smallest node that u reaches (roots are left
     out). Large and small star contractions until nothing moves."""
     e, before = scratch.write(edges, "edges"), None
-    for turn in range(most):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         least = scratch.write(least, "least")
@@ -202,7 +183,6 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         if now == before:
             return e
         before = now
-    raise RuntimeError(f"components didn't settle in {most} rounds")
 
 
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -228,7 +208,7 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches(spark)
-    out = near_groups(table(spark, sf_dir, "documents"))
+    out = near_groups(texts(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
