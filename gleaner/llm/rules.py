@@ -2,8 +2,9 @@
 functions over length, symbol, stop-word and line figures of a text.
 
 Nulls and empty texts have no words, no symbols and no lines; they fail the base
-rule. Repeated rows get equal results. Columns other than the text pass through
-untouched; figures of the same name are replaced.
+rule. Very long texts are read whole. Ties and repeated rows get equal results.
+Columns other than the text pass through untouched; clashing ones (figures,
+base_failed, kept) are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, words_of
+from .common import text_of, texts, words_of
 
 #: Frequent function words of the four languages (fixed values).
 STOP_WORDS = (
@@ -54,8 +55,10 @@ def repeat_words(words: Column, size: int = 8) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(rows, marked))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))
-    return F.when(F.size(words) <= size, F.lit(0).cast("long")).otherwise(let(windows, covered))
+    # a word is hashed once, a window is the hash of its words' hashes: no window is held as a string
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size))))
+    return F.when(F.size(words) <= size, F.lit(0).cast("long")).otherwise(let(let(hashes, windows), covered))
 
 
 def figures(text: Column | str = "text") -> list[Column]:
@@ -96,7 +99,7 @@ def quality_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaim", "n_stop", "n_lines", "base_failed", "kept")
 
 
