@@ -8,7 +8,11 @@ each group of near-duplicates the smallest id stays. A document that holds a tes
 item goes. Mixing repeats a document as often as the mix takes it, and drops those
 it doesn't take. Sharding returns doc_id, copy number, size, shard and slot.
 Rows of a null id pass through toxicity and decontamination like others and are
-each their own group to the near-duplicate stage.
+each their own group to the near-duplicate stage; of repeated rows of one id all stay
+there, and the mix takes each by itself. Null and empty texts pass toxicity, are near
+duplicates of each other, hold no item, and the mix takes none of them as they have
+no words. Very long texts are read whole by every stage. Further columns pass through
+all stages but the last, whatever their names. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontam, mixing, sharding, simhash, toxicity
-from gleaner.llm.common import Scratch, batches, held_out, table, text_of
+from gleaner.llm.common import Scratch, batches, held_out, table, text_of, texts
 
 TOXIC_FROM = 0.5
 
@@ -60,12 +64,12 @@ STAGES: list[tuple[str, Callable]] = [
 ]
 
 #: Learned scores, component search and the random walk of the mix are no SQL; tests
-#: hold the stages against brute-force versions.
+#: hold the kept rows of every stage against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    scratch, docs = Scratch(spark), texts(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         new = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
