@@ -419,54 +419,61 @@ def bundles(packs: DataFrame, *others: DataFrame) -> DataFrame:
     return out.select(cols).repartition("bundle").sortWithinPartitions("bundle", "kind", "seq")
 
 
-class Flags:
-    """The shared anchors of a bundle, gathered part by part."""
+class Told:
+    """What parts say of a bundle, row by row; looked up when all is there."""
 
     def __init__(self, parts: int):
-        self.parts, self.keys, self.flag = np.uint64(parts), [], []
+        self.parts, self.rows, self.keys = np.uint64(parts), [], None
 
-    def add(self, p: int, anchors: bytes, flag: bytes) -> None:
-        names = np.zeros((len(flag), 8), np.uint8)
-        names[:, 3:] = np.frombuffer(anchors, np.uint8).reshape(-1, 5)
-        self.keys.append(names.view(np.uint64).ravel() | np.uint64(p))
-        self.flag.append(np.frombuffer(flag, np.uint8))
+    def add(self, p: int, *columns: bytes) -> None:
+        self.rows.append((p, *columns))
+
+    def gathered(self) -> tuple[np.ndarray, list[bytes]]:
+        """Parts, and each column as one string."""
+        p, *columns = zip(*self.rows, strict=True) if self.rows else ((), (), (), ())
+        return np.array(p, np.uint64), [b"".join(c) for c in columns]
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of those asked for that are there, and where they are."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        same = np.flatnonzero(self.keys[at] == asked)
+        return same, at[same]
+
+
+class Flags(Told):
+    """The shared anchors of a bundle."""
 
     def __call__(self, anchors: np.ndarray) -> np.ndarray:
         """0, 1 or 2 of each anchor."""
-        if isinstance(self.keys, list):
-            keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
+        if self.keys is None:
+            p, (short, flag, *_) = self.gathered()
+            flag = np.frombuffer(flag, np.uint8)
+            names = np.zeros((len(flag), 8), np.uint8)
+            names[:, 3:] = np.frombuffer(short, np.uint8).reshape(-1, 5)
+            keys = names.view(np.uint64).ravel() | np.repeat(p, np.array([len(r[2]) for r in self.rows], np.int64))
             order = np.argsort(keys)
-            self.keys, self.flag = keys[order], (np.concatenate(self.flag) if self.flag else np.zeros(0, np.uint8))[order]
+            self.keys, self.flag, self.rows = keys[order], flag[order], []
         out = np.zeros(len(anchors), np.uint8)
-        if len(self.keys):
-            asked = (anchors >> np.uint64(24) << np.uint64(24)) | (anchors % self.parts)
-            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            same = self.keys[at] == asked
-            out[same] = self.flag[at[same]]
+        same, at = self.find((anchors >> np.uint64(24) << np.uint64(24)) | (anchors % self.parts))
+        out[same] = self.flag[at]
         return out
 
 
-class Answers:
+class Answers(Told):
     """Of a bundle's strings that lose something, by hash: the smallest id that holds
     the whole string, and a bit for each window that a smaller one holds."""
 
-    def __init__(self):
-        self.h, self.own, self.bits = [], [], []
-
-    def add(self, h: bytes, own: bytes, bits: bytes) -> None:
-        self.h.append(np.frombuffer(h, np.uint64))
-        self.own.append(np.frombuffer(own, np.int64))
-        self.bits.append(np.frombuffer(bits, np.uint64))
-
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if isinstance(self.h, list):
-            order = np.argsort(np.concatenate(self.h)) if self.h else []
-            self.h, self.own, self.bits = (np.concatenate(x)[order] if x else np.zeros(0, k) for x, k in ((self.h, np.uint64), (self.own, np.int64), (self.bits, np.uint64)))
+        if self.keys is None:
+            _, columns = self.gathered()
+            keys, own, bits = (np.frombuffer(c, k) for c, k in zip(columns, (np.uint64, np.int64, np.uint64), strict=True))
+            order = np.argsort(keys)
+            self.keys, self.own, self.bits, self.rows = keys[order], own[order], bits[order], []
         own, bits = np.full(len(h), NO_ID), np.zeros(len(h), np.uint64)
-        if len(self.h):
-            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-            same = self.h[at] == h
-            own[same], bits[same] = self.own[at[same]], self.bits[at[same]]
+        same, at = self.find(h)
+        own[same], bits[same] = self.own[at], self.bits[at]
         return own, bits
 
 
@@ -633,18 +640,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", spans
         for b in it:
             for r in b.to_pylist():
                 if r["bundle"] != now:
-                    now, flagged, said = r["bundle"], Flags(parts), Answers()
+                    now, flagged, said = r["bundle"], Flags(parts), Answers(parts)
                 if r["kind"] == 0:
                     flagged.add(r["seq"], r["a"], r["b"])
                     continue
                 if r["kind"] == 1:
-                    said.add(r["a"], r["b"], r["c"])
+                    said.add(r["seq"], r["a"], r["b"], r["c"])
                     continue
                 x = Batch(r["a"], r["b"], r["c"])
                 starts = begun(x, flagged, said)
                 if r["more"] or slices is not None:
                     slices = slices or Slices()
-                    slices.add(x.buf, starts, len(x.buf) - (WINDOW - 1 if r["more"] else 0))
+                    slices.add(x.buf, starts, BATCH_BYTES if r["more"] else len(x.buf))
                     if not r["more"]:
                         yield result(x.ids, np.array([slices.bytes]), np.array([slices.removed]), [slices.spans], [slices.sha.hexdigest()])
                         slices = None
