@@ -11,9 +11,10 @@ open documents fly, and the last are landed by a linear programme over all their
 outcomes: of those whose words bring the source within NEAR of its target, a draw
 whose mean is the probabilities.
 
-Documents of more than OUTSIZE of their source's target go first. Each, from the
-largest on, is rounded while all the others make up for its words, each in
-proportion to its room, so the walk stays in the null space of the words; then the
+Documents of more than OUTSIZE of their source's target go first, by the same
+programme, with what the others hold and could hold as a supply of words; of many,
+each, from the largest on, is rounded while all the others make up for its words in
+proportion to their room, so the walk stays in the null space of the words. Then the
 others' probabilities are what that left them. Where there are fewer than FEW
 others, all go together. A source of COPIES documents or fewer is landed at once,
 over all numbers of whole copies (0 to 3) of each.
@@ -210,9 +211,10 @@ def land(p: list[float], size: list[float], rng: random.Random, goal: float | No
     that much is made up for.
 
     Up to LANDING + 2 open units are drawn together. Of more, those of more than
-    OUTSIZE of goal are settled first, and what can't be settled is drawn with the
-    rest as a supply of words; then LANDING units, one of each class of size, are set
-    aside, the others fly, and those set aside and those still open are drawn."""
+    OUTSIZE of goal come first: all but the last LANDING + 2 of them are settled, and
+    these are drawn, with the rest as a supply of words. Then LANDING units, one of
+    each class of size, are set aside, the others fly, and those set aside and those
+    still open are drawn."""
     goal = sum(x * s for x, s in zip(p, size, strict=True)) if goal is None else goal
     still = lambda units: [i for i in units if 0 < p[i] < 1]
 
@@ -237,7 +239,7 @@ def land(p: list[float], size: list[float], rng: random.Random, goal: float | No
     open_ = still(range(len(p)))
     if len(open_) > LANDING + 2:
         big = sorted((i for i in open_ if size[i] > OUTSIZE * goal), key=lambda i: (-size[i], i))
-        under, over = settle(p, size, big, rng, under, over)
+        under, over = settle(p, size, big[: -LANDING - 2], rng, under, over)
         if left := still(big):
             left, apart = stratified(left), set(big)
             rest = [i for i in still(range(len(p))) if i not in apart]
