@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import normalize_url
 from ..sources.scratch import Rounds
 
 DAMPING, EPSILON, MOST_ROUNDS = 0.85, 1e-5, 100
 
 
-def link_graph(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges between documents: links (doc_id, link) that lead to a known url."""
+def link_graph(links: DataFrame, docs: DataFrame, normalize: bool = False) -> DataFrame:
+    """Edges between documents: links (doc_id, link) that lead to a known url, as they
+    stand or with links and urls normalized."""
+    if normalize:
+        links, docs = links.withColumn("link", normalize_url(F.col("link"))), docs.withColumn("url", normalize_url(F.col("url")))
     known = docs.select("url", F.col("doc_id").alias("dst")).where("url IS NOT NULL")
     return links.join(known, links.link == known.url).select(F.col("doc_id").alias("src"), "dst").distinct()
 

@@ -16,18 +16,18 @@ from . import api
 from . import oracle_sql as O
 from .functions import porter
 from .functions.snippets import clean_html, highlight
-from .functions.text import RUN, STOP_WORDS, WEIGHTS, runs, tokens
+from .functions.text import RUN, STOP_WORDS, read_stop_words, runs, tokens
 from .functions.urls import filter_params, normalize_url, url_host
 from .operators import crawl as C
 from .operators import pagerank as P
 from .operators import suggest as S
-from .operators.index import blocks_of, build_index, merge_index, occurrences
+from .operators.index import Index, blocks_of, build_index, merge_index, occurrences
 from .operators.match import match, match_count, phrase_docs
 from .operators.ranking import page_of, scores
 from .plans.query import parse, query_words
 from .sources.html import html_blocks, page_title
 from .sources.scratch import Rounds
-from .sources.store import table, with_ids
+from .sources.store import load_documents, table, with_ids
 from .streaming.ingest import keep_latest, read_stream, window_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,19 @@ def token_valid(spark, sf_dir):
     return w.select("doc_id", F.size("w").cast("long").alias("n_valid"), F.size(F.array_distinct("w")).cast("long").alias("n_words"))
 
 
+@query("stop_word_file", f"""WITH listed AS (SELECT DISTINCT lower(trim(event_type)) AS w FROM events UNION SELECT 'anea' UNION SELECT 'tion'),
+r AS (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '{_RUN}'), lambda r: trim(r, '''')) AS r FROM documents),
+a AS (SELECT list(w) AS stop FROM listed)
+SELECT doc_id, CAST(len(list_filter(r, lambda x: length(x) BETWEEN 2 AND 45 AND regexp_matches(x, '^[a-zA-Z]+$')
+ AND NOT list_contains(stop, x))) AS BIGINT) AS n FROM r, a""")
+def stop_word_file(spark, sf_dir):
+    """Words counted without those of a stop word file."""
+    at = f"{Rounds(spark).root}/stop"
+    own = spark.createDataFrame([("  ANEA ",), ("",), ("tion",)], "value string")
+    own.union(table(spark, sf_dir, "events").select("event_type").distinct()).write.text(at)
+    return _docs(spark, sf_dir).select("doc_id", F.size(tokens(F.col("text"), read_stop_words(spark, at))).cast("long").alias("n"))
+
+
 @query("block_tokens", f"WITH {_INDEX} SELECT doc_id, CAST(total AS BIGINT) AS total FROM totals")
 def block_tokens(spark, sf_dir):
     """Counted tokens of each document."""
@@ -207,6 +220,16 @@ def _search(text: str, page: int = 0, size: int = 10) -> Query:
 _L, _R = ["anea", "eriner"], ["thth", "edon"]
 _SEMI = lambda side: f"doc_id IN (SELECT doc_id FROM ({_matched(side)}))"
 query("search_word", _ranked(_matched(_L), _L))(_search("anea eriner"))
+
+
+@query("search_stored", _ranked(_matched(_L), _L))
+def search_stored(spark, sf_dir):
+    """The same from an index that was written and read again."""
+    at, tree = f"{Rounds(spark).root}/index", parse("anea eriner")
+    _index(spark, sf_dir, whole=True).write(at)
+    return page_of(scores(match(Index.read(spark, at), tree), query_words(tree)))
+
+
 query("search_one_word", _ranked(_matched(["thth"]), ["thth"], 0, 100))(_search("thth", 0, 100))
 query("search_page2", _ranked(_matched(_L), _L, 1))(_search("anea eriner", 1))
 query("search_past_end", _ranked(_matched(_L), _L, 100000))(_search("anea eriner", 100000))
@@ -317,6 +340,16 @@ def crawl_frontier(spark, sf_dir):
     return C.frontier(table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), "url").where("url LIKE 'http%'"))
 
 
+@query("seed_file", f"""SELECT {_NORM} AS url
+ FROM pages WHERE url LIKE 'http%' AND page_id % 2 = 0 GROUP BY 1""")
+def seed_file(spark, sf_dir):
+    """Urls written as a seed file, read again and normalized; other schemes are skipped."""
+    pages, at = table(spark, sf_dir, "pages").where("page_id % 2 = 0"), f"{Rounds(spark).root}/seeds"
+    other = pages.select(F.regexp_replace("url", "^http", "ftp").alias("url"))
+    C.write_seeds(pages.select("url").union(other), at)
+    return C.frontier(C.read_seeds(spark, at)).select("url")
+
+
 @query("frontier_unvisited", f"""SELECT url, min(page_id) AS seq
  FROM (SELECT page_id, {_NORM} AS url, {_HOST} AS host
  FROM pages)
@@ -387,6 +420,20 @@ def crawl(spark, sf_dir):
     return C.crawl(spark, seeds, C.offline_fetcher(pages)).documents.select("doc_id", "url", "title", "hash")
 
 
+@query("crawl_resumed", f"""WITH u AS (SELECT {_NORM} AS url, min(page_id) AS seq, any_value(html) AS html FROM pages GROUP BY 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY split_part(split_part(url, '://', 2), '/', 1) ORDER BY seq) AS place FROM u),
+k AS (SELECT *, row_number() OVER (ORDER BY seq) AS doc_id FROM c WHERE place <= 3)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, url, md5(html) AS hash FROM k WHERE doc_id <= 30""")
+def crawl_resumed(spark, sf_dir):
+    """A crawl of at most three pages a host and thirty in all, stopped at a cap of ten
+    and taken up again from what was saved."""
+    pages, at = table(spark, sf_dir, "pages"), f"{Rounds(spark).root}/crawl"
+    seeds = pages.select(F.col("page_id").alias("seq"), "url")
+    for cap in (10, 30):
+        C.crawl(spark, seeds, C.offline_fetcher(pages), page_cap=cap, per_host=3, path=at)
+    return load_documents(spark, at).select("doc_id", "url", "hash")
+
+
 # ---- link graph, page rank -----------------------------------------------------------------
 
 
@@ -420,6 +467,16 @@ def link_graph(spark, sf_dir):
     return P.link_graph(links.join(pages.select("doc_id"), "doc_id", "left_semi"), pages)
 
 
+@query("link_graph_normalized", f"""WITH s AS (SELECT page_id, url, {_NORM} AS norm FROM pages)
+SELECT DISTINCT a.page_id - 1 AS src, b.page_id AS dst FROM s a JOIN s b ON a.norm = b.norm WHERE a.page_id - 1 IN (SELECT page_id FROM s)""")
+def link_graph_normalized(spark, sf_dir):
+    """Links that differ from urls by port, fragment and case find them once both are normalized."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    loud = F.concat(F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "#.*", ""), "^https", "HTTPS"), "^http:", "HTTP:"), F.lit("#end"))
+    links = pages.select((F.col("doc_id") - 1).alias("doc_id"), loud.alias("link"))
+    return P.link_graph(links.join(pages.select("doc_id"), "doc_id", "left_semi"), pages, normalize=True)
+
+
 @query("transition_graph", f"WITH {_EDGES} SELECT src, dst FROM edges")
 def transition_graph(spark, sf_dir):
     return _transitions(spark, sf_dir)
