@@ -339,8 +339,37 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = texts(spark, sf_dir, "documents", "doc_id", "text"), spark.createDataFrame([], NOTHING)
     for some in indexes(table(spark, sf_dir, "benchmark")):
         out = out.union(leaks(docs, some))
-    return out
-
+    return out.withColumn("score", F.round("score", 9))
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+_RUNS = "list_distinct(list_transform(range(1, greatest(len({x}) - r + 2, 2)), lambda i: array_to_string({x}[i:i + r - 1], ' ')))"
+#: Scores of all passages with all items that share a word with them, without an index,
+#: bounds or hashes; then the same overlaps.
+SQL = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+m AS (SELECT *, len(w) AS n, greatest({SHORTEST}, CAST(2 ** ceil(log2(greatest(len(w), 1))) AS BIGINT)) AS stride, row_number() OVER () AS u FROM i),
+c AS (SELECT *, least({SHINGLE}, n) AS r, greatest(0, n - greatest({SHINGLE}, n // 3)) AS cut FROM m),
+total AS (SELECT count(*) AS items, avg(n) AS average FROM m),
+tf AS (SELECT u, any_value(n) AS n, any_value(stride) AS stride, term, count(*) AS tf FROM (SELECT u, n, stride, unnest(w) AS term FROM m) GROUP BY u, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT u, stride, term, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * n / greatest(1, average))) AS x
+ FROM tf JOIN df USING (term), total),
+impact AS (SELECT u, stride, term, x / sum(x) OVER (PARTITION BY u) AS x FROM raw),
+d AS (SELECT doc_id, {_WORDS} AS w, row_number() OVER () AS v FROM documents),
+p AS (SELECT doc_id, v, stride, w, unnest(range(0, greatest(1, CAST(ceil((len(w) - stride) / stride) AS BIGINT)))) AS j
+ FROM d, (SELECT DISTINCT stride FROM m WHERE n > 0) WHERE len(w) > 0),
+passage AS (SELECT doc_id, v, stride, j, w[j * stride + 1:j * stride + 2 * stride] AS w FROM p),
+terms AS (SELECT DISTINCT v, stride, j, unnest(w) AS term FROM passage),
+scored AS (SELECT v, stride, j, u, sum(x) AS score FROM terms JOIN impact USING (stride, term) GROUP BY v, stride, j, u HAVING sum(x) >= {THRESHOLD}),
+both_ AS (SELECT q.doc_id, c.item_id, s.v, s.u, s.score, r, q.w AS a, c.w AS w, CASE WHEN cut >= {SHINGLE} THEN c.w[1:cut] ELSE c.w END AS question, c.w[cut + 1:] AS answer
+ FROM scored s JOIN passage q USING (v, stride, j) JOIN c USING (u)),
+runs AS (SELECT *, {_RUNS.format(x="a")} AS ra, {_RUNS.format(x="w")} AS rw, {_RUNS.format(x="question")} AS rq, {_RUNS.format(x="answer")} AS rn FROM both_),
+shares AS (SELECT *, len(list_intersect(rw, ra)) / len(rw) AS overlap, len(list_intersect(rq, ra)) / len(rq) AS question_overlap,
+ len(list_intersect(rn, ra)) / len(rn) AS answer_overlap FROM runs),
+best AS (SELECT *, row_number() OVER (PARTITION BY v, u ORDER BY overlap DESC, score DESC, question_overlap DESC, answer_overlap DESC) AS k
+ FROM shares WHERE overlap >= {OVERLAP} AND least(overlap, question_overlap, answer_overlap) >= {OVERLAP / 2})
+SELECT doc_id, item_id, round(score, 9) AS score, overlap, question_overlap, answer_overlap FROM best WHERE k = 1"""
 
 QUERIES = {"op5_decontam": op5_decontam}
-ORACLES: dict = {}
+ORACLES = {"op5_decontam": SQL}
