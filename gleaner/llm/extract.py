@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..oracle_sql import HTML_BLOCKS
 from .common import batches, texts
 
 # ---- blocks ------------------------------------------------------------------
@@ -636,5 +637,12 @@ def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(texts(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", F.col("n_chars"))
 
 
+#: What should come out on these pages, whose main text is what the article holds: its
+#: heading and paragraphs, read by expressions on the markup.
+SQL = f"""
+WITH {HTML_BLOCKS},
+main AS (SELECT doc_id AS page_id, string_agg(text, chr(10) ORDER BY seq) AS text FROM html_blocks WHERE tag IN ('h1', 'p') GROUP BY doc_id)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN main USING (page_id)"""
+
 QUERIES = {"op7_extract": op7_extract}
-ORACLES: dict = {}
+ORACLES = {"op7_extract": SQL}
