@@ -684,5 +684,23 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: The same from all windows of all texts, in hexadecimal digits: a window goes if a
+#: smaller id has it, windows that touch are one run, and what lies between runs stays.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, {2 * WINDOW}) AS s FROM (SELECT *, unnest(range(0, n - {WINDOW - 1})) AS k FROM n WHERE n >= {WINDOW})),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT doc_id, k FROM w JOIN f USING (s) WHERE first < doc_id),
+e AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {WINDOW} THEN 0 ELSE 1 END AS begins FROM g),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM e),
+spans AS (SELECT doc_id, min(k) AS a, max(k) + {WINDOW} AS z FROM r GROUP BY doc_id, run),
+gone AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last FROM spans GROUP BY doc_id),
+pieces AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM spans
+ UNION ALL SELECT doc_id, coalesce(last, 0), n FROM n LEFT JOIN gone USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS h FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(kept.h)) AS kept_sha256 FROM n LEFT JOIN gone USING (doc_id) JOIN kept USING (doc_id)"""
+
 QUERIES = {"op8_substrings": op8_substrings}
-ORACLES: dict = {}
+ORACLES = {"op8_substrings": SQL}
