@@ -32,17 +32,26 @@ class Index:
     vocab: DataFrame
     stemmed: bool = False
     stop: frozenset[str] = STOP_WORDS
+    #: Size of the corpus, if postings are all of it.
+    n_docs: int | None = None
     #: Of a stored index; its postings have idf and bucket as well.
     buckets: int | None = None
 
-    def write(self, path: str, buckets: int = BUCKETS) -> None:
+    def write(self, path: str, buckets: int = BUCKETS, splits: int = 1) -> None:
         """Postings with the idf of their word, by bucket of the word and sorted by word:
         a lookup opens one folder a word and skips all row groups but a few. More
-        buckets for larger corpora keep a bucket one task's work."""
-        posts = self.postings.join(self.vocab.select("word", "idf"), "word").withColumn("bucket", bucket_of(F.col("word"), buckets))
-        posts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "word", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.vocab.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocab")
-        self.vocab.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
+        buckets for larger corpora keep a bucket one task's work; splits cut each by
+        document as well, for words that most documents have."""
+        spark = self.postings.sparkSession
+        posts = Rounds(spark).keep(self.postings)  # texts are read once, for postings and vocabulary
+        vocab = Rounds(spark).keep(self.vocab if self.n_docs is None else vocabulary(posts, self.n_docs))
+        idf = vocab.select("word", "idf")
+        idf = F.broadcast(idf) if vocab.count() <= BROADCAST_WORDS else idf
+        posts = posts.join(idf, "word").withColumn("bucket", bucket_of(F.col("word"), buckets))
+        dealt = posts.repartition(buckets * splits, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(splits)))
+        dealt.sortWithinPartitions("bucket", "word", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        vocab.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocab")
+        spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, stemmed: bool = False) -> Index:
@@ -107,17 +116,19 @@ def postings(found: DataFrame) -> DataFrame:
 
 def vocabulary(posts: DataFrame, n_docs: int) -> DataFrame:
     """word, df and idf = log10(N / df)."""
-    df = posts.groupBy("word").agg(F.count_distinct("doc_id").alias("df"))
+    df = posts.groupBy("word").agg(F.count("*").alias("df"))  # a posting is a word and a document
     return df.withColumn("idf", F.log10(F.lit(float(n_docs)) / F.col("df")) + F.lit(0.0))
 
 
 def build_index(blocks: DataFrame, n_docs: int | None = None, stop: frozenset[str] = STOP_WORDS, stem: bool = False, whole: bool = False) -> Index:
-    """n_docs: size of the corpus, all rows by default (also those without words).
+    """n_docs: size of the corpus, all rows by default (also those without words); give
+    it where blocks are costly to make, as they are counted.
     whole: all postings are wanted, so texts are shuffled by document once and
     their words never; else filters on words come first and few rows are shuffled."""
     found = occurrences(blocks.repartition("doc_id") if whole or stem else blocks, stop)
     posts = stemmed_postings(found, occurrences(blocks, stop).select("word").distinct(), stop) if stem else postings(found)
-    return Index(posts, vocabulary(posts, blocks.count() if n_docs is None else n_docs), stem, stop)
+    n = blocks.count() if n_docs is None else n_docs
+    return Index(posts, vocabulary(posts, n), stem, stop, n)
 
 
 def merge_index(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -591,7 +591,8 @@ occurrences AS (SELECT doc_id, weight, unnest(x) AS word FROM words),
 SELECT word, doc_id, tf, CAST(importance AS DOUBLE) AS importance FROM by_stem""")
 def page_index(spark, sf_dir):
     """Weighted postings of html pages, stemmed."""
-    return build_index(html_blocks(table(spark, sf_dir, "pages")), stem=True).postings.select("word", "doc_id", F.round("tf", 9).alias("tf"), "importance")
+    pages = table(spark, sf_dir, "pages")
+    return build_index(html_blocks(pages), pages.count(), stem=True).postings.select("word", "doc_id", F.round("tf", 9).alias("tf"), "importance")
 
 
 @query("snippet_clean", f"SELECT page_id, {O.clean('html')} AS text FROM pages")

@@ -63,7 +63,7 @@ def index_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     own folder, so nothing is indexed twice."""
 
     def take(batch: DataFrame, number: int) -> None:
-        build_index(html_blocks(batch)).postings.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        build_index(html_blocks(batch), 1).postings.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     q = pages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
