@@ -212,5 +212,49 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _sql() -> str:
+    """The same without masks: XXH64 from its definition (all figures modulo 2^64, bytes
+    as hexadecimal digits), all pairs of fingerprints, and closure by recursion."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    whole = f"{1 << 64}::UHUGEINT"
+    mod = lambda x: f"(({x}) % {whole})"
+    times = lambda x, p: mod(f"({x}) * {p}::UHUGEINT")
+    turn = lambda x, n: f"({mod(f'({x}) * {1 << n}::UHUGEINT')} + ({x}) // {1 << (64 - n)}::UHUGEINT)"
+    eight = lambda h, at: "('0x' || " + " || ".join(f"substr({h}, 2 * ({at}) + {2 * k + 1}, 2)" for k in range(7, -1, -1)) + ")::UBIGINT::UHUGEINT"
+    four = lambda h, at: "('0x' || " + " || ".join(f"substr({h}, 2 * ({at}) + {2 * k + 1}, 2)" for k in range(3, -1, -1)) + ")::UBIGINT::UHUGEINT"
+    lane = lambda acc, h, at: times(turn(mod(f"({acc}) + {times(eight(h, at), p2)}"), 31), p1)
+    seeds = [(42 + p1 + p2) % 2**64, 42 + p2, 42, (42 - p1) % 2**64]
+    lanes = ", ".join(f"list_reduce(list_prepend({v % 2**64}::UHUGEINT, list_transform(range(0, n // 32), lambda j: {eight('h', f'32 * j + {8 * i}')})), lambda a, x: {times(turn(mod(f'a + {times("x", p2)}'), 31), p1)}) AS v{i + 1}" for i, v in enumerate(seeds))
+    begun = mod(" + ".join(turn(f"v{i}", r) for i, r in ((1, 1), (2, 7), (3, 12), (4, 18))))
+    for i in range(1, 5):
+        begun = mod(f"{times(f'xor({begun}, {times(turn(times(f"v{i}", p2), 31), p1)})', p1)} + {p4}::UHUGEINT")
+    tail8 = mod(f"{times(turn(f'xor(a, {times(turn(times("x", p2), 31), p1)})', 27), p1)} + {p4}::UHUGEINT")
+    tail4 = mod(f"{times(turn(f'xor(a, {times(four("h", "d"), p1)})', 23), p2)} + {p3}::UHUGEINT")
+    tail1 = times(turn(f"xor(a, {times('x', p5)})", 11), p1)
+    steps = [("a1", f"CASE WHEN n >= 32 THEN {begun} ELSE {42 + p5}::UHUGEINT END"), ("a2", mod("a1 + n::UHUGEINT"))]
+    parts = ", ".join(f"sum((x >> {b}) & 1) AS b{b}" for b in range(64))
+    bits = " + ".join(f"(CASE WHEN 2 * b{b} > many THEN {1 << b}::UHUGEINT ELSE 0 END)" for b in range(64))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM d WHERE len(w) > 0),
+u AS (SELECT s, hex(s) AS h, length(hex(s)) // 2 AS n FROM (SELECT DISTINCT s FROM g)),
+v AS MATERIALIZED (SELECT *, {lanes} FROM u),
+k1 AS MATERIALIZED (SELECT s, h, n, {steps[0][1]} AS a1 FROM v),
+k2 AS MATERIALIZED (SELECT s, h, n, {steps[1][1]} AS a2, n - n % 8 AS c, n - n % 8 + (n % 8) // 4 * 4 AS e FROM k1),
+k3 AS MATERIALIZED (SELECT s, h, n, c AS d, e, list_reduce(list_prepend(a2, list_transform(range(n // 32 * 4, c // 8), lambda j: {eight("h", "8 * j")})), lambda a, x: {tail8}) AS a FROM k2),
+k4 AS MATERIALIZED (SELECT s, h, n, e, CASE WHEN e > d THEN {tail4} ELSE a END AS a4 FROM k3),
+k5 AS MATERIALIZED (SELECT s, list_reduce(list_prepend(a4, list_transform(range(e, n), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::UBIGINT::UHUGEINT)), lambda a, x: {tail1}) AS a5 FROM k4),
+k6 AS MATERIALIZED (SELECT s, {times(f"xor(a5, a5 // {1 << 33}::UHUGEINT)", p2)} AS a6 FROM k5),
+k7 AS MATERIALIZED (SELECT s, {times(f"xor(a6, a6 // {1 << 29}::UHUGEINT)", p3)} AS a7 FROM k6),
+x AS MATERIALIZED (SELECT s, xor(a7, a7 // {1 << 32}::UHUGEINT)::UBIGINT AS x FROM k7),
+t AS (SELECT doc_id, count(*) AS many, {parts} FROM g JOIN x USING (s) GROUP BY doc_id),
+f AS MATERIALIZED (SELECT d.doc_id, coalesce({bits}, 0::UHUGEINT)::UBIGINT AS fp FROM d LEFT JOIN t USING (doc_id)),
+q AS MATERIALIZED (SELECT fp, min(doc_id) AS id FROM f GROUP BY fp),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM q a, q b WHERE bit_count(xor(a.fp, b.fp)::HUGEINT) <= {RADIUS}),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+least AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM f JOIN q USING (fp) JOIN least USING (id)"""
+
+
 QUERIES = {"op10_simhash": op10_simhash}
-ORACLES: dict = {}
+ORACLES = {"op10_simhash": _sql()}
