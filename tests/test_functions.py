@@ -87,7 +87,7 @@ def test_snippets(spark):
     assert one(spark, snippet(F.lit(""), ["a"])) == NO_PREVIEW
     assert one(spark, clean_html(F.lit("a&nbsp;b\u00a0c\x07d , ! e...f&#160;g&hellip;h\n\n i"))) == "a b cd. . e. f g h i"
     assert one(spark, snippet(F.lit("First part. The needle lies here. Last part"), ["needle"])) == "...The <strong>needle</strong> lies here..."
-    assert one(spark, snippet(F.lit("No such word. Second"), ["needle"])) == "No such word..."
+    assert one(spark, snippet(F.lit("No such word. Second"), ["needle"])) == "No such word. Second"
     assert one(spark, highlight(F.lit("a<the>b strong"), ["the", "strong"])) == "a<<strong>the</strong>>b <strong>strong</strong>"
 
 
