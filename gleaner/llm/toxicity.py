@@ -350,8 +350,12 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_
     # folds without which texts of both classes are left to count
     folds = [k for k in range(FOLDS) if sums[:, k].any() and (sums.sum(1) > sums[:, k]).all()]
     if runs <= (MODEL_RUNS if model_runs is None else model_runs):
-        pdf = counts.toPandas()  # every run, whatever its count: the lower orders are made of all of them
-        gram, count = pdf.gram.to_numpy().astype(np.uint64), pdf[list(COUNTS)].to_numpy().reshape(-1, 2, FOLDS)
+        # every run, whatever its count: the lower orders are made of all of them
+        kind = "int" if sums.max() < 1 << 31 else "long"
+        rows = counts.select("gram", *(F.col(c).cast(kind) for c in COUNTS)).toArrow()
+        gram = rows.column("gram").to_numpy().view(np.uint64)
+        count = np.stack([rows.column(c).to_numpy() for c in COUNTS], 1).reshape(-1, 2, FOLDS)
+        del rows
 
         def model(without: int | None) -> Model | Tables:
             own = count.sum(2) - (0 if without is None else count[:, :, without])
