@@ -6,8 +6,6 @@ Ordered results carry a rank; doubles are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +31,6 @@ from .streaming.ingest import keep_latest, read_stream, window_counts
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-NOW = datetime(2024, 1, 10, 12, 0, 0)
 
 
 def query(name: str, sql: str | None = None):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from .scratch import Rounds, numbered
@@ -48,7 +49,7 @@ def save_queue(queue: DataFrame, path: str, commit: int) -> None:
 
 def load_queue(spark: SparkSession, path: str) -> DataFrame | None:
     """The last queue that was saved."""
-    kept = read_or_empty(spark, f"{path}/queue", "seq long, url string, commit int")
+    kept = read_or_empty(spark, f"{path}/queue", T.StructType([*schemas.QUEUE.fields, T.StructField("commit", T.IntegerType())]))
     last = kept.agg(F.max("commit")).first()[0]
     return None if last is None else kept.where(F.col("commit") == last).select("seq", "url")
 
