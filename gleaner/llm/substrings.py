@@ -53,15 +53,16 @@ ANCHOR = 20
 MOST_WINDOWS = 48
 HOT = 1024
 NOWHERE, OFTEN, MULTI = 100, 101, 128
-BATCH_BYTES = 2 << 20
+#: Text that is worked on at once (about 50 bytes of arrays for each).
+BATCH_BYTES = 1 << 20
 #: Text of a bundle and of a part. Rows between them are (corpus / BUNDLE_BYTES) *
 #: (corpus / PART_BYTES): raise both with the memory of executors.
 BUNDLE_BYTES = PART_BYTES = 64 << 20
-SUBS = 8
+SUBS = 16
 #: Anchors, and bytes of segments, that a bundle gathers before it sends them.
-MOST_ANCHORS, MOST_BYTES = 4 << 20, 16 << 20
+MOST_ANCHORS, MOST_BYTES = 1 << 20, 10 << 20
 #: Bytes of one Arrow batch.
-SENT = 4 << 20
+SENT = 2 << 20
 #: Documents that a round holds in memory (about 16 bytes each).
 CHUNK = 8 << 20
 NO_ID = np.int64(2**63 - 1)
@@ -254,7 +255,11 @@ class Batch:
 
 def spans_of(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of all bytes of the spans, one span after the other."""
-    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    total = int(size.sum())
+    kind = np.int32 if max(total, int((at + size).max(initial=0))) < 1 << 31 else np.int64
+    out = np.repeat((at - (np.cumsum(size) - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def column_order(text: np.ndarray, places: np.ndarray, chunk: int = CHUNK) -> list:
@@ -578,11 +583,15 @@ def begun(x: Batch, flagged: Flags, told: Answers) -> np.ndarray:
     """Starts of the batch's windows that a smaller id holds, in order."""
     x.strings(flagged(x.distinct))
     own, bits = told(x.h)
-    seg = np.repeat(np.arange(len(x.s)), x.n)
-    k = np.arange(len(seg)) - np.repeat(np.cumsum(x.n) - x.n, x.n)
-    of, ids = x.of[seg], x.ids[x.r[seg]]
-    gone = (ids > own[of]) | ((ids == own[of]) & ((bits[of] >> k.astype(np.uint64)) & np.uint64(1)).astype(bool))
-    return np.unique(x.s[seg[gone]] + k[gone])
+    some = np.flatnonzero(((own != NO_ID) | (bits != 0))[x.of])  # of the others nothing was said
+    s, n, of, ids = x.s[some], x.n[some], x.of[some], x.ids[x.r[some]]
+    later, first = np.flatnonzero(ids > own[of]), np.flatnonzero((ids == own[of]) & (bits[of] != 0))
+    k = np.arange(WINDOW, dtype=np.uint64)
+    found = [spans_of(s[later], n[later])]
+    for part in np.array_split(first, max(1, len(first) // 65536)):
+        row, place = np.nonzero((bits[of[part]][:, None] >> k) & np.uint64(1))
+        found.append(s[part][row] + place)
+    return np.unique(np.concatenate(found))
 
 
 def covered(starts: np.ndarray, n: int, lead: int = 0) -> np.ndarray:
