@@ -360,6 +360,17 @@ def test_long_texts_in_slices(spark, monkeypatch):
         assert hashlib.sha256(bytes(b)).hexdigest() == r.kept_sha256 and len(r.spans) == r.n_spans
 
 
+def test_null_ids(spark):
+    """A null id comes after all others, and two of them don't remove each other."""
+    rng = random.Random(41)
+    a, b, c = ("".join(rng.choices("abcdefgh ", k=120)) for _ in range(3))
+    rows = [(7, a + b), (None, "x" * 20 + a[:90] + c), (None, "y" * 30 + c), (9, b[20:] + "z" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id is None, r.doc_id, r.n_bytes), r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(df).collect())
+    want = brute_repeats([(10**9 if i is None else i, t) for i, t in rows])
+    assert sorted((n, r, h) for (_, _, n), r, h in got) == sorted((n, r, h) for _, n, r, _, h in want) and got[-1][1] + got[-2][1] == 90
+
+
 def test_linear_in_parts():
     """What a bundle sends costs about the same at a hundred parts and at a hundred thousand."""
     rng = np.random.default_rng(1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import mixing, toxicity
 from gleaner.llm.common import held_out, table
 
-from .test_llm import AWKWARD, awkward, brute_fp, components_of, none  # noqa: F401
+from .test_llm import AWKWARD, awkward, brute_fp, components_of  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 
