@@ -15,7 +15,7 @@ def test_against_sql(spark, sf, name):
     check(spark, sf, Q.QUERIES[name], Q.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["html_blocks", "page_index"])
+@pytest.mark.parametrize("name", ["html_blocks", "html_headings", "page_index"])
 def test_references_cut_short(spark, sf, tmp_path, name):
     """Titles cut within a reference, as some pages of sf0.1 have them."""
     for f in os.listdir(sf):
