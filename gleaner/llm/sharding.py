@@ -8,22 +8,27 @@ what placing them one by one would do. A group larger than an even share gets a
 bin to itself. The capacity is the smallest for which the wanted number of bins
 suffices.
 
-The driver packs the EXACT largest sizes, down to a power of two. Groups below it
-(none, while there are no more sizes than EXACT) go after them, still by falling
-size, into the tightest bin first: where a group goes follows from the bytes before
-it, which come from sums over ranges of sizes in tables. A bin may then miss an even
-share by one such group, less than that power of two. Groups are placed by their
+All sizes are packed by this one rule, however many there are; where a group goes
+depends on no bound. The driver keeps 16 bytes for each different size, of which T
+bytes of text can have no more than the square root of 2 T, unpacks EXACT of them at
+a time and hands on what goes where in blocks of RUNS. Groups are placed by their
 number among the groups of their size.
 
 Null texts count as empty ones; very long ones are only measured and hashed. Ties and
 repeated rows are rows of their own: groups keep them together, and slots number
-them all. Numbers within a size or a shard come from counts of hash buckets, so no
-task gets a whole size or shard. Empty tables give no rows; further columns pass
+them all. Numbers within a size or a shard follow a hash and come from counts of its
+ranges, so no task gets a whole size or shard, and no number depends on the ranges. Empty tables give no rows; further columns pass
 through `shard_table`, and clashing names (size, shard, slot) are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,9 +37,11 @@ from .common import Scratch, checked_broadcast, text_of, texts
 
 SHARDS = 40
 OVERHEAD = 16
-#: Different sizes that the driver may hold.
+#: Different sizes that the driver unpacks at a time.
 EXACT = 20_000
-#: Rows of a hash bucket that one task numbers.
+#: Runs of groups that go to a table at a time.
+RUNS = 1_000_000
+#: Rows of a range of hashes that one task numbers.
 BUCKET_ROWS = 250
 
 
@@ -122,10 +129,10 @@ class Tree:
         return best
 
 
-def best_fit(sizes: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
-    """sizes: (size, how many), falling. Returns (size, bin, how many) runs in
+def best_fit(sizes: Iterable[tuple[int, int]], capacity: int) -> Iterator[tuple[int, int, int]]:
+    """sizes: (size, how many), falling. Gives (size, bin, how many) runs in
     placing order; new bins open as needed."""
-    tree, bins, out = Tree(), 0, []
+    tree, bins = Tree(), 0
     for size, many in sizes:
         while many:
             found = tree.ceiling((size, -1))
@@ -135,47 +142,70 @@ def best_fit(sizes: list[tuple[int, int]], capacity: int) -> list[tuple[int, int
                 tree.delete(found)
                 room, b = found
             k = min(many, room // size) if size else many
-            out.append((size, b, k))
+            yield size, b, k
             many -= k
             tree.insert((room - k * size, b))
-    return out
 
 
-def pack(sizes: list[tuple[int, int]], shards: int, rest: int = 0) -> list[tuple[int, int, int]]:
-    """Runs (size, shard, how many) over at most `shards` shards. rest: bytes of
-    smaller groups that are to go into them later."""
-    sizes = sorted(sizes, reverse=True)
-    total, left, whole, i = sum(s * n for s, n in sizes) + rest, shards, [], 0
-    while i < len(sizes) and left > 1 and sizes[i][0] * left > total:  # larger than an even share: a shard of its own
-        size, many = sizes[i]
-        whole.append((size, shards - left, 1))
+def unpacked(sizes: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
+    for i in range(0, len(sizes), block):
+        yield from sizes[i : i + block].tolist()
+
+
+def packing(sizes: np.ndarray, shards: int, block: int = EXACT) -> Iterator[tuple[int, int, int]]:
+    """sizes: (size, how many) in any order. Gives runs (size, shard, how many) over at
+    most `shards` shards, by falling size."""
+    sizes = sizes[np.argsort(-sizes[:, 0], kind="stable")]
+    total, left = int(sizes[:, 0] @ sizes[:, 1]), shards
+    while len(sizes) and left > 1 and int(sizes[0, 0]) * left > total:  # larger than an even share: a shard of its own
+        size = int(sizes[0, 0])
+        yield size, shards - left, 1
         total, left = total - size, left - 1
-        sizes[i] = (size, many - 1)
-        i += many == 1
-    some, used = [x for x in sizes[i:] if x[1]], shards - left
-    if not some:
-        return whole
-    low = max(-(-total // left), some[0][0])
-    tried = lambda c: (lambda runs: (max(b for _, b, _ in runs) + 1, runs))(best_fit(some, c))
-    high, step = low, max(1, low // 1000)
-    while True:
-        bins, runs = tried(high)
-        if bins <= left:
-            break
+        sizes[0, 1] -= 1
+        sizes = sizes[int(not sizes[0, 1]) :]
+    if not len(sizes):
+        return
+    fits = lambda c: all(b < left for _, b, _ in best_fit(unpacked(sizes, block), c))
+    low = high = max(-(-total // left), int(sizes[0, 0]))
+    step = max(1, low // 1000)
+    while not fits(high):
         low, high, step = high + 1, high + step, step * 2
-    while low < high and high - low > max(1, high // 100_000):
+    while low < high and high - low > max(1, high // 1_000_000):
         mid = (low + high) // 2
-        bins, found = tried(mid)
-        if bins <= left:
-            high, runs = mid, found
+        if fits(mid):
+            high = mid
         else:
             low = mid + 1
-    return whole + [(s, b + used, k) for s, b, k in runs]
+    for size, b, many in best_fit(unpacked(sizes, block), high):
+        yield size, b + shards - left, many
+
+
+def pack(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    return list(packing(np.array(sizes, np.int64).reshape(-1, 2), shards))
+
+
+def plan_of(runs: Iterator[tuple[int, int, int]], scratch: Scratch) -> tuple[DataFrame, int]:
+    """Runs by falling size as a table (bytes, _first, _last, shard) of the groups of each
+    size that go to a shard, by their number, and how many runs there are."""
+    names, kinds = ["bytes", "_first", "_last", "shard"], [np.int64, np.int64, np.int64, np.int32]
+    parts, n, size, upto = [], 0, None, 0
+    while block := list(islice(runs, RUNS)):
+        rows = np.empty((len(block), 4), np.int64)
+        for i, (s, shard, many) in enumerate(block):
+            first = upto if s == size else 0
+            size, upto = s, first + many
+            rows[i] = s, first, upto, shard
+        n += len(block)
+        columns = [pa.array(np.ascontiguousarray(rows[:, i], kind)) for i, kind in enumerate(kinds)]
+        parts.append(scratch.write(scratch.spark.createDataFrame(pa.table(columns, names)), "plan"))
+    if not parts:
+        parts = [scratch.spark.createDataFrame([], "bytes long, _first long, _last long, shard int")]
+    return reduce(DataFrame.union, parts), n
 
 
 def fill(load: list[int], rest: int) -> list[tuple[int, int]]:
     """(shard, bytes of smaller groups up to which it is filled), tightest room first:
-    all that get any are filled to one level."""
+    all that get any are filled to one level. shard_table does without it."""
     order = sorted(range(len(load)), key=lambda b: (load[b], b))
     level, open_, left = load[order[0]], 0, rest
     while open_ < len(order):
@@ -192,32 +222,22 @@ def fill(load: list[int], rest: int) -> list[tuple[int, int]]:
     return out
 
 
-def smaller(sizes: DataFrame, limit: int) -> DataFrame:
-    """sizes: bytes, n, all below limit -> bytes, before: the bytes of all larger ones."""
-    width = max(1, limit // 4096)
-    x = sizes.withColumn("_range", F.floor(F.col("bytes") / width))
-    own = F.col("bytes") * F.col("n")
-    ranges = x.groupBy("_range").agg(F.sum(own).alias("_own"))
-    before = lambda w: F.coalesce(F.sum("_own").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select("_range", before(W.orderBy(F.desc("_range"))).alias("_before"))  # 4096 rows or so
-    x = x.withColumn("_own", own)
-    x = x.withColumn("_within", before(W.partitionBy("_range").orderBy(F.desc("bytes"))))
-    return x.join(F.broadcast(ranges), "_range").select("bytes", (F.col("_before") + F.col("_within")).alias("before"))
-
-
-def number(df: DataFrame, by: str, bucket: Column, order: list[str], name: str) -> DataFrame:
-    """df plus name: gapless numbers from 0 within `by`. A window numbers one
-    bucket of one value; prefix sums of the bucket counts do the rest."""
-    df = df.withColumn("_bucket", bucket)
+def number(df: DataFrame, by: str, keys: list[str], buckets: Column, name: str) -> DataFrame:
+    """df plus name: gapless numbers from 0 within `by`, in the order of a hash of the
+    keys. A window numbers one range of hashes of one value, of which there are
+    `buckets`; prefix sums of their counts do the rest."""
+    df = df.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(*keys), 33))  # 31 bits
+    df = df.withColumn("_bucket", F.shiftright(F.col("_hash") * buckets.cast("long"), 31))
     counts = df.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)))
-    within = df.withColumn("_k", F.row_number().over(W.partitionBy(by, "_bucket").orderBy(*order)))
+    within = df.withColumn("_k", F.row_number().over(W.partitionBy(by, "_bucket").orderBy("_hash", *keys)))
     out = within.join(counts.drop("_n"), [by, "_bucket"])
-    return out.withColumn(name, (F.col("_k") - 1 + F.coalesce("_before", F.lit(0))).cast("long")).drop("_bucket", "_k", "_before")
+    return out.withColumn(name, (F.col("_k") - 1 + F.coalesce("_before", F.lit(0))).cast("long")).drop("_hash", "_bucket", "_k", "_before")
 
 
 def shard_table(df: DataFrame, text: str = "text", key: str = "doc_id", shards: int = SHARDS, exact: int = EXACT) -> DataFrame:
-    """df without its text, plus size, shard and slot; join by key to get texts."""
+    """df without its text, plus size, shard and slot; join by key to get texts. exact:
+    sizes that the driver unpacks at a time, which changes no result."""
     spark = df.sparkSession
     scratch = Scratch(spark)
     df = df.drop("size", "shard", "slot", "_group")
@@ -226,37 +246,16 @@ def shard_table(df: DataFrame, text: str = "text", key: str = "doc_id", shards:
     groups = scratch.write(df.groupBy("_group").agg(F.sum("size").alias("bytes")), "groups")
     n = groups.count()
     sizes = scratch.write(groups.groupBy("bytes").agg(F.count("*").alias("n")), "sizes")
-    power = F.floor(F.log2(F.col("bytes").cast("double"))).cast("int")
-    powers = sorted(sizes.groupBy(power.alias("p")).agg(F.count("*").alias("n"), F.sum(F.col("bytes") * F.col("n")).alias("own")).collect(), reverse=True)  # a row a power of two
-    held, limit = 0, 0
-    for r in powers:
-        held += r["n"]
-        if held > exact:
-            limit = 2 << r["p"]
-            break
-    rest = int(sizes.where(F.col("bytes") < limit).agg(F.coalesce(F.sum(F.col("bytes") * F.col("n")), F.lit(0))).first()[0])
-    runs, at, load = [], {}, [0] * shards
-    for size, shard, many in pack([(r["bytes"], r["n"]) for r in sizes.where(F.col("bytes") >= limit).collect()], shards, rest):
-        first = at.get(size, 0)
-        runs.append((size, first, first + many, shard))
-        at[size] = first + many
-        load[shard] += size * many
-    buckets = F.pmod(F.xxhash64("_group"), F.lit(max(1, -(-n // BUCKET_ROWS)))).cast("int")
-    numbered = number(groups, "bytes", buckets, ["_group"], "_rank")
-    plan = spark.createDataFrame(runs, "bytes long, _first long, _last long, shard int")
-    placed = numbered.where(F.col("bytes") >= limit).join(checked_broadcast(plan, len(runs)), "bytes").where("_rank >= _first AND _rank < _last").select("_group", "shard")
-    if limit:
-        small = smaller(sizes.where(F.col("bytes") < limit), limit)
-        bins = fill(load, rest)
-        past = F.size(F.filter(F.array(*(F.lit(upto) for _, upto in bins[:-1])), lambda b: b <= F.col("before") + F.col("_rank") * F.col("bytes"))) if len(bins) > 1 else F.lit(0)
-        shard = F.element_at(F.array(*(F.lit(b) for b, _ in bins)), past + 1)
-        placed = placed.union(numbered.where(F.col("bytes") < limit).join(checked_broadcast(small, sizes.count()), "bytes").select("_group", shard.cast("int").alias("shard")))
+    held = sizes.select("bytes", "n").toArrow()
+    held = np.stack([c.to_numpy().astype(np.int64) for c in held.columns], axis=1)
+    plan, n_runs = plan_of(packing(held, shards, exact), scratch)
+    numbered = number(groups, "bytes", ["_group"], F.lit(max(1, -(-n // BUCKET_ROWS))), "_rank")
+    placed = numbered.join(checked_broadcast(plan, n_runs), "bytes").where("_rank >= _first AND _rank < _last").select("_group", "shard")
     placed = scratch.write(placed, "placed")
     dealt = scratch.write(df.join(placed, "_group"), "dealt")
     rows = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}
     most = F.array(*(F.lit(max(1, -(-rows.get(i, 0) // BUCKET_ROWS))) for i in range(shards)))
-    bucket = F.pmod(F.xxhash64(key, "_group"), F.element_at(most, F.col("shard") + 1)).cast("int")
-    return number(dealt, "shard", bucket, [key, "_group"], "slot").drop("_group")
+    return number(dealt, "shard", [key, "_group"], F.element_at(most, F.col("shard") + 1), "slot").drop("_group")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,37 @@ def test_sharding_exact(spark, exact):
     assert load.max() - load.min() <= (0.001 * load.mean() if exact == 20_000 else 2 * most)
 
 
+def test_sharding_has_no_switch(spark, monkeypatch):
+    """Bounds on what is held at a time change no row, and every group goes where best fit puts one of its size."""
+    docs = common.table(spark, SF, "documents").select("doc_id", "text")
+    rows_of = lambda **bound: sorted(map(tuple, sharding.shard_table(docs, shards=7, **bound).select("doc_id", "size", "shard", "slot").collect()))
+    want = rows_of()
+    assert rows_of(exact=20) == want
+    monkeypatch.setattr(sharding, "RUNS", 30)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 5)
+    assert rows_of(exact=1) == want
+    group, at = collections.Counter(), {}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for doc_id, size, shard, _ in want:
+        group[texts[doc_id]] += size
+        at[texts[doc_id]] = shard
+    runs = sharding.pack(list(collections.Counter(group.values()).items()), 7)
+    assert collections.Counter((group[t], b) for t, b in at.items()) == collections.Counter((s, b) for s, b, k in runs for _ in range(k))
+
+
+def test_packing_many_sizes():
+    """More sizes than are unpacked at a time: even, and none lost."""
+    rng = np.random.default_rng(3)
+    sizes = np.stack([rng.permutation(60_000)[:45_000] + 17, rng.integers(1, 4, 45_000)], axis=1)
+    load, left = np.zeros(40), dict(sizes.tolist())
+    runs = list(sharding.packing(sizes, 40))
+    for s, b, k in runs:
+        load[b] += s * k
+        left[s] -= k
+    assert not any(left.values()) and load.max() - load.min() < 0.00005 * load.mean()
+    assert runs == list(sharding.packing(sizes[::-1], 40, block=100))
+
+
 # ---- 7: extraction
 
 
