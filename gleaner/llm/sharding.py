@@ -17,8 +17,9 @@ number among the groups of their size.
 Null texts count as empty ones; very long ones are only measured and hashed. Ties and
 repeated rows are rows of their own: groups keep them together, and slots number
 them all. Numbers within a size or a shard follow a hash and come from counts of its
-ranges, so no task gets a whole size or shard, and no number depends on the ranges. Empty tables give no rows; further columns pass
-through `shard_table`, and clashing names (size, shard, slot) are replaced.
+ranges, so no task gets a whole size or shard, and no number depends on the ranges.
+Empty tables give no rows; further columns pass through `shard_table`, and clashing
+names (size, shard, slot) are replaced.
 """
 
 from __future__ import annotations
